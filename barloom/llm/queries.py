@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_cut, phrases, pii, quality
+from . import bpe, html_cut, phrases, pii, quality, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.digest(phrases.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,7 +43,7 @@ def op10_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_phrases": op1_phrases, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op9_pii": op9_pii, "op10_html_cut": op10_html_cut}
+    return {"op1_phrases": op1_phrases, "op3_suffixes": op3_suffixes, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op9_pii": op9_pii, "op10_html_cut": op10_html_cut}
 
 
 def oracle_sql() -> dict[str, str]:
