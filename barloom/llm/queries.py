@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_cut, phrases, pii, quality, suffixes
+from . import bpe, html_cut, phrases, pii, quality, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,17 @@ def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def _fold(column: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo 5."""
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(5))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(_fold() != 0))
+    return toxicity.score(docs, model).select("doc_id", (_fold() == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,7 +54,7 @@ def op10_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_phrases": op1_phrases, "op3_suffixes": op3_suffixes, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op9_pii": op9_pii, "op10_html_cut": op10_html_cut}
+    return {"op1_phrases": op1_phrases, "op3_suffixes": op3_suffixes, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op9_pii": op9_pii, "op10_html_cut": op10_html_cut}
 
 
 def oracle_sql() -> dict[str, str]:
