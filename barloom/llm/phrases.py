@@ -24,7 +24,7 @@ from .seeds import RANGES, Unit, apply_ranges, groups, plain, segments
 
 #: Segments that are looked at together: the size of an automaton's shard.
 SHARD = 20_000
-_PENDING = "key binary, doc_id long, fp long, start long, first long"
+_PENDING = "key binary, doc_id long, fp int, start long, first long"
 
 
 class Shard:
@@ -100,7 +100,7 @@ def _flagged(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             if end >= 0:
                 for x, v in zip(out, (d, fp, start, end)):
                     x.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "fp", "start", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["doc_id", "fp", "start", "end"])
 
 
 def _pending(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -116,10 +116,10 @@ def _pending(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
                     key = hashlib.blake2b(b" ".join([word[x] for x in w]), digest_size=16).digest()
                     for x, v in zip(out, (key, d, fp, at + k, d)):
                         x.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), *[pa.array(x, pa.int64()) for x in out[1:]]], names=["key", "doc_id", "fp", "start", "first"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["key", "doc_id", "fp", "start", "first"])
 
 
-def repeated_ranges(docs: DataFrame, window: int = 13, seed: int = 5, limit: int = 2000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = 13, seed: int = 4, limit: int = 2000) -> DataFrame:
     """doc_id, fp, start, end: ranges of words in windows that also start in a document of smaller id; ranges may overlap."""
     unit = Unit(words=True, window=window, seed=seed, texts=True)
     found = segments(docs, unit, limit)
@@ -141,7 +141,7 @@ def _cut(text: bytes, ranges: list[tuple[int, int]]) -> tuple[int, int, str]:
     return len(words), removed, b" ".join(kept).decode()
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", window: int = 13, seed: int = 5, limit: int = 2000) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", window: int = 13, seed: int = 4, limit: int = 2000) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every row."""
     own = plain(docs, text)
     return apply_ranges(own, repeated_ranges(own, window, seed, limit), ["doc_id", "n_words", "n_removed", "kept"], "doc_id long, n_words long, n_removed long, kept string", _cut)

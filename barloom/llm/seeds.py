@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,12 +114,13 @@ def segments(docs: DataFrame, unit: Unit, limit: int) -> DataFrame:
     salt = F.when(shards > 1, F.pmod(F.xxhash64("doc_id"), shards)).otherwise(F.lit(-1)).cast("int")
     hits = found.join(recurring, "h").select("doc_id", F.struct("h", salt.alias("salt")).alias("hit"))
     hits = hits.groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
-    both = docs.select("doc_id", "text").join(hits.hint("shuffle_hash"), "doc_id", "left").where("hits IS NOT NULL")
+    # rows without hits are left out in the tasks: a filter here would give the texts a shuffle of their own
+    both = docs.select("doc_id", "text").join(hits.hint("shuffle_hash"), "doc_id", "left")
     both = both.select("doc_id", "text", fingerprint().alias("fp"), F.col("hits.h").alias("h"), F.col("hits.salt").alias("salt"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch.filter(pc.is_valid(batch.column(3)))):
                 w = Windows(part.column(1), unit)
                 lo, hi = w.runs()
                 text, h = w.text[lo] if len(lo) else lo, w.anchor[lo] if len(lo) else lo.astype(np.uint64)
@@ -151,11 +153,11 @@ def segments(docs: DataFrame, unit: Unit, limit: int) -> DataFrame:
                     names=["h", "salt", "doc_id", "fp", "at", "body"],
                 )
 
-    return both.mapInArrow(run, "h long, salt int, doc_id long, fp long, at long, body binary").repartition("h", "salt").sortWithinPartitions("h", "salt", "doc_id")
+    return both.mapInArrow(run, "h long, salt int, doc_id long, fp int, at long, body binary").repartition("h", "salt").sortWithinPartitions("h", "salt", "doc_id")
 
 
 def fingerprint():
-    return F.xxhash64("text")
+    return F.hash("text")
 
 
 def groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -185,7 +187,7 @@ def groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
         yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
 
 
-RANGES = "doc_id long, fp long, start long, end long"
+RANGES = "doc_id long, fp int, start long, end long"
 
 
 def apply_ranges(docs: DataFrame, ranges: DataFrame, names: list[str], schema: str, work) -> DataFrame:

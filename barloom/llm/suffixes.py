@@ -27,7 +27,7 @@ from .seeds import RANGES, Unit, apply_ranges, groups, plain, segments
 #: Segments that are looked at together, and bytes of distinct ones under one suffix array (a larger group goes by itself).
 SHARD_ROWS = 8_000
 SHARD_BYTES = 1 << 19
-_PENDING = "h long, w long, doc_id long, fp long, start long, repeats boolean"
+_PENDING = "h long, w long, doc_id long, fp int, start long, repeats boolean"
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -182,7 +182,7 @@ def _inside(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             for lo, hi in own:
                 for x, v in zip(out, (d, fp, at + lo, at + hi)):
                     x.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "fp", "start", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["doc_id", "fp", "start", "end"])
 
 
 def _pending(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,7 @@ def _pending(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             _, one = np.unique(w, return_index=True)
             n = len(one)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, g[0])), pa.array(w[one]), pa.array([d] * n, pa.int64()), pa.array([fp] * n, pa.int64()), pa.array(at + one), pa.array(repeats[one])],
+                [pa.array(np.full(n, g[0])), pa.array(w[one]), pa.array([d] * n, pa.int64()), pa.array([fp] * n, pa.int32()), pa.array(at + one), pa.array(repeats[one])],
                 names=["h", "w", "doc_id", "fp", "start", "repeats"],
             )
 
