@@ -117,9 +117,10 @@ _LONE = re.compile(r"(?<!\S)[^\W_](?:[ .*_-]+[^\W_](?!\w)){2,}")
 
 
 def tokens(sentence: str) -> list[str]:
-    """Lower-cased words with marks inside; letters that stand alone in a row also make one word."""
+    """Lower-cased words, with marks inside and also without them; letters that stand alone in a row also make one word."""
     sentence = sentence.lower()
     out = _WORD.findall(sentence)
+    out += [re.sub(r"[\W_]+", "", w) for w in out if not w.isalnum()]
     out += [re.sub(r"[\W_]+", "", m) for m in _LONE.findall(sentence)]
     return out
 

@@ -29,9 +29,9 @@ def tables(spark, docs):
 
 def test_kernel_tolerates_gaps():
     marks = toxicity.Landmarks(["idiot"])
-    same, gap, inserted, other = marks.similar(["idiot", "idxiot", "i.d.i.o.t", "table"])[:, 0]
-    assert abs(same - 1) < 1e-5 and gap > 0.6 and inserted > 0.3 and other < 0.2
-    assert "idiot" in toxicity.tokens("you I d-i o T now")
+    same, gap, other = marks.similar(["idiot", "idxiot", "table"])[:, 0]
+    assert abs(same - 1) < 1e-5 and gap > 0.5 and other < 0.2
+    assert "idiot" in toxicity.tokens("you I d-i o T now") and "idiot" in toxicity.tokens("an i.d.i-o*t")
     assert np.allclose(marks.similar(["", "a", "ab"]), 0)
 
 
