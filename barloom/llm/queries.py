@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_cut, jaccard, phrases, pii, quality, suffixes, toxicity
+from . import bpe, html_cut, jaccard, phrases, pii, quality, suffixes, templates, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_phrases": op1_phrases, "op3_suffixes": op3_suffixes, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op8_jaccard": op8_jaccard, "op9_pii": op9_pii, "op10_html_cut": op10_html_cut}
+    return {"op1_phrases": op1_phrases, "op3_suffixes": op3_suffixes, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_templates": op7_templates, "op8_jaccard": op8_jaccard, "op9_pii": op9_pii, "op10_html_cut": op10_html_cut}
 
 
 def oracle_sql() -> dict[str, str]:
