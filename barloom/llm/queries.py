@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_cut, jaccard, phrases, pii, quality, suffixes, templates, toxicity
+from . import bpe, html_cut, jaccard, maxent, phrases, pii, quality, suffixes, templates, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.digest(phrases.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op2_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"), _fold() == 1)
+
+
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -62,7 +66,7 @@ def op10_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_phrases": op1_phrases, "op3_suffixes": op3_suffixes, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_templates": op7_templates, "op8_jaccard": op8_jaccard, "op9_pii": op9_pii, "op10_html_cut": op10_html_cut}
+    return {"op1_phrases": op1_phrases, "op2_maxent": op2_maxent, "op3_suffixes": op3_suffixes, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_templates": op7_templates, "op8_jaccard": op8_jaccard, "op9_pii": op9_pii, "op10_html_cut": op10_html_cut}
 
 
 def oracle_sql() -> dict[str, str]:
