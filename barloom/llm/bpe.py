@@ -246,8 +246,8 @@ def _offsets(counts: np.ndarray) -> pa.Buffer:
     return pa.py_buffer(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", decode: bool = False) -> DataFrame:
-    """doc_id, ids array<int> of every whole text, and with `decode` the bytes that the ids decode to.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", decode: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and `keep` columns, ids array<int> of every whole text, and with `decode` the bytes that the ids decode to.
 
     A null text counts as empty and gets an empty array. Other columns of `docs` are dropped; the
     number of rows stays, repeated ids included.
@@ -258,14 +258,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", d
         for batch in batches:
             for part in text_slices(batch):
                 ids, counts = coder.encode(part.column(1).to_pylist())
-                cols = [part.column(0), pa.Array.from_buffers(pa.list_(pa.int32()), len(counts), [None, _offsets(counts)], children=[pa.array(ids, pa.int32())])]
+                cols = [*part.columns, pa.Array.from_buffers(pa.list_(pa.int32()), len(counts), [None, _offsets(counts)], children=[pa.array(ids, pa.int32())])]
                 if decode:
                     data, sizes = coder.decode(ids, counts)
                     cols.append(pa.Array.from_buffers(pa.binary(), len(sizes), [None, _offsets(sizes), pa.py_buffer(data)]))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded"][: len(cols)])
+                yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names, "ids", "decoded"][: len(cols)])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return own.mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decode)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *keep)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    return own.mapInArrow(run, f"{fields}, ids array<int>" + ", decoded binary" * decode)
 
 
 def digest(coded: DataFrame) -> DataFrame:

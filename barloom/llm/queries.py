@@ -19,22 +19,22 @@ def op1_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maxent.score(table(spark, sf_dir, "documents"), _fold() == 1)
+    return maxent.score(table(spark, sf_dir, "documents"), fold() == 1)
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-def _fold(column: str = "doc_id") -> Column:
+def fold(column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(5))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(_fold() != 0))
-    return toxicity.score(docs, model).select("doc_id", (_fold() == 0).alias("held_out"), "score", "predicted")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(fold() != 0))
+    return toxicity.score(docs, model).select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
