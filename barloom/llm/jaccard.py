@@ -5,7 +5,7 @@ class. The sets are put in one global order, by hash, with the most frequent shi
 whose Jaccard similarity reaches the threshold share a shingle among the first few of each, their
 prefixes. Classes with the same prefix and size are collapsed into one group before the join. In each
 posting (the groups that share a prefix shingle) pairs are filtered by size, by place and by counts of
-shingles in 32 bins, which bound the overlap from above. What remains connected are candidate
+shingles in bins, which bound the overlap from above. What remains connected are candidate
 clusters; their groups are expanded, and members are verified by their whole sets.
 
 No pair is emitted: postings and clusters give spanning links only, which lose no component. Postings
@@ -32,9 +32,10 @@ from .components import components
 from .seeds import plain
 from .workspace import written
 
+#: Bins of a set: a power of two, this many at least, so many that a bin has about 16 to 32 shingles.
 BINS = 32
-#: Members of a posting or cluster that one task compares with each other.
-BLOCK = 4096
+#: Members of a posting, and shingles of a cluster, that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
 
 
 def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -104,15 +105,23 @@ def _order(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])
 
 
+def _bins(s: np.ndarray) -> np.ndarray:
+    """Shingles by some bits of their hash; halves of the bins can be folded together."""
+    count = BINS
+    while 32 * count < len(s):
+        count *= 2
+    return np.bincount((s >> np.uint64(11) & np.uint64(count - 1)).astype(np.int64), minlength=count).astype(np.int32)
+
+
 def profiles(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n, key, prefix and bins (shingles by five bits of their hash) of each row with shingles."""
+    """doc_id, n, key, prefix and bins of each row with shingles."""
 
     def work(part: pa.RecordBatch) -> list:
         sets = _sets(part.column(1), size)
         own = np.flatnonzero([len(s) > 0 for s in sets])
         sets = [sets[i] for i in own]
         prefix = [_order(s, hot)[: _prefix(len(s), percent)].view(np.int64) for s in sets]
-        bins = [np.bincount((s >> np.uint64(11) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int32).tobytes() for s in sets]
+        bins = [_bins(s).tobytes() for s in sets]
         return [part.column(0).take(pa.array(own)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bins, pa.binary())]
 
     return _map(docs, "doc_id long, n long, key binary, prefix array<long>, bins binary", work)
@@ -164,37 +173,59 @@ def _spanning(near, m: int) -> list[tuple[int, int]]:
     return links
 
 
+class _Bounds:
+    """Upper bounds of the overlaps of a batch's sets, by their bins; without bins the smaller size."""
+
+    def __init__(self, n: np.ndarray, bins: pa.Array):
+        self.n = n
+        raw = [None if x is None else np.frombuffer(x, np.int32) for x in bins.to_pylist()]
+        self.count = np.array([0 if x is None else len(x) for x in raw])
+        self.level: dict[int, np.ndarray] = {}
+        self.row = np.zeros(len(n), np.int64)
+        for k in np.unique(self.count).tolist():
+            own = np.flatnonzero(self.count == k)
+            self.row[own] = np.arange(len(own))
+            self.level[k] = np.stack([raw[i] for i in own]) if k else np.zeros((len(own), 0), np.int32)
+
+    def of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For places x and y, pair by pair."""
+        out = np.minimum(self.n[x], self.n[y])
+        for k in np.unique(self.count[x]).tolist():
+            for j in np.unique(self.count[y]).tolist():
+                least = min(j, k)
+                own = np.flatnonzero((self.count[x] == k) & (self.count[y] == j)) if least else ()
+                if len(own):
+                    a = self.level[k][self.row[x[own]]].reshape(len(own), -1, least).sum(axis=1)
+                    b = self.level[j][self.row[y[own]]].reshape(len(own), -1, least).sum(axis=1)
+                    out[own] = np.minimum(a, b).sum(axis=1)
+        return out
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Spanning links of the pairs of a posting that the filters leave."""
     for batch, cut in whole_groups(batches, ["token", "i", "j"]):
         ids = batch.column("grp").to_numpy()
         n, at = batch.column("n").to_numpy(), batch.column("at").to_numpy()
-        bins = np.repeat(n[:, None], BINS, axis=1).astype(np.int32)
-        raw = batch.column("bins")
-        known = np.flatnonzero(raw.is_valid().to_numpy(zero_copy_only=False))
-        bins[known] = np.frombuffer(b"".join(raw.drop_null().to_pylist()), np.int32).reshape(-1, BINS)
+        bounds = _Bounds(n, batch.column("bins"))
         a, b = [], []
 
-        def near(i: int, js: np.ndarray, lo: int = 0) -> np.ndarray:
-            i, js = i + lo, js + lo
-            need = percent * (n[i] + n[js])  # of (100 + percent) times the overlap
-            rest = np.minimum(n[i] - at[i], n[js] - at[js]) + np.minimum(at[i], at[js])
-            ok = ((100 + percent) * rest >= need) & (100 * np.minimum(n[i], n[js]) >= percent * np.maximum(n[i], n[js]))
-            ok[ok] = (100 + percent) * np.minimum(bins[i], bins[js[ok]]).sum(axis=1) >= need[ok]
+        def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """By size, by what can follow the shared place, and by bins."""
+            need = percent * (n[x] + n[y])  # noqa: B023  of (100 + percent) times the overlap
+            rest = np.minimum(n[x] - at[x], n[y] - at[y]) + np.minimum(at[x], at[y])  # noqa: B023
+            ok = ((100 + percent) * rest >= need) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))  # noqa: B023
+            own = np.flatnonzero(ok)
+            ok[own] = (100 + percent) * bounds.of(x[own], y[own]) >= need[own]  # noqa: B023
             return ok
 
         sizes = np.diff(cut)
         two = cut[:-1][sizes == 2]
         if len(two):  # most postings: all at once
-            x, y = two, two + 1
-            need = percent * (n[x] + n[y])
-            rest = np.minimum(n[x] - at[x], n[y] - at[y]) + np.minimum(at[x], at[y])
-            ok = ((100 + percent) * rest >= need) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-            ok &= (100 + percent) * np.minimum(bins[x], bins[y]).sum(axis=1) >= need
-            a.append(ids[x[ok]])
-            b.append(ids[y[ok]])
+            ok = close(two, two + 1)
+            a.append(ids[two[ok]])
+            b.append(ids[two[ok] + 1])
         for lo, m in zip(cut[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            if links := _spanning(lambda i, js, lo=lo: near(i, js, lo), m):
+            if links := _spanning(lambda i, js, lo=lo: close(np.full(len(js), i + lo), js + lo), m):  # noqa: B023
                 x, y = np.array(links).T + lo
                 a.append(ids[x])
                 b.append(ids[y])
@@ -204,7 +235,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Spanning links of the similar pairs of a cluster, by whole sets."""
-    for batch, cut in whole_groups(batches, ["cluster", "i", "j"], 256):
+    for batch, cut in whole_groups(batches, ["cluster", "i", "j"], 64):
         ids, bodies = batch.column("doc_id").to_numpy(), batch.column("shingles")
         a, b = [], []
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -235,14 +266,14 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 
 def _blocks(df: DataFrame, key: str, count: str, member: str, block: int) -> DataFrame:
-    """Adds i and j, the pair of blocks that a row takes part in; one pair for a key of up to `block` members."""
+    """Adds i and j, the pair of blocks that a row takes part in; one pair for a key whose count is up to `block`."""
     shards = F.ceil(F.col(count) / block).cast("int")
     mine = F.pmod(F.xxhash64(member), F.greatest(shards, F.lit(1))).cast("int")
     df = df.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.greatest(shards, F.lit(1)) - 1)))
     return df.withColumn("i", F.least("_mine", "_other")).withColumn("j", F.greatest("_mine", "_other")).drop("_mine", "_other")
 
 
-def link(docs: DataFrame, text: str = "text", size: int = 3, percent: int = 90, hot_share: int = 1000, block: int = BLOCK) -> DataFrame:
+def link(docs: DataFrame, text: str = "text", size: int = 3, percent: int = 90, hot_share: int = 1000, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable over similar pairs) of every row; similar: 100 * overlap >= percent * union."""
     own = plain(docs, text)
     known = written(classes(own, size), "classes")
@@ -268,16 +299,17 @@ def link(docs: DataFrame, text: str = "text", size: int = 3, percent: int = 90,
     cluster = cluster.unionByName(cluster.select(F.col("component").alias("node"), "component").distinct())
     cluster = written(cluster.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
 
-    sizes = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
-    member = cluster.join(sizes, "cluster")
+    cluster = cluster.join(full.select("doc_id", F.col("n").alias("shingles")), "doc_id")
+    sizes = cluster.groupBy("cluster").agg(F.sum("shingles").alias("total"))
+    member = cluster.select("doc_id", "cluster").join(sizes, "cluster")
     inside = own.join(member.hint("shuffle_hash"), "doc_id")
 
     def work(part: pa.RecordBatch) -> list:
         sets = [s.tobytes() for s in _sets(part.column(1), size)]
         return [part.column(0), part.column(2), part.column(3), pa.array(sets, pa.binary())]
 
-    sets = _map(inside.select("doc_id", "text", "cluster", "members"), "doc_id long, cluster long, members long, shingles binary", work)
-    sets = _blocks(sets, "cluster", "members", "doc_id", block).select("cluster", "i", "j", "doc_id", "shingles")
+    sets = _map(inside.select("doc_id", "text", "cluster", "total"), "doc_id long, cluster long, total long, shingles binary", work)
+    sets = _blocks(sets, "cluster", "total", "doc_id", block_shingles).select("cluster", "i", "j", "doc_id", "shingles")
     sets = sets.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     links = components(sets.mapInArrow(lambda b: _verified(b, percent), "a long, b long"))
 

@@ -37,7 +37,7 @@ def corpus(seed, n=150):
     vocab = [f"w{i}" for i in range(400)]
     texts = []
     for _ in range(n // 10):
-        base = [random.choice(vocab) for _ in range(random.choice([1, 2, 3, 5, 12, 22, 60, 200, 300]))]
+        base = [random.choice(vocab) for _ in range(random.choice([1, 2, 3, 5, 12, 22, 60, 200, 300, 3000]))]
         for _ in range(10):
             w = list(base)
             for _ in range(random.choice([0, 0, 1, 1, 2, 3, 5])):
@@ -52,7 +52,7 @@ def corpus(seed, n=150):
 def test_same_as_brute_force(docs, seed, block, hot_share):
     texts = corpus(seed)
     ids = random.sample(range(10_000), len(texts))
-    got = jaccard.link(docs(texts, ids, extra=True), block=block, hot_share=hot_share)
+    got = jaccard.link(docs(texts, ids, extra=True), block=block, block_shingles=100 * block, hot_share=hot_share)
     assert sorted(tuple(r) for r in got.collect()) == brute(ids, texts)
 
 
