@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_cut, jaccard, maxent, phrases, pii, quality, suffixes, templates, toxicity
+from . import bpe, html_cut, jaccard, maxent, oracles, phrases, pii, quality, suffixes, templates, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality": quality.oracle_sql()}
+    return oracles.oracle_sql()
