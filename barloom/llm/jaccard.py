@@ -110,7 +110,8 @@ def _bins(s: np.ndarray) -> np.ndarray:
     count = BINS
     while 32 * count < len(s):
         count *= 2
-    return np.bincount((s >> np.uint64(11) & np.uint64(count - 1)).astype(np.int64), minlength=count).astype(np.int32)
+    # a bin has 32 shingles at most on average, so 16 bits hold its count
+    return np.bincount((s >> np.uint64(11) & np.uint64(count - 1)).astype(np.int64), minlength=count).astype(np.uint16)
 
 
 def profiles(docs: DataFrame, hot: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -178,14 +179,14 @@ class _Bounds:
 
     def __init__(self, n: np.ndarray, bins: pa.Array):
         self.n = n
-        raw = [None if x is None else np.frombuffer(x, np.int32) for x in bins.to_pylist()]
+        raw = [None if x is None else np.frombuffer(x, np.uint16) for x in bins.to_pylist()]
         self.count = np.array([0 if x is None else len(x) for x in raw])
         self.level: dict[int, np.ndarray] = {}
         self.row = np.zeros(len(n), np.int64)
         for k in np.unique(self.count).tolist():
             own = np.flatnonzero(self.count == k)
             self.row[own] = np.arange(len(own))
-            self.level[k] = np.stack([raw[i] for i in own]) if k else np.zeros((len(own), 0), np.int32)
+            self.level[k] = np.stack([raw[i] for i in own]) if k else np.zeros((len(own), 0), np.uint16)
 
     def of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """For places x and y, pair by pair."""
