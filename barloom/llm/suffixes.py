@@ -46,8 +46,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     after = np.append(text, 0)[nxt + 1]
     larger = np.where(nxt == n - 1, True, after < text)
     data = text.astype(np.uint8).tobytes()
-    small = sorted(np.flatnonzero(~larger).tolist(), key=lambda i: data[i : i + depth])
-    small_arr = np.array(small, np.int64)
+    small_arr = np.flatnonzero(~larger)
+    small_arr = small_arr[np.argsort(text[small_arr], kind="stable")]
+    cut = np.searchsorted(text[small_arr], np.arange(258))
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):  # bucket by bucket, which keeps few keys at a time
+        if hi - lo > 1:
+            small_arr[lo:hi] = sorted(small_arr[lo:hi].tolist(), key=lambda i: data[i : i + depth])
     small_first = text[small_arr] if len(small_arr) else small_arr
     bounds = np.searchsorted(small_first, np.arange(258))
     waiting: list[list[np.ndarray]] = [[] for _ in range(257)]
@@ -76,28 +80,32 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Length of the common prefix of each suffix in `order` with the next one, `depth` at most."""
+    """Length of the common prefix of each suffix in `order` with the next one, `depth` at most; 0 for the last.
+
+    Found by halving, on hashes of segments; a prefix of full depth is also compared byte by byte.
+    """
     n = len(order)
     out = np.zeros(n, np.int64)
     if n < 2:
         return out
-    padded = np.append(text.astype(np.uint8), np.zeros(depth + 8, np.uint8))
-    words = np.lib.stride_tricks.as_strided(padded.view(), (len(padded) - 7, 8), (1, 1))
-    a, b, at = order[:-1], order[1:], np.arange(n - 1)
-    reach = 0
-    while reach < depth and len(at):
-        x = np.ascontiguousarray(words[a + reach]).view("<u8").ravel() ^ np.ascontiguousarray(words[b + reach]).view("<u8").ravel()
-        differ = x != 0
-        low = x[differ] & (~x[differ] + np.uint64(1))
-        out[at[differ]] = reach + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
-        a, b, at = a[~differ], b[~differ], at[~differ]
-        reach += 8
-        # past the text's end, padding would compare as equal
-        inside = np.maximum(a, b) + reach < len(padded) - 8
-        out[at[~inside]] = reach
-        a, b, at = a[inside], b[inside], at[inside]
-    out[at] = reach
-    return np.minimum(out, np.minimum(depth, len(text) - np.maximum(np.append(order[:-1], order[-1]), np.append(order[1:], order[-1]))))
+    a, b = order[:-1], order[1:]
+    hashes = rolling.Segments(text)
+    most = np.minimum(depth, len(text) - np.maximum(a, b))
+    whole = hashes.of(a, a + most) == hashes.of(b, b + most)
+    out[:-1][whole] = most[whole]
+    rest = np.flatnonzero(~whole)
+    low, high = np.zeros(len(rest), np.int64), most[rest]  # equal up to low, not up to high
+    while len(rest) and (high - low).max() > 1:
+        mid = (low + high) >> 1
+        same = hashes.of(a[rest], a[rest] + mid) == hashes.of(b[rest], b[rest] + mid)
+        low, high = np.where(same, mid, low), np.where(same, high, mid)
+    out[rest] = low
+    data = text.astype(np.uint8).tobytes()
+    for i in np.flatnonzero(whole & (most == depth)).tolist():
+        x, y = int(a[i]), int(b[i])
+        if data[x : x + depth] != data[y : y + depth]:
+            out[i] = depth - 1
+    return out
 
 
 def repeating(bodies: list[bytes], window: int) -> list[np.ndarray]:
@@ -155,11 +163,36 @@ class Shard:
         self._array(part)
 
     def _array(self, part: list[tuple[tuple, bytes]]) -> None:
+        """Repeats within the groups of `part`, by a suffix array of what may repeat.
+
+        A window whose hash is single in its group can't repeat there: segments are trimmed to the rest.
+        """
         if not part:
             return
-        for (g, b), hit in zip(part, repeating([b for _, b in part], self.window)):
-            if b not in self.hits[g]:
-                self.hits[g][b] = hit
+        lens = np.fromiter((len(b) for _, b in part), np.int64, len(part))
+        start = np.cumsum(lens) - lens
+        names = {g: i for i, g in enumerate(dict.fromkeys(g for g, _ in part))}
+        group = np.repeat(np.array([names[g] for g, _ in part]), lens)
+        hashes = rolling.Segments(np.frombuffer(b"".join([b for _, b in part]), np.uint8)).windows(self.window)
+        of = np.repeat(np.arange(len(part)), lens)[: len(hashes)]
+        inside = np.flatnonzero(np.arange(len(hashes)) + self.window <= (start + lens)[of])
+        keys = rolling.mix(hashes[inside] + group[inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        _, where, count = np.unique(keys, return_inverse=True, return_counts=True)
+        may = inside[count[where] > 1]
+        first = np.searchsorted(may, start)
+        last = np.searchsorted(may, start + lens)
+        left = np.flatnonzero(last > first)
+        low = may[first[left]] - start[left] if len(left) else left
+        high = may[last[left] - 1] - start[left] + self.window if len(left) else left
+        for g, b in part:
+            self.hits[g].setdefault(b, np.zeros(0, np.int64))
+        if not len(left):
+            return
+        bodies = [part[i][1][x:y] for i, x, y in zip(left.tolist(), low.tolist(), high.tolist())]
+        for i, x, hit in zip(left.tolist(), low.tolist(), repeating(bodies, self.window)):
+            g, b = part[i]
+            if (own := self.hits[g][b]) is not None:
+                self.hits[g][b] = np.union1d(own, hit + x).astype(np.int64)
 
     def repeats(self, g: tuple, b: bytes) -> np.ndarray:
         n = len(b) - self.window + 1
