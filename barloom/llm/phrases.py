@@ -57,28 +57,48 @@ class Shard:
         for g, d, c in zip(self.group, self.doc, self.code):
             self.first.setdefault((g, c), d)
             self.last[g, c] = d
-        windows: dict[tuple[tuple, str], list[int]] = {}
-        for (g, c), lo in self.first.items():
-            hi = self.last[g, c]
-            for k in range(len(c) - window + 1):
-                own = windows.get(key := (g, c[k : k + window]))
-                if own is None:
-                    windows[key] = [lo, hi]
-                else:
-                    own[0], own[1] = min(own[0], lo), max(own[1], hi)
-        self.windows = windows
-
-    def locate(self) -> dict[str, list[tuple[int, int]]]:
-        """By distinct segment: offsets of windows that recur, with their first documents."""
+        of_group: dict[tuple, list[str]] = {}
+        for g, c in self.first:
+            of_group.setdefault(g, []).append(c)
+        #: The first document of passages that occur in two or more: whole segments where a group has but one, else windows.
+        self.confirmed: dict[str, int] = {}
+        for g, own in of_group.items():
+            if len(own) == 1:
+                lo = self.first[g, own[0]]
+                if lo < self.last[g, own[0]]:
+                    self._confirm(own[0], lo)
+                continue
+            for w, (lo, hi) in self.windows(g, own).items():
+                if lo < hi:
+                    self._confirm(w, lo)
+        self.of_group = of_group
+
+    def _confirm(self, passage: str, doc: int) -> None:
+        self.confirmed[passage] = min(doc, self.confirmed.get(passage, doc))
+
+    def windows(self, g: tuple, segments: list[str]) -> dict[str, tuple[int, int]]:
+        """The first and last document of each window of a group's segments."""
+        out: dict[str, tuple[int, int]] = {}
+        n = self.window
+        for c in segments:
+            lo, hi = self.first[g, c], self.last[g, c]
+            for k in range(len(c) - n + 1):
+                w = c[k : k + n]
+                own = out.get(w)
+                out[w] = (lo, hi) if own is None else (min(own[0], lo), max(own[1], hi))
+        return out
+
+    def locate(self) -> dict[str, list[tuple[int, int, int]]]:
+        """By distinct segment: begin and end of each occurrence of a confirmed passage, with its first document."""
         auto = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for (_, w), (lo, hi) in self.windows.items():
-            if lo < hi:
-                auto.add_word(w, min(lo, auto.get(w, lo)))
-        out: dict[str, list[tuple[int, int]]] = {c: [] for c in self.code}
+        for passage, doc in self.confirmed.items():
+            auto.add_word(passage, (len(passage), doc))
+        out: dict[str, list[tuple[int, int, int]]] = {c: [] for c in self.code}
         if len(auto):
             auto.make_automaton()
             for c, hits in out.items():
-                hits += [(end - self.window + 1, lo) for end, lo in auto.iter(c)]
+                hits += [(end + 1 - n, end + 1, doc) for end, (n, doc) in auto.iter(c)]
+                hits.sort()
         return out
 
 
@@ -89,14 +109,14 @@ def _flagged(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         out: tuple[list, list, list, list] = ([], [], [], [])
         for d, fp, at, c in zip(shard.doc, shard.fp, shard.at, shard.code):
             start = end = -1
-            for k, lo in hits[c]:
+            for a, b, lo in hits[c]:
                 if lo < d:
-                    if k > end - at:
+                    if at + a > end:
                         if end >= 0:
                             for x, v in zip(out, (d, fp, start, end)):
                                 x.append(v)
-                        start = at + k
-                    end = at + k + window
+                        start = at + a
+                    end = max(end, at + b)
             if end >= 0:
                 for x, v in zip(out, (d, fp, start, end)):
                     x.append(v)
@@ -109,10 +129,11 @@ def _pending(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         shard = Shard(batch, window)
         word = {c: w for w, c in shard.number.items()}
         out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+        first = {g: shard.windows(g, own) for g, own in shard.of_group.items()}
         for g, d, fp, at, c in zip(shard.group, shard.doc, shard.fp, shard.at, shard.code):
             for k in range(len(c) - window + 1):
                 w = c[k : k + window]
-                if shard.windows[g, w][0] == d:
+                if first[g][w][0] == d:
                     key = hashlib.blake2b(b" ".join([word[x] for x in w]), digest_size=16).digest()
                     for x, v in zip(out, (key, d, fp, at + k, d)):
                         x.append(v)
