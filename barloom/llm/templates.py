@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose surrounding marks and the case of A-Z; numbers, units after numbers and names (capitalised
-inside a sentence) become typed slots. Windows of five template words of documents are hash-joined
-with those of the benchmark. Windows of one alignment count if their slots agree: equal values of the
+inside a sentence) become typed slots. A capitalised word that may begin a sentence (after . ! ? : or a
+line break) is either a name or a plain word: its windows are taken in both forms, in items and in
+documents alike. Windows of five template words of documents are hash-joined with those of the benchmark. Windows of one alignment count if their slots agree: equal values of the
 item are equal in the document, and different ones differ. A document leaks an item if windows that
 agree cover `least` of the item's.
 
@@ -88,8 +89,10 @@ class Templates:
             at = np.minimum(np.searchsorted(_UNIT_HASHES, value[1:]), len(_UNIT_HASHES) - 1)
             unit[1:] = (_UNIT_HASHES[at] == value[1:]) & (number | glued)[:-1] & (text[1:] == text[:-1])
         second = raw[np.minimum(s + 1, len(raw) - 1)] if len(raw) else raw
-        name = _UPPER[raw[s]] & _LOWER[second] & (e - s > 1) & ~begins if len(raw) else number
+        capital = _UPPER[raw[s]] & _LOWER[second] & (e - s > 1) if len(raw) else number
+        name = capital & ~begins
         slot = number | glued | unit | name
+        either = capital & begins & ~slot
         self.word = np.where(number | glued, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
         self.value = np.where(slot, value, np.uint64(0))
         per = np.searchsorted(text, np.arange(len(texts) + 1))
@@ -101,19 +104,47 @@ class Templates:
             hashes = np.where(few, rolling.mix(hashes ^ rolling.Segments(self.value).windows(WINDOW)), hashes)
         self.at = np.flatnonzero(own)
         self.hash = hashes[self.at]
-        self.text = text[self.at] if len(self.at) else self.at
+        self.own = self.hash
+        self.form = np.zeros(len(self.at), np.int64)
+        self.spelt = value
         self.first = per
+        self._other_forms(either, slot)
+        self.text = text[self.at] if len(self.at) else self.at
+
+    def _other_forms(self, either: np.ndarray, slot: np.ndarray) -> None:
+        """Adds the windows in which words of `either` are names; `form` has a bit for each such word."""
+        bits = np.zeros(len(self.at), np.int64)
+        for j in range(WINDOW):
+            bits |= either[self.at + j].astype(np.int64) << j
+        at, own, form, hashes = [self.at], [self.own], [self.form], [self.hash]
+        some = np.flatnonzero(bits)
+        for form_ in range(1, 1 << WINDOW) if len(some) else ():
+            some_ = some[form_ & ~bits[some] == 0]
+            if not len(some_):
+                continue
+            place = self.at[some_][:, None] + np.arange(WINDOW)
+            named = form_ >> np.arange(WINDOW) & 1 > 0
+            h = rolling.Segments(np.where(named, _NAME, self.word[place]).ravel()).windows(WINDOW)[::WINDOW]
+            values = rolling.Segments(np.where(named, self.spelt[place], self.value[place]).ravel()).windows(WINDOW)[::WINDOW]
+            few = WINDOW - (slot[place] | named).sum(axis=1) < PLAIN
+            at.append(self.at[some_])
+            own.append(self.own[some_])
+            form.append(np.full(len(some_), form_))
+            hashes.append(np.where(few, rolling.mix(h ^ values), h))
+        self.at, self.own, self.form, self.hash = (np.concatenate(x) for x in (at, own, form, hashes))
 
     def rows(self, keep: np.ndarray, ids: pa.Array) -> list[pa.Array]:
         at = self.at[keep]
-        values = self.value[at[:, None] + np.arange(WINDOW)].view(np.int64).ravel() if len(at) else np.zeros(0, np.int64)
+        place = at[:, None] + np.arange(WINDOW)
+        named = self.form[keep][:, None] >> np.arange(WINDOW) & 1 > 0
+        values = np.where(named, self.spelt[place], self.value[place]).view(np.int64).ravel() if len(at) else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * WINDOW, pa.int32()), pa.array(values))
         text = self.text[keep]
-        return [ids.take(pa.array(text)), pa.array((at - self.first[text]).astype(np.int64)), pa.array(self.hash[keep].view(np.int64)), lists]
+        return [ids.take(pa.array(text)), pa.array((at - self.first[text]).astype(np.int64)), pa.array(self.hash[keep].view(np.int64)), pa.array(self.own[keep].view(np.int64)), lists]
 
 
 def windows(table: DataFrame, key: str, text: str = "text", bitmap: np.ndarray | None = None) -> DataFrame:
-    """key, at, h and slots of the template windows of each whole text; with a bitmap, of those whose bit is set."""
+    """key, at, h, own (h of the form without names at sentence starts) and slots of the template windows of each whole text; with a bitmap, of those whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,10 +155,10 @@ def windows(table: DataFrame, key: str, text: str = "text", bitmap: np.ndarray |
                 else:
                     bit = t.hash >> np.uint64(64 - BITS)
                     keep = np.flatnonzero(bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
-                yield pa.RecordBatch.from_arrays(t.rows(keep, part.column(0)), names=[key, "at", "h", "slots"])
+                yield pa.RecordBatch.from_arrays(t.rows(keep, part.column(0)), names=[key, "at", "h", "own", "slots"])
 
     own = table.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).where(f"`{key}` IS NOT NULL AND text IS NOT NULL")
-    return own.mapInArrow(run, f"`{key}` long, at long, h long, slots array<long>")
+    return own.mapInArrow(run, f"`{key}` long, at long, h long, own long, slots array<long>")
 
 
 def _bitmap(bench: DataFrame) -> np.ndarray:
@@ -144,13 +175,13 @@ def _bitmap(bench: DataFrame) -> np.ndarray:
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows (distinct ones of the item), n_found, coverage and first_at (word) of each leaked item."""
     bench = windows(benchmark, "item_id", text)
-    items = bench.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
-    found = windows(docs, "doc_id", text, _bitmap(bench))
-    pairs = found.join(bench.select("item_id", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")), "h")
-    pairs = pairs.select("doc_id", "item_id", "h", "at", (F.col("at") - F.col("item_at")).alias("shift"), F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda x: x["a"] != 0).alias("slots"))
+    items = bench.groupBy("item_id").agg(F.countDistinct("own").alias("n_windows"))
+    found = windows(docs, "doc_id", text, _bitmap(bench)).drop("own")
+    pairs = found.join(bench.select("item_id", "h", "own", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")), "h")
+    pairs = pairs.select("doc_id", "item_id", "own", "at", (F.col("at") - F.col("item_at")).alias("shift"), F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda x: x["a"] != 0).alias("slots"))
     # slots of one alignment: a one-to-one relation between the item's values and the document's
-    lined = pairs.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("h").alias("hs"), F.min("at").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    lined = pairs.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("own").alias("hs"), F.min("at").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     agree = (F.size(F.array_distinct(F.transform("slots", lambda x: x["a"]))) == F.size("slots")) & (F.size(F.array_distinct(F.transform("slots", lambda x: x["b"]))) == F.size("slots"))
-    by = lined.where(agree).select("doc_id", "item_id", "at", F.explode("hs").alias("h")).groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n_found"), F.min("at").alias("first_at"))
+    by = lined.where(agree).select("doc_id", "item_id", "at", F.explode("hs").alias("own")).groupBy("doc_id", "item_id").agg(F.countDistinct("own").alias("n_found"), F.min("at").alias("first_at"))
     out = by.join(items, "item_id").select("doc_id", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("coverage"), "first_at")
     return out.where(F.col("coverage") >= least)

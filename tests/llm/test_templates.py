@@ -62,6 +62,19 @@ def test_plain_words_like_brute_force(spark, docs, save):
     assert got == brute(texts, items)
 
 
+NAMED = "The school has one garden with a long wall. Tom waters all of the green plants there on every warm day. Mary helps the others to pick ripe fruit. Dr. Stone then sells them in the market by the river for a fair price."
+
+
+def test_names_at_sentence_starts(spark, docs):
+    other = NAMED.replace("Tom", "Ben").replace("Mary", "Ruth").replace("Stone", "Wood")
+    wrapped = re.sub(r" (Stone|of|helps|river)", r"\n\1", NAMED)
+    texts = [NAMED, other, "x\n" + wrapped, wrapped.replace("Stone", "Wood"), "they say: " + NAMED[0].lower() + NAMED[1:], " ".join(NAMED.split()[::-1])]
+    df, bench = tables(spark, docs, texts, [NAMED])
+    got = {r.doc_id: r for r in templates.leaks(df, bench).collect()}
+    assert set(got) == {0, 1, 2, 3, 4}
+    assert {i for i, r in got.items() if r.coverage == 1} == {0, 1, 2, 3, 4} and len({r.n_windows for r in got.values()}) == 1
+
+
 def test_empty(spark, docs):
     df, bench = tables(spark, docs, [ITEM], [ITEM])
     assert templates.leaks(df.limit(0), bench).count() == 0
