@@ -3,9 +3,10 @@
 Words lose surrounding marks and the case of A-Z; numbers, units after numbers and names (capitalised
 inside a sentence) become typed slots. A capitalised word that may begin a sentence (after . ! ? : or a
 line break) is either a name or a plain word: its windows are taken in both forms, in items and in
-documents alike. Windows of five template words of documents are hash-joined with those of the benchmark. Windows of one alignment count if their slots agree: equal values of the
-item are equal in the document, and different ones differ. A document leaks an item if windows that
-agree cover `least` of the item's.
+documents alike. Windows of five template words of documents are hash-joined with those of the benchmark. The slots of one alignment give a one-to-one mapping of the item's values
+to the document's, by the number of places that speak for each pair; windows whose slots contradict it do
+not count, unless their values are the item's own. A document leaks an item if windows that agree cover
+`least` of the item's.
 
 A bitmap of fixed size, made of the benchmark's window hashes, leaves out most windows before the
 join; a larger benchmark only fills it more. Windows with fewer than three plain words are joined on
@@ -178,10 +179,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, text: str =
     items = bench.groupBy("item_id").agg(F.countDistinct("own").alias("n_windows"))
     found = windows(docs, "doc_id", text, _bitmap(bench)).drop("own")
     pairs = found.join(bench.select("item_id", "h", "own", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")), "h")
-    pairs = pairs.select("doc_id", "item_id", "own", "at", (F.col("at") - F.col("item_at")).alias("shift"), F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda x: x["a"] != 0).alias("slots"))
-    # slots of one alignment: a one-to-one relation between the item's values and the document's
-    lined = pairs.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("own").alias("hs"), F.min("at").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    agree = (F.size(F.array_distinct(F.transform("slots", lambda x: x["a"]))) == F.size("slots")) & (F.size(F.array_distinct(F.transform("slots", lambda x: x["b"]))) == F.size("slots"))
-    by = lined.where(agree).select("doc_id", "item_id", "at", F.explode("hs").alias("own")).groupBy("doc_id", "item_id").agg(F.countDistinct("own").alias("n_found"), F.min("at").alias("first_at"))
+    slots = F.filter(F.transform(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda x, k: F.struct((F.col("item_at") + k).alias("i"), x["a"].alias("a"), x["b"].alias("b"))), lambda x: x["a"] != 0)
+    pairs = pairs.select("doc_id", "item_id", "own", "at", (F.col("at") - F.col("item_at")).alias("shift"), slots.alias("slots"))
+    lined = pairs.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.struct("own", "at", "slots")).alias("ws"))
+    lined = lined.withColumn("all", F.array_distinct(F.flatten("ws.slots")))
+    # places that speak for each pair of values; of as many, the pair of equal values comes first
+    count = lambda x: F.size(F.filter("all", lambda y: (y["a"] == x["a"]) & (y["b"] == x["b"])))
+    lined = lined.withColumn("votes", F.array_distinct(F.transform("all", lambda x: F.struct(count(x).alias("n"), (x["a"] == x["b"]).alias("same"), x["a"].alias("a"), x["b"].alias("b")))))
+    rival = lambda x, y: ((y["a"] == x["a"]) | (y["b"] == x["b"])) & (y > x)
+    lined = lined.withColumn("map", F.transform(F.filter("votes", lambda x: ~F.exists("votes", lambda y: rival(x, y))), lambda x: F.struct(x["a"], x["b"])))
+    fits = lambda x: F.array_contains("map", F.struct(x["a"], x["b"]))
+    good = F.filter("ws", lambda w: F.forall(w["slots"], lambda x: x["a"] == x["b"]) | F.forall(w["slots"], fits))
+    by = lined.select("doc_id", "item_id", F.explode(good).alias("w")).groupBy("doc_id", "item_id").agg(F.countDistinct("w.own").alias("n_found"), F.min("w.at").alias("first_at"))
     out = by.join(items, "item_id").select("doc_id", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("coverage"), "first_at")
     return out.where(F.col("coverage") >= least)

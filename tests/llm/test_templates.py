@@ -75,6 +75,22 @@ def test_names_at_sentence_starts(spark, docs):
     assert {i for i, r in got.items() if r.coverage == 1} == {0, 1, 2, 3, 4} and len({r.n_windows for r in got.values()}) == 1
 
 
+LONG = ITEM + " She reads the same book for 35 minutes while an old man next to her sleeps on a bench and a dog looks for 6 crumbs under it, then the two of them walk home through the rain."
+
+
+def test_contradicting_slots_cost_their_windows_only(spark, docs):
+    texts = [
+        LONG.replace("since 9", "since 8"),  # one of two equal numbers altered
+        LONG.replace("for 6", "for 35"),  # two numbers became equal
+        LONG.replace("9", "7").replace("120", "95").replace("since 7", "since 4"),  # renumbered, but for one
+        re.sub(r"\d+", lambda m: str(m.start() % 7), LONG.replace("o'clock", "oh").replace("same book", "old map").replace("the rain", "all snow")),
+    ]
+    df, bench = tables(spark, docs, texts, [LONG])
+    got = {r.doc_id: r for r in templates.leaks(df, bench).collect()}
+    assert set(got) == {0, 1, 2}
+    assert all(r.n_found == r.n_windows - 5 for i, r in got.items() if i < 2)
+
+
 def test_empty(spark, docs):
     df, bench = tables(spark, docs, [ITEM], [ITEM])
     assert templates.leaks(df.limit(0), bench).count() == 0
