@@ -25,7 +25,7 @@ from .columnar import text_slices
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"  # a comment
-    r"|<(script|style|title|textarea|noscript|template|iframe|svg|select|button|math|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|title|textarea|noscript|iframe|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"  # a doctype or instruction
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
     re.S | re.I,
@@ -33,11 +33,21 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[^\W\d_]+")
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr nobr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr nobr".split()) | frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd maction semantics annotation annotation-xml".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag that closes an open element of the same kind.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 NOT_IN_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+SECTIONS = frozenset("article aside body footer form header main nav section".split())
+#: Elements whose text is left out, and the start tags that end each of them if it was not closed.
+DROPPED = {
+    "svg": NOT_IN_P | SECTIONS | frozenset("b big br center code dd dt em embed head i img li menu meta nobr ruby s small span strike strong sub sup tt u var".split()),
+    "button": SECTIONS | {"button"},
+    "select": NOT_IN_P - {"hr"} | SECTIONS | frozenset("button input select textarea".split()),
+    "template": frozenset(),
+}
 
 OUTER = frozenset("nav footer aside form menu dialog fieldset".split())
 INNER = frozenset("article main".split())
@@ -101,10 +111,11 @@ def blocks_of(page: str, w: Weights) -> tuple[list[str], list[float], list[int],
     owner: list[int] = []
     parts: list[str] = []
     linked, in_link = 0, 0
+    out = 0  # where the outermost dropped element is on the stack
 
     def text(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not out:
             raw = html.unescape(raw) if "&" in raw else raw
             parts.append(raw)
             if in_link:
@@ -146,6 +157,33 @@ def blocks_of(page: str, w: Weights) -> tuple[list[str], list[float], list[int],
         tag = (m[3] or "").lower()
         if not tag:
             continue
+        if out:
+            root = nodes[stack[out]].tag
+            if m[2]:
+                k = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag), 0)
+                if not k:
+                    continue
+                del stack[max(k, out) :]
+                if k > out:
+                    continue
+                out = 0
+                if tag == root:
+                    continue
+            elif tag in DROPPED[root] and not (root == "svg" and any(nodes[k].tag == "foreignobject" for k in stack[out:])):
+                del stack[out:]
+                out = 0
+            else:
+                if tag not in VOID and tag not in INLINE and not m[4].endswith("/"):
+                    nodes.append(Node(tag, stack[-1], 0.0, False))
+                    stack.append(len(nodes) - 1)
+                continue
+        if tag in DROPPED:
+            parts.append(" ")
+            if not m[2] and not (tag == "svg" and m[4].endswith("/")):
+                nodes.append(Node(tag, stack[-1], 0.0, False))
+                stack.append(len(nodes) - 1)
+                out = len(stack) - 1
+            continue
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if m[2] else 1
@@ -187,6 +225,8 @@ def blocks_of(page: str, w: Weights) -> tuple[list[str], list[float], list[int],
         nodes.append(Node(tag, stack[-1], score, inner))
         stack.append(len(nodes) - 1)
     text(page[at:])
+    if out:
+        del stack[out:]
     flush()
     return texts, scores, owner, nodes
 

@@ -29,6 +29,21 @@ def test_templates():
         assert html_cut.main_text(page) == WANT, page
 
 
+def test_dropped_elements_end_where_they_end():
+    for page in (
+        f"<header><svg class='i'/></header><article>{ARTICLE}</article>",
+        f"<header><svg><path d='M0'/><title>no</title><text>no</text></header><article>{ARTICLE}</article>",
+        f"<header><button>Menu</header><article>{ARTICLE}</article>",
+        f"<button>Menu<article>{ARTICLE}</article>",
+        f"<select><option>One<option>Two<article>{ARTICLE}</article>",
+        f"<div><template><p>no</p></div><article>{ARTICLE}</article>",
+        f"<article>{ARTICLE.replace('words,', 'words,<svg><foreignObject><p>no</p></foreignObject></svg><button><div>no</div></button><select><option>no</select><template><p>no</p></template>')}</article>",
+    ):
+        assert html_cut.main_text(page) == WANT, page
+    math = "<math/><math><mi>x</mi><mo>+</mo><mn>1</mn></math>"
+    assert html_cut.main_text(f"<article>{ARTICLE.replace('words,', f'words {math},')}</article>") == WANT.replace("words,", "words x+1,")
+
+
 def test_odd_pages():
     for page in ("", " ", "<", "<p", "<!-- never closed", "<script>never closed", "</div></div>", "&#x0;&nosuch;", "<div>" * 3000, "<a href='>"):
         assert isinstance(html_cut.main_text(page), str)
