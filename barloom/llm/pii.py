@@ -145,7 +145,7 @@ def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ())
     own = own.withColumn("_t", F.when(F.col("_t").rlike(f"[{OPEN}{CLOSE}]"), F.translate("_t", OPEN + CLOSE, "��")).otherwise(F.col("_t")))
     own = own.withColumns({"_at": F.col("_t").contains("@"), "_dig": F.col("_t").rlike("[0-9]{3}|[0-9][ .-][0-9]")})
     t, none = F.col("_t"), F.array().cast(SPAN)
-    guard = {"email": F.col("_at"), "ip": F.col("_dig") & t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), "card": F.col("_dig"), "phone": F.col("_dig") & t.rlike(r"\+[0-9]")}
+    guard = {"email": F.col("_at"), "ip": F.col("_dig") & t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), "card": F.col("_dig"), "phone": t.rlike(r"\+[0-9]")}
     found = [F.when(guard[k], spans_of_kind(t, k, p, True)).otherwise(none) for k, p in zip(BASE, (EMAIL, IP, CARD, PHONE))]
     found.append(F.when(t.rlike(r"[\[(] ?at ?[\])]"), spans_of_kind(t, "email", LOOSE_EMAIL, False)).otherwise(none))
     found.append(F.when(F.col("_dig"), spans_of_kind(t, "phone", LOCAL_PHONE, False)).otherwise(none))

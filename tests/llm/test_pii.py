@@ -49,6 +49,14 @@ def test_base_spans(docs, save):
         assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(r.spans.split(",")) | {""}
 
 
+def test_phones_of_short_groups(docs):
+    own = ["at +49 (30) 12 (34) 56 now", "+33 (1) 23 (45) 67 (89)", "+4(9)3(0)1(2)3(4)", "+49 (3)"]
+    rows = {r.doc_id: r for r in pii.digest(pii.detect(docs(own))).collect()}
+    for i, t in enumerate(own):
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute(t))
+        assert rows[i].n_phone == (i < 3) and rows[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), t
+
+
 def test_adds_spans_and_masks(docs):
     df = docs(["write to ann [at] mail [dot] com today", "call (555) 123-4567", "nothing here", "mail a@b.com or +1 (017) 555-7713."] * 5)
     found = pii.detect(df, keep=("text",))
