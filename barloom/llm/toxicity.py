@@ -1,14 +1,17 @@
 """Toxicity by a string-kernel support vector machine with Nyström landmarks.
 
 Two words are compared by the gap-weighted subsequences of three characters that they share: a
-subsequence that spans s characters counts decay**s, up to a span of `SPAN`. Inserted characters and
-gaps lower the similarity little. A sentence is compared with a landmark word by its most similar
-word. Landmarks are the words that go with the label most in a bounded sample of labelled rows; the
-Nyström map of their kernel matrix gives a linear machine, trained on the sentences of that sample
-(of a toxic document only the worst sentence is taken as toxic). A document scores as its worst sentence.
-
-Nulls: a null or empty text scores as a text without words. Repeated rows score alike. Labels, lang,
-source and doc_id are no inputs of a score.
+subsequence that spans s characters counts decay**s, up to a span of `SPAN`; a word's begin and end
+count as characters. Inserted characters and gaps lower the similarity little; one below `FLOOR` counts
+as none. A sentence is compared with a landmark word by its most similar word. Landmarks are words that
+go with the label in a bounded sample of labelled rows, chosen one after the other: what the chosen
+ones explain speaks less for the next. The Nyström map of their kernel matrix gives a linear machine,
+trained on the sentences of that sample (of a toxic document only the worst sentence is taken as
+toxic). A document scores as its worst sentence, a sentence without words included.
+
+Nulls: a null or empty text scores as a text without words; a null doc_id is kept, and its row is not
+learnt from. Repeated rows score alike. Of words with equal z-scores the lesser comes first, and of
+sentences with equal margins all count. Labels, lang, source and doc_id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -22,22 +25,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columnar import text_slices
+from .columnar import ragged, text_slices
 
 SPAN = 5
 DECAY = 0.7
 #: Places of a subsequence after its first character: (second, third).
 STEPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 BUCKETS = 1 << 18
-_SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
-#: Distinct words whose similarities a task keeps; then it forgets them all.
-KEEP = 300_000
+#: Similarities below this count as none.
+FLOOR = 0.4
+BEGIN, END = "\x02", "\x03"
+#: Distinct words, with the marks around them, that a task remembers; then it forgets them all.
+KEEP = 250_000
 
 
 def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, weight and word of every subsequence of three letters or digits in each word."""
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    """Bucket, weight and word of every subsequence of three characters in each word, its begin and end included."""
+    lens = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    flat = np.frombuffer("".join([f"{BEGIN}{w}{END}" for w in words]).encode("utf-32-le"), np.uint32).astype(np.uint64)
     of = np.repeat(np.arange(len(words)), lens)
     buckets, weights, owner = [], [], []
     for a, b in STEPS:
@@ -61,59 +66,124 @@ class Landmarks:
     def __init__(self, words: list[str]):
         self.words = words
         b, w, o = triples(words)
-        used = np.unique(b)
-        self.slot = np.full(BUCKETS, -1, np.int32)
-        self.slot[used] = np.arange(len(used))
-        self.rows = np.zeros((len(used), len(words)), np.float32)
-        np.add.at(self.rows, (self.slot[b], o), w)
-        norm = np.sqrt((self.rows**2).sum(axis=0))
-        self.rows /= np.where(norm > 0, norm, 1)
+        used, where = np.unique(b, return_inverse=True)
+        rows = np.zeros((len(used), len(words)), np.float32)
+        np.add.at(rows, (where, o), w)
+        norm = np.sqrt((rows**2).sum(axis=0))
+        self.rows = rows / np.where(norm > 0, norm, 1)
+        # by bucket: the landmarks that have it and their shares, one after the other
+        place, self.mark = np.nonzero(self.rows)
+        self.share = self.rows[place, self.mark]
+        bound = np.searchsorted(place, np.arange(len(used) + 1))
+        self.first, self.many = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        self.first[used], self.many[used] = bound[:-1], np.diff(bound)
+        self._forget()
+
+    def _forget(self) -> None:
+        #: A number for each word with its marks; a row of similarities, 0 for none; whether it ends a sentence, and is a lone letter.
         self.known: dict[str, int] = {}
-        self.sims = np.zeros((0, len(words)), np.float32)
+        self.row = np.zeros(0, np.int32)
+        self.ends = np.zeros(0, bool)
+        self.lone = np.zeros(0, bool)
+        self.sims = np.zeros((1, len(self.words)), np.float32)
 
     def similar(self, words: list[str]) -> np.ndarray:
         """A row for each word."""
-        out = np.zeros((len(words), len(self.words)), np.float32)
+        k = len(self.words)
         b, w, o = triples(words)
         norm = np.sqrt(np.bincount(o, w * w, len(words)))
-        slot = self.slot[b]
-        own = slot >= 0
-        slot, w, o = slot[own], w[own], o[own]
-        order = np.argsort(o, kind="stable")
-        slot, w, o = slot[order], w[order], o[order]
-        first = np.flatnonzero(np.append(True, o[1:] != o[:-1])) if len(o) else []
-        if len(first):
-            out[o[first]] = np.add.reduceat(self.rows[slot] * w[:, None], first, axis=0)
-        out /= np.where(norm > 0, norm, 1)[:, None]
-        return np.minimum(out, 1)
+        many = self.many[b]
+        # what a word shares with all landmarks together bounds its similarity to each
+        reach = np.sqrt(np.bincount(o, w * w * (many > 0), len(words))) >= FLOOR * norm
+        own = (many > 0) & reach[o]
+        b, w, o, many = b[own], w[own], o[own], many[own]
+        shares = ragged(self.share, self.first[b], many)
+        marks = ragged(self.mark, self.first[b], many)
+        out = np.bincount(np.repeat(o * k, many) + marks, np.repeat(w, many) * shares, len(words) * k).reshape(len(words), k)
+        out = np.minimum(out / np.where(norm > 0, norm, 1)[:, None], 1).astype(np.float32)
+        out[out < FLOOR] = 0
+        return out
 
     def kernel(self) -> np.ndarray:
         return self.rows.T @ self.rows
 
+    def _learn(self, new: list[str], lone: bool = False) -> None:
+        """Remembers words with the marks around them, or letters that stand alone in a row."""
+        core = [c.strip(_MARKS) for c in new]
+        cut = [_spelt(c) if lone else [w.lower()] if w.isalnum() else tokens(c) for c, w in zip(new, core)]
+        flat = list(dict.fromkeys(w for own in cut for w in own))
+        number = dict(zip(flat, range(len(flat))))
+        step = 4096
+        found = [np.zeros((0, len(self.words)), np.float32)]
+        at = np.zeros(len(flat) + 1, np.int64)  # 0 for words like no landmark
+        used = 1
+        for lo in range(0, len(flat), step):
+            sims = self.similar(flat[lo : lo + step])
+            some = np.flatnonzero(sims.any(axis=1))
+            at[lo + some] = used + np.arange(len(some))
+            used += len(some)
+            found.append(sims[some])
+        sims = np.concatenate([self.sims[:1], *found])
+        lens = np.fromiter(map(len, cut), np.int64, len(cut))
+        of = np.fromiter((number[w] for own in cut for w in own), np.int64, int(lens.sum()))
+        who, hit = np.repeat(np.arange(len(cut)), lens), at[of]
+        who, hit = who[hit > 0], hit[hit > 0]
+        first = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else who
+        row = np.zeros(len(new), np.int32)
+        row[who[first]] = len(self.sims) + np.arange(len(first))
+        if len(first):
+            self.sims = np.concatenate([self.sims, np.maximum.reduceat(sims[hit], first, axis=0)])
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.row = np.concatenate([self.row, row])
+        self.ends = np.concatenate([self.ends, np.fromiter((c[-1] in ".!?" for c in new), bool, len(new))])
+        self.lone = np.concatenate([self.lone, np.fromiter(((len(w) == 1 or not w.isalnum()) and _ALONE.fullmatch(c) is not None for c, w in zip(new, core)), bool, len(new))])
+
     def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A row for each sentence with its most similar words' similarities, and the sentences of each text (one at least)."""
+        """A row for each sentence with a word like some landmark: its most similar words' similarities; and its text."""
         if len(self.known) > KEEP:
-            self.known, self.sims = {}, self.sims[:0]
-        cut = [[tokens(s) for s in _SENTENCE.split(t)] for t in texts]
-        cut = [[s for s in own if s] or [[""]] for own in cut]
-        flat = [w for own in cut for s in own for w in s]
+            self._forget()
+        lines = [line.split() for t in texts for line in t.split("\n")]
+        flat = [c for line in lines for c in line]
         if new := list(set(flat).difference(self.known)):
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            # words that are like no landmark share one row of zeros in effect; most are short of any bucket
-            self.sims = np.concatenate([self.sims, np.concatenate([self.similar(new[i : i + 20_000]) for i in range(0, len(new), 20_000)])])
+            self._learn(new)
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        lens = np.array([len(s) for own in cut for s in own], np.int64)
-        starts = np.cumsum(lens) - lens
-        out = np.empty((len(starts), len(self.words)), np.float32)
+        lens = np.fromiter(map(len, lines), np.int64, len(lines))
+        text = np.repeat(np.repeat(np.arange(len(texts)), [t.count("\n") + 1 for t in texts]), lens)
+        last = self.ends[at]
+        last[np.cumsum(lens)[lens > 0] - 1] = True
+        sentence = np.cumsum(last) - last
+        row = self.row[at]
+        runs, places = self._runs(flat, self.lone[at], sentence)
+        if runs:
+            if new := list(set(runs).difference(self.known)):
+                self._learn(new, lone=True)
+            more = np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+            row = np.insert(row, places, self.row[more])
+            sentence, text = np.insert(sentence, places, sentence[places]), np.insert(text, places, text[places])
+        some = np.flatnonzero(row)
+        row, sentence, text = row[some], sentence[some], text[some]
+        first = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1])) if len(some) else some
+        out = np.empty((len(first), len(self.words)), np.float32)
         step = 4000
-        for lo in range(0, len(starts), step):
-            a, b = starts[lo], starts[lo + step] if lo + step < len(starts) else len(at)
-            out[lo : lo + step] = np.maximum.reduceat(self.sims[at[a:b]], starts[lo : lo + step] - a, axis=0)
-        return out, np.array([len(own) for own in cut], np.int64)
-
-
+        for lo in range(0, len(first), step):
+            a, b = first[lo], first[lo + step] if lo + step < len(first) else len(row)
+            out[lo : lo + step] = np.maximum.reduceat(self.sims[row[a:b]], first[lo : lo + step] - a, axis=0)
+        return out, text[first]
+
+    def _runs(self, flat: list[str], lone: np.ndarray, sentence: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Two or more lone letters in a row within a sentence, and where they begin."""
+        if not lone.any():
+            return [], np.zeros(0, np.int64)
+        joins = lone[1:] & lone[:-1] & (sentence[1:] == sentence[:-1])
+        edge = np.diff(np.concatenate([[False], joins, [False]]).astype(np.int8))
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
+        return [" ".join(flat[a:b]) for a, b in zip(begin.tolist(), end.tolist())], begin
+
+
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _WORD = re.compile(r"[^\W_]+(?:[^\w\s]+[^\W_]+)*")
 _LONE = re.compile(r"(?<!\S)[^\W_](?:[ .*_-]+[^\W_](?!\w)){2,}")
+_ALONE = re.compile(r"[^\W_](?:[.*_-]+[^\W_])*[^\w\s]*")
 
 
 def tokens(sentence: str) -> list[str]:
@@ -121,8 +191,11 @@ def tokens(sentence: str) -> list[str]:
     sentence = sentence.lower()
     out = _WORD.findall(sentence)
     out += [re.sub(r"[\W_]+", "", w) for w in out if not w.isalnum()]
-    out += [re.sub(r"[\W_]+", "", m) for m in _LONE.findall(sentence)]
-    return out
+    return out + _spelt(sentence)
+
+
+def _spelt(sentence: str) -> list[str]:
+    return [re.sub(r"[\W_]+", "", m) for m in _LONE.findall(sentence.lower())]
 
 
 @dataclass(frozen=True)
@@ -150,36 +223,64 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int, label: str = "toxic"
 
 
 def choose_landmarks(sample: DataFrame, most: int) -> list[str]:
-    """The words whose presence goes with the label most, by the z-score of their share in both classes; of words much alike, one."""
-    words = sample.select("_y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word")).where("length(word) BETWEEN 3 AND 40")
+    """Up to `most` words that go with the label, one after the other.
+
+    A word's z-score compares its rows of both classes. A row of label 1 that holds a chosen word counts
+    `EXPLAINED` times as much for each further one, so that the companions of an insult in its copies
+    do not follow it. Of words much alike, one is taken. What comes to the driver is bounded by the sample.
+    """
+    words = sample.select("_y", F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("_w"))
     total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("p")).first()
     share = (total["p"] or 0) / max(1, total["n"])
-    by = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("p"))
+    by = words.select("_y", F.explode("_w").alias("word")).where("length(word) BETWEEN 3 AND 40").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("p"))
     z = (F.col("p") - share * F.col("n")) / F.sqrt(F.col("n") * (share * (1 - share) + 1e-9))
-    top = by.withColumn("z", z).where("z > 4 AND p > 2").orderBy(F.desc("z"), "word").limit(8 * most)
-    words = [r["word"] for r in top.collect()]
-    if not words:
+    top = by.withColumn("z", z).where("z > 4 AND p > 2").orderBy(F.desc("z"), "word").limit(16 * most)
+    found = [(r["word"], r["n"], r["p"]) for r in top.collect()]
+    if not found:
         return []
-    alike, chosen = Landmarks(words).kernel(), []
-    for i in range(len(words)):
-        if len(chosen) < most and all(alike[i, j] < 0.8 for j in chosen):
-            chosen.append(i)
-    return [words[i] for i in chosen]
+    names = [w for w, _, _ in found]
+    negative = np.array([n - p for _, n, p in found], np.float64)
+    spark = sample.sparkSession
+    listed = F.broadcast(spark.createDataFrame(list(zip(names, range(len(names)))), "word string, i int"))
+    has = words.where("_y = 1").select(F.monotonically_increasing_id().alias("r"), F.explode("_w").alias("word")).join(listed, "word")
+    rows = has.groupBy("r").agg(F.sort_array(F.collect_list("i")).alias("w")).collect()
+    rows.sort(key=lambda r: r["w"])
+    holds = np.zeros((len(rows), len(names)), bool)
+    for i, r in enumerate(rows):
+        holds[i, r["w"]] = True
+    alike, weight, chosen = Landmarks(names).kernel(), np.ones(len(rows)), []
+    free = np.ones(len(names), bool)
+    while free.any() and len(chosen) < most:
+        p = weight @ holds
+        n = p + negative
+        z = np.where(free & (p > 2), (p - share * n) / np.sqrt(n * share * (1 - share) + 1e-9), -1)
+        best = int(np.argmax(z))
+        if z[best] < 2:
+            break
+        chosen.append(names[best])
+        free &= alike[best] < ALIKE
+        weight[holds[:, best]] *= EXPLAINED
+    return chosen
+
+
+#: What a row counts for a further landmark after each that it holds, and the similarity from which words are alike.
+EXPLAINED, ALIKE = 0.7, 0.9
 
 
 def _bags(sample: DataFrame, landmarks: list[str], each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Similarities, document and label of the `each` sentences of every sampled document that are most like some landmark."""
+    """Similarities, document and label of the `each` sentences of every sampled document that are most like some landmark, and of one without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Landmarks(landmarks)
         for batch in batches:
             for part in text_slices(batch, "_t"):
-                sims, counts = marks.sentences(part.column(1).to_pylist())
-                out, lo = [], 0
-                for n in counts:
-                    own = sims[lo : lo + n]
-                    out.append(own[np.argsort(-own.max(axis=1), kind="stable")[:each]].astype(np.float16).tobytes())
-                    lo += n
+                sims, of = marks.sentences(part.column(1).to_pylist())
+                bound = np.searchsorted(of, np.arange(part.num_rows + 1))
+                out = []
+                for lo, hi in zip(bound[:-1], bound[1:]):
+                    own = sims[lo:hi]
+                    own = own[np.argsort(-own.max(axis=1), kind="stable")[:each]] if hi > lo else own
+                    out.append(np.concatenate([own, np.zeros((1, len(landmarks)))]).astype(np.float16).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["y", "sims"])
 
     rows = sample.select("_y", "_t").mapInArrow(run, "y int, sims binary").collect()
@@ -209,7 +310,10 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: float = 1000.0, rounds: int = 40) -
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, most: int = 96, each: int = 4, label: str = "toxic", text: str = "text") -> Model:
-    """Trains on about `rows` labelled rows at most, with `most` landmarks and `each` sentences of a document at most."""
+    """Trains on about `rows` labelled rows at most, with `most` landmarks and, of each of these rows, the `each` sentences most like a landmark.
+
+    Both bounds hold for training alone; scores read all sentences.
+    """
     sample = labelled(docs, labels, rows, label, text)
     marks = choose_landmarks(sample, most)
     if not marks:
@@ -257,8 +361,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         marks = Landmarks(list(model.landmarks))
         for batch in batches:
             for part in text_slices(batch, "_text"):
-                sims, counts = marks.sentences(part.column(part.num_columns - 1).to_pylist())
-                worst = np.maximum.reduceat(sims @ model.weights + model.bias, np.cumsum(counts) - counts)
+                sims, of = marks.sentences(part.column(part.num_columns - 1).to_pylist())
+                worst = np.full(part.num_rows, model.bias)
+                np.maximum.at(worst, of, sims @ model.weights + model.bias)
                 value = model.score(worst)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=names)
 
