@@ -35,6 +35,54 @@ def test_kernel_tolerates_gaps():
     assert np.allclose(marks.similar(["", "a", "ab"]), 0)
 
 
+def exact(a, b):
+    """The cosine of the gap-weighted subsequences of three characters, counted one by one."""
+
+    def vector(w):
+        w, out = f"\x02{w}\x02", {}
+        for i in range(len(w)):
+            for k in range(i + 2, min(i + toxicity.SPAN, len(w))):
+                for j in range(i + 1, k):
+                    key = w[i], w[j], w[k]
+                    out.setdefault(key, []).append(toxicity.DECAY ** (k - i + 1))
+        return out
+
+    x, y = vector(a), {k: sum(v) for k, v in vector(b).items()}
+    length = sum(v * v for own in x.values() for v in own) ** 0.5 * sum(v * v for v in y.values()) ** 0.5
+    return min(1, sum(sum(own) * y.get(k, 0) for k, own in x.items()) / length) if length else 0
+
+
+def test_kernel_against_every_subsequence():
+    random.seed(3)
+    words = ["".join(random.choice("abcé") for _ in range(random.randint(1, 12))) for _ in range(150)] + ["x" * 300]
+    marks = toxicity.Landmarks(words[:20])
+    got = marks.similar(words)
+    want = np.array([[exact(w, m) for m in words[:20]] for w in words])
+    want[want < toxicity.FLOOR] = 0
+    assert np.abs(np.where(np.abs(want - toxicity.FLOOR) < 1e-3, 0, got - want)).max() < 1e-3
+    # the bound leaves no similar word out, and a text's bag holds them all in their places
+    texts = [" ".join(words[i : i + 9]) + (". " if i % 2 else "\n") for i in range(0, 150, 9)] + ["", "no  such-thing"]
+    bag = marks.bags(texts)
+    flat = [w for t in texts for w in t.replace(".", " ").split()]
+    some = [i for i, w in enumerate(flat) if marks.similar([w]).any()]
+    assert len(bag.sims) == len(some) and np.allclose(bag.sims, marks.similar([flat[i] for i in some]))
+    assert bag.count.tolist() == [len(t.replace(".", " ").replace("-", " ").split()) for t in texts]
+
+
+def test_ties_and_repeats(spark, docs):
+    rows = [("bad fool here", 1), ("a fool bad there", 1), ("fine day", 0), ("good day", 0), ("long day", 0)] * 40
+    df = docs([t for t, _ in rows])
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    first, again = (toxicity.train(df, labels) for _ in range(2))
+    assert first.landmarks == again.landmarks == tuple(sorted(first.landmarks)) and np.allclose(first.weights, again.weights)
+    scores = toxicity.score(df, first).groupBy("doc_id").count().where("count > 1")
+    got = {}
+    for r in toxicity.score(df, first).collect():
+        got.setdefault(rows[r.doc_id][0], set()).add((r.score, r.predicted))
+    assert scores.count() == 0 and all(len(v) == 1 for v in got.values())
+    assert {t: next(iter(v))[1] for t, v in got.items()} == {t: y for t, y in rows}
+
+
 def test_learns_and_finds_variants(spark, docs):
     df, labels, rows = tables(spark, docs)
     model = toxicity.train(df, labels.where("doc_id % 3 != 0"))
