@@ -2,17 +2,17 @@
 
 Texts are cut into pretokens by the tokenizer's pattern. The distinct pretokens of a batch are put
 into matrices by length; in every round each row merges its leftmost pair of least rank, found in a
-hashed table of pairs, and the rows are compacted. Rows longer than ``LONG`` bytes are merged with a
-heap instead, as a round for each merge would be quadratic in their length. Decoding gathers the
-bytes of the ids.
+hashed table of pairs, and the rows are compacted. A pretoken of more than ``LONG`` bytes has a matrix
+of its own, in which a round merges every place of the least rank where that comes to the same.
+Decoding gathers the bytes of the ids.
 
-Null and empty texts have no ids. Repeated rows are encoded alike; other columns are not touched.
+Null and empty texts have no ids. Repeated rows are encoded alike, a null doc_id is kept; other columns
+are not touched.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columnar import ragged, text_slices
+from .workspace import small_batches
 
-#: The longest pretoken in bytes that goes into a matrix.
+#: The longest pretoken in bytes that shares a matrix with others.
 LONG = 128
 #: Bytes of a matrix's row: the least of these that holds the pretoken.
 WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 64, LONG)
@@ -34,6 +35,8 @@ KEEP = 200_000
 NONE = np.int32(2**31 - 1)
 #: Marks a piece that has no space before it; no text holds a lone surrogate.
 HEAD = "\ud800"
+#: Fixed value: the pattern for which texts may be cut at single spaces before it is applied.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CLEAN_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -80,14 +83,14 @@ class ByteBPE:
     def __init__(self, ranks_path: str, pattern: str):
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.find = regex.compile(pattern).findall
+        self.find, self.spaced = regex.compile(pattern).findall, pattern == SPACED
         pairs = {}
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
                 a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if a is not None and b is not None:
                     pairs[a, b] = rank
-        self.pair_of, self.pairs = pairs, PairTable(pairs)
+        self.pairs = PairTable(pairs)
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         size = max(self.ranks.values()) + 1
         self.token_len = np.zeros(size, np.int64)
@@ -132,25 +135,30 @@ class ByteBPE:
             m = m[:, : lens[row].max()]
         return lens
 
-    def merge_long(self, token: bytes) -> np.ndarray:
-        """The same merges by a heap of (rank, place) over a linked list."""
-        ids = [int(x) for x in self.of_byte[np.frombuffer(token, np.uint8)]]
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pair_of.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := self.pair_of.get((ids[x], ids[y]))) is not None:
-                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
-        return np.array([x for x in ids if x >= 0], np.int32)
+    def merge_wide(self, token: bytes) -> np.ndarray:
+        """The same merges in a matrix of one row: a round merges all places of the least rank, from left to right.
+
+        Only where that would pass over a merge of lower rank that one of them makes possible does a round take the leftmost place alone.
+        """
+        m = self.of_byte[np.frombuffer(token, np.uint8)]
+        rank = self.pairs.find(m[:-1], m[1:])
+        while len(rank) and (best := rank.min()) != NONE:
+            at = np.flatnonzero(rank == best)
+            run = np.flatnonzero(np.append(True, np.diff(at) > 1))
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]  # of overlapping places every other
+            for own in (at, at[:1]):
+                row = m.copy()
+                row[own] = best
+                row = np.delete(row, own + 1)
+                new = own - np.arange(len(own))  # where the merged tokens stand now
+                near = np.unique(np.concatenate([new - 1, new]))
+                near = near[(near >= 0) & (near < len(row) - 1)]
+                found = self.pairs.find(row[near], row[near + 1])
+                if len(own) == 1 or not (found < best).any():
+                    break
+            m, rank = row, np.delete(rank, np.minimum(own + 1, len(rank) - 1))
+            rank[near] = found
+        return m
 
     def encode_pretokens(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of token i are ids[start[i] : start[i] + count[i]]."""
@@ -161,7 +169,7 @@ class ByteBPE:
         ids[start[whole >= 0]] = whole[whole >= 0]
         bucket = np.where(whole >= 0, -1, np.searchsorted(WIDTHS, lens))
         for i in np.flatnonzero(bucket == len(WIDTHS)):
-            own = self.merge_long(tokens[i])
+            own = self.merge_wide(tokens[i])
             ids[start[i] : start[i] + len(own)], count[i] = own, len(own)
         for k, width in enumerate(WIDTHS):
             own, step = np.flatnonzero(bucket == k), max(1, (1 << 18) // width)
@@ -171,12 +179,14 @@ class ByteBPE:
         return ids, start, count
 
     def pieces_of(self, text: str) -> list[str]:
-        """Parts that the pattern treats by themselves: cut before single spaces between other characters.
+        """Parts that the pattern treats by themselves: cut before single spaces between other characters, or the text for another pattern.
 
         A part stands for itself after a space; with HEAD before it, for itself alone.
         """
         if not text:
             return []
+        if not self.spaced:
+            return [HEAD + text]
         parts = text.split(" ")
         head = parts[0]
         new = set(parts[1:]).difference(self.piece)
@@ -264,6 +274,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", d
                     cols.append(pa.Array.from_buffers(pa.binary(), len(sizes), [None, _offsets(sizes), pa.py_buffer(data)]))
                 yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names, "ids", "decoded"][: len(cols)])
 
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
     return own.mapInArrow(run, f"{fields}, ids array<int>" + ", decoded binary" * decode)

@@ -38,6 +38,29 @@ def test_same_as_the_library(reference):
     assert data.tobytes() == "".join(own).encode()
 
 
+def test_long_pretokens_round_by_round(reference, monkeypatch):
+    random.seed(5)
+    coder = bpe.load(RANKS, public_tokenizers.PATTERN)
+    own = ["".join(random.choices(s, k=random.randint(129, 900))) for s in ("ab", "aeinrst", "abcdefghijklmnopqrstuvwxyz", "=-", "éa") for _ in range(12)]
+    own += ["t" * 200_000, "".join(random.choices("etaoinshrdlu", k=60_000)), "abcabd" * 9000]
+    rounds = []
+    find = coder.pairs.find
+    monkeypatch.setattr(coder.pairs, "find", lambda a, b: rounds.append(len(a)) or find(a, b))
+    for t in own:
+        got = coder.merge_wide(t.encode()).tolist()
+        assert got == reference._encode_single_piece(t.encode())
+    assert len(rounds) > len(own)
+
+
+def test_another_pattern(reference):
+    pattern = r"\p{L}+ \p{L}+|.|\n"
+    other = tiktoken.Encoding("two", pat_str=pattern, mergeable_ranks=reference._mergeable_ranks, special_tokens={})
+    coder = bpe.ByteBPE(RANKS, pattern)
+    own = ["one two three four", "a b\nc d", " lead", ""]
+    ids, n = coder.encode(own)
+    assert ids.tolist() == [i for t in own for i in other.encode_ordinary(t)] and len(n) == 4
+
+
 def test_query(docs, save, reference):
     own = [*texts(), None]
     rows = queries.op5_bpe(docs(own).sparkSession, save(documents=docs(own, extra=True))).collect()
