@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # A slice of texts that is worked on at once holds about so many bytes, or one text.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def ragged(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columnar import text_slices
+from .workspace import small_batches
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"  # a comment
@@ -339,6 +340,7 @@ def main_text(page: str, w: Weights = Weights()) -> str:  # noqa: B008
 
 def extract(pages: DataFrame, key: str = "page_id", html_column: str = "html", keep: tuple[str, ...] = ("url",), weights: Weights = Weights()) -> DataFrame:  # noqa: B008
     """The key, `keep` columns and text (empty if none) of every page; other columns are dropped."""
+    small_batches(pages.sparkSession)
     own = pages.select(key, *keep, F.coalesce(F.col(html_column), F.lit("")).alias("text"))
     names = own.columns
 

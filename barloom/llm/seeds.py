@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import rolling
 from .columnar import text_bytes, text_slices
-from .workspace import written
+from .workspace import small_batches, written
 
 
 @dataclass(frozen=True)
@@ -87,6 +87,7 @@ def _signed(h: np.ndarray) -> pa.Array:
 
 def plain(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and text alone, a null text as an empty one."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columnar import ragged, text_slices
-from .workspace import written
+from .workspace import small_batches, written
 
 SPAN = 5
 DECAY = 0.7
@@ -373,6 +373,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, most: int = 32
 
     All three bounds hold for training alone; scores read all words of all texts.
     """
+    small_batches(docs.sparkSession)
     sample = written(labelled(docs, labels, rows, label, text), "labelled")
     marks = choose_landmarks(sample, most)
     if not marks:
@@ -416,6 +417,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, `keep` columns, score and predicted (1 from a score of 0.5 on) of every row; other columns are dropped."""
+    small_batches(docs.sparkSession)
     own = docs.select("doc_id", *keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     names = [*own.columns[:-1], "score", "predicted"]
 

@@ -22,6 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault(sc.applicationId, f"file://{tempfile.mkdtemp(prefix='spark-shared-')}")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 4 MB, unless the session asks for another size than Spark's own 64 MB.
+
+    A task holds a batch several times over, in the JVM and in Python, besides the slice it works on.
+    """
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table in the shared folder and reads it again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
