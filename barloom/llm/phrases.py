@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -24,9 +25,20 @@ from .seeds import RANGES, Unit, apply_ranges, groups, plain, segments
 
 #: Segments that are looked at together: the size of an automaton's shard.
 SHARD = 20_000
+#: Single letters that stand for words: all code points but surrogates.
+LETTERS = 0x110000 - 0x800
 _PENDING = "key binary, doc_id long, fp int, start long, first long"
 
 
+def _letter(n: int) -> str:
+    return chr(n if n < 0xD800 else n + 0x800)
+
+
+def _pair(n: int) -> str:
+    """Two letters of ranges that have none in common, so that a match begins at a word."""
+    return chr(0x10000 + (n >> 15)) + chr(n & 0x7FFF)
+
+
 class Shard:
     """Groups of segments: the windows that recur, their first documents, and where they occur."""
 
@@ -35,22 +47,13 @@ class Shard:
         self.group = list(zip(batch.column("h").to_pylist(), batch.column("salt").to_pylist()))
         self.doc, self.fp, self.at = (batch.column(c).to_pylist() for c in ("doc_id", "fp", "at"))
         self.body = batch.column("body").to_pylist()
-        number: dict[bytes, str] = {}
-        coded: dict[bytes, str] = {}
-
-        def letter(word: bytes) -> str:
-            n = len(number)
-            return chr(n if n < 0xD800 else n + 0x800)  # no surrogates
-
-        for b in self.body:  # words as letters: an automaton's step is a word
-            if b not in coded:
-                words = b.split(b" ")
-                for w in words:
-                    if w not in number:
-                        number[w] = letter(w)
-                coded[b] = "".join([number[w] for w in words])
+        # words as letters: an automaton's step is a word; beyond the letters that there are, a word is a pair of them
+        cut = {b: b.split(b" ") for b in dict.fromkeys(self.body)}
+        order = dict.fromkeys(chain.from_iterable(cut.values()))
+        self.width = 1 if len(order) <= LETTERS else 2
+        self.number = dict(zip(order, map(_letter if self.width == 1 else _pair, range(len(order)))))
+        coded = {b: "".join([self.number[w] for w in words]) for b, words in cut.items()}
         self.code = [coded[b] for b in self.body]
-        self.number = number
         # the first two documents of each distinct segment of a group; rows come by doc_id
         self.first: dict[tuple[tuple, str], int] = {}
         self.last: dict[tuple[tuple, str], int] = {}
@@ -79,10 +82,10 @@ class Shard:
     def windows(self, g: tuple, segments: list[str]) -> dict[str, tuple[int, int]]:
         """The first and last document of each window of a group's segments."""
         out: dict[str, tuple[int, int]] = {}
-        n = self.window
+        n = self.window * self.width
         for c in segments:
             lo, hi = self.first[g, c], self.last[g, c]
-            for k in range(len(c) - n + 1):
+            for k in range(0, len(c) - n + 1, self.width):
                 w = c[k : k + n]
                 own = out.get(w)
                 out[w] = (lo, hi) if own is None else (min(own[0], lo), max(own[1], hi))
@@ -92,12 +95,12 @@ class Shard:
         """By distinct segment: begin and end of each occurrence of a confirmed passage, with its first document."""
         auto = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         for passage, doc in self.confirmed.items():
-            auto.add_word(passage, (len(passage), doc))
+            auto.add_word(passage, (len(passage) // self.width, doc))
         out: dict[str, list[tuple[int, int, int]]] = {c: [] for c in self.code}
         if len(auto):
             auto.make_automaton()
             for c, hits in out.items():
-                hits += [(end + 1 - n, end + 1, doc) for end, (n, doc) in auto.iter(c)]
+                hits += [((end + 1) // self.width - n, (end + 1) // self.width, doc) for end, (n, doc) in auto.iter(c)]
                 hits.sort()
         return out
 
@@ -127,14 +130,14 @@ def _pending(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
     """Of anchors that are dealt over shards: each shard's windows with the places in the shard's first document of each."""
     for batch in groups((b.filter(pc.greater_equal(b.column("salt"), 0)) for b in batches), SHARD):
         shard = Shard(batch, window)
-        word = {c: w for w, c in shard.number.items()}
+        word, n = {c: w for w, c in shard.number.items()}, shard.width
         out: tuple[list, list, list, list, list] = ([], [], [], [], [])
         first = {g: shard.windows(g, own) for g, own in shard.of_group.items()}
         for g, d, fp, at, c in zip(shard.group, shard.doc, shard.fp, shard.at, shard.code):
-            for k in range(len(c) - window + 1):
-                w = c[k : k + window]
+            for k in range(len(c) // n - window + 1):
+                w = c[k * n : (k + window) * n]
                 if first[g][w][0] == d:
-                    key = hashlib.blake2b(b" ".join([word[x] for x in w]), digest_size=16).digest()
+                    key = hashlib.blake2b(b" ".join([word[w[i : i + n]] for i in range(0, len(w), n)]), digest_size=16).digest()
                     for x, v in zip(out, (key, d, fp, at + k, d)):
                         x.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["key", "doc_id", "fp", "start", "first"])

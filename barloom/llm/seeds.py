@@ -5,9 +5,9 @@ A text is a sequence of units, words or bytes. Of the seeds (runs of `seed` unit
 windows need comparing only where their anchors agree, and windows under an anchor that occurs once
 need no comparing at all. Neighbouring windows share an anchor: a run of them is a segment.
 
-Anchors are counted with map-side sums. An anchor of more than `limit` texts is dealt over several
-shards (salts) by text; what shards of one anchor must compare with each other, they do by hashes of
-single windows.
+Anchors are counted with map-side sums. An anchor of more than `limit` segments is dealt over several
+shards (salts) by text; what shards of one anchor must compare with each other, the operators do by
+finer keys that equal windows share as well.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .workspace import small_batches, written
 
 @dataclass(frozen=True)
 class Unit:
-    """What windows are made of. An anchor counts once a text where `texts`, else wherever it stands."""
+    """What windows are made of. An anchor recurs if it stands in two texts where `texts`, else in two places."""
 
     words: bool
     window: int
@@ -52,22 +52,21 @@ class Windows:
         self.ok = rolling.within(self.first, unit.window)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))[: len(self.anchor)]
 
-    def anchors(self, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and text of each anchor."""
+    def anchors(self, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and text of each anchor, and how many segments it has there."""
         if unit.texts:
-            at = np.flatnonzero(self.ok)
-            h, text = self.anchor[at], self.text[at]
+            at = self.runs()[0]
+            h, text = self.anchor[at], self.text[at] if len(at) else at
             order = np.lexsort((h, text))
             h, text = h[order], text[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-            return h[new], text[new]
+            new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))) if len(h) else at
+            return h[new], text[new], np.diff(np.append(new, len(h)))
         # a place is an anchor if its seed is the least of some window around it
         reach = unit.window - unit.seed + 1
         least = np.concatenate([np.zeros(reach - 1, np.uint64), np.where(self.ok, self.anchor, np.uint64(0)), np.zeros(reach - 1, np.uint64)])
         most = ~rolling.sliding_min(~least, reach)
         at = np.flatnonzero((most == self.seeds) & (most > 0)) if len(self.anchor) else np.zeros(0, np.int64)
-        return self.seeds[at], np.searchsorted(self.first, at, "right") - 1
+        return self.seeds[at], np.searchsorted(self.first, at, "right") - 1, np.ones(len(at), np.int64)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """First window and the window after the last of each run in one text with one anchor."""
@@ -92,15 +91,21 @@ def plain(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
-    """doc_id and hash of the anchors of plain(docs)."""
+    """doc_id, hash and number of segments (n) of the anchors of plain(docs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                h, text = Windows(part.column(1), unit).anchors(unit)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), _signed(h)], names=["doc_id", "h"])
+                h, text, n = Windows(part.column(1), unit).anchors(unit)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), _signed(h), pa.array(n, pa.int64())], names=["doc_id", "h", "n"])
 
-    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, h long")
+    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, h long, n long")
+
+
+def dealt(size, limit: int):
+    """The shard of a row by its doc_id: -1 for a group whose size is up to `limit`."""
+    shards = F.ceil(size / limit).cast("long")
+    return F.when(shards > 1, F.pmod(F.xxhash64("doc_id"), shards)).otherwise(F.lit(-1)).cast("int")
 
 
 def segments(docs: DataFrame, unit: Unit, limit: int) -> DataFrame:
@@ -110,10 +115,8 @@ def segments(docs: DataFrame, unit: Unit, limit: int) -> DataFrame:
     """
     found = anchors(docs.select("doc_id", "text"), unit)
     # counted and written: the join with the anchors can then split a frequent one over tasks
-    recurring = written(found.groupBy("h").count().where("count > 1"), "recurring")
-    shards = F.ceil(F.col("count") / limit).cast("long")
-    salt = F.when(shards > 1, F.pmod(F.xxhash64("doc_id"), shards)).otherwise(F.lit(-1)).cast("int")
-    hits = found.join(recurring, "h").select("doc_id", F.struct("h", salt.alias("salt")).alias("hit"))
+    recurring = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("size")).where("count > 1").drop("count"), "recurring")
+    hits = found.join(recurring, "h").select("doc_id", F.struct("h", dealt(F.col("size"), limit).alias("salt")).alias("hit"))
     hits = hits.groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
     # rows without hits are left out in the tasks: a filter here would give the texts a shuffle of their own
     both = docs.select("doc_id", "text").join(hits.hint("shuffle_hash"), "doc_id", "left")

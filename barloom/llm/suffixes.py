@@ -7,6 +7,11 @@ the common prefixes of neighbours are computed. Only the first `window` bytes co
 order and the prefixes stop there. A window that is as long as its common prefix with a neighbour
 starts elsewhere too.
 
+A frequent anchor is dealt over shards by document. What its shards have in common is found by further
+keys: the windows of each shard's distinct segments meet again by three more of their seeds, where the
+surroundings of a common passage tell them apart. Only where such a key is frequent too do single windows
+meet by their hash.
+
 Nulls: a null text has no bytes; a row with a null doc_id is kept whole and counts nowhere. Rows of
 equal doc_id count as different places. Empty tables give empty results.
 """
@@ -22,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .seeds import RANGES, Unit, apply_ranges, groups, plain, segments
+from .seeds import RANGES, Unit, apply_ranges, dealt, groups, plain, segments
+from .workspace import written
 
 #: Segments that are looked at together, and bytes of distinct ones under one suffix array (a larger group goes by itself).
 SHARD_ROWS = 8_000
@@ -237,15 +243,55 @@ def _pending(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             )
 
 
+#: Salts of the further seeds by which a frequent anchor's windows are told apart.
+_FURTHER = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def further_keys(body: bytes, window: int, seed: int) -> np.ndarray:
+    """A key of each window: the seeds in it that are least by three other hashes. Equal windows have equal keys."""
+    seeds = rolling.Segments(np.frombuffer(body, np.uint8)).windows(seed)
+    keys = np.zeros(len(body) - window + 1, np.uint64)
+    for salt in _FURTHER:
+        keys = rolling.mix(keys + rolling.sliding_min(rolling.mix(seeds ^ salt), window - seed + 1))
+    return keys
+
+
+def _parts(batches: Iterator[pa.RecordBatch], window: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Of anchors that are dealt over shards: each shard's distinct segments, cut where the windows' further keys change.
+
+    Copies of a segment in its shard repeat one another, which the shard itself has found; one of them speaks for all.
+    """
+    for batch in groups((b.filter(pc.greater_equal(b.column("salt"), 0)) for b in batches), SHARD_ROWS):
+        seen: set[tuple] = set()
+        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+        for h, salt, d, fp, at, b in zip(*(batch.column(c).to_pylist() for c in ("h", "salt", "doc_id", "fp", "at", "body"))):
+            if (h, salt, b) in seen:
+                continue
+            seen.add((h, salt, b))
+            keys = further_keys(b, window, seed)
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            own = rolling.mix(keys[first] + np.array([h], np.int64).view(np.uint64)).view(np.int64)
+            for k, lo, hi in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]):
+                for x, v in zip(out, (k, d, fp, at + lo, b[lo : hi + window - 1])):
+                    x.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["h", "doc_id", "fp", "at", "body"])
+
+
 def repeated_ranges(docs: DataFrame, window: int = 400, seed: int = 32, limit: int = 4000) -> DataFrame:
     """doc_id, fp, start, end: ranges of bytes in windows that start anywhere else as well; ranges may overlap."""
     unit = Unit(words=False, window=window, seed=seed, texts=False)
     found = segments(docs, unit, limit)
     inside = found.mapInArrow(lambda b: _inside(b, window), RANGES)
-    pending = found.mapInArrow(lambda b: _pending(b, window), _PENDING)
+    # what shards of one anchor have in common: segments by further keys, then, where such a key is frequent as well, single windows
+    parts = written(found.mapInArrow(lambda b: _parts(b, window, seed), "h long, doc_id long, fp int, at long, body binary"), "parts")
+    sizes = parts.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    parts = parts.join(sizes, "h").select("h", dealt(F.col("size"), limit).alias("salt"), "doc_id", "fp", "at", "body")
+    parts = parts.repartition("h", "salt").sortWithinPartitions("h", "salt", "doc_id")
+    between = parts.mapInArrow(lambda b: _inside(b, window), RANGES)
+    pending = parts.mapInArrow(lambda b: _pending(b, window), _PENDING)
     several = pending.groupBy("h", "w").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     across = pending.where(~F.col("repeats")).join(several, ["h", "w"]).select("doc_id", "fp", "start", (F.col("start") + window).alias("end"))
-    return inside.unionByName(across)
+    return inside.unionByName(between).unionByName(across)
 
 
 def _cut(text: bytes, ranges: list[tuple[int, int]]) -> tuple[int, int, int, bytes]:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("ahocorasick")
@@ -47,6 +48,44 @@ def test_same_as_brute_force(docs, limit, small):
     assert sorted(tuple(r) for r in got.collect()) == brute(list(zip(ids, texts)))
 
 
+def busy(n=60, places=30):
+    """Texts that all hold one seed in many places, among words of their own and some that they share."""
+    random.seed(9)
+    fresh = (f"f{i}" for i in range(10**9))
+    shared = [[f"s{i}-{k}" for k in range(20)] for i in range(5)]
+    out = []
+    for _ in range(n):
+        words = []
+        for _ in range(places):
+            words += ["to", "be", "or", "not"] + (random.choice(shared) if random.random() < 0.1 else [next(fresh) for _ in range(random.randint(5, 14))])
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("limit,letters", [(2000, phrases.LETTERS), (100, phrases.LETTERS), (2000, 50)])
+def test_a_seed_in_many_places(docs, monkeypatch, limit, letters):
+    monkeypatch.setattr(phrases, "LETTERS", letters)
+    texts = busy()
+    got = phrases.digest(phrases.remove_repeats(docs(texts), limit=limit))
+    assert sorted(tuple(r) for r in got.collect()) == brute(list(enumerate(texts)))
+
+
+def test_more_words_than_letters():
+    rows = [(0, -1, i % 2, 0, 0, " ".join([*(f"{i}-{k}" for k in range(600_000)), *(f"c{k}" for k in range(13))]).encode()) for i in range(2)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("h", "salt", "doc_id", "fp", "at", "body"), r)) for r in rows])
+    shard = phrases.Shard(batch, 13)
+    assert shard.width == 2
+    assert {tuple(v) for v in shard.locate().values()} == {((600_000, 600_013, 0),)}
+
+
+def test_long_text(docs):
+    random.seed(1)
+    words = [f"w{random.randint(0, 3000)}" for _ in range(60_000)]
+    texts = [" ".join(words), " ".join(["x", *words[100:40_000], "y"]), " ".join(words[-20_000:])]
+    got = phrases.digest(phrases.remove_repeats(docs(texts)))
+    assert sorted(tuple(r) for r in got.collect()) == brute(list(enumerate(texts)))
+
+
 def test_repeated_ids_and_null_id(docs, save):
     text = " ".join(f"v{i}" for i in range(40))
     df = docs([text, text, text + " x", "other", text], [5, 5, 5, 6, 7])

@@ -56,6 +56,26 @@ def test_same_as_brute_force(docs, window, seed, limit):
     assert sorted(tuple(r) for r in got.collect()) == brute(list(enumerate(texts)), window)
 
 
+@pytest.mark.parametrize("limit", [50, 8])
+def test_common_passage_in_other_surroundings(docs, limit):
+    """A passage shorter than the window in many texts, two of which also share what surrounds it; and long texts."""
+    random.seed(8)
+    line = lambda k: "".join(random.choice("abcdefgh ") for _ in range(k))
+    passage, around = line(300), line(90)
+    texts = [line(random.randint(150, 300)) + passage + line(random.randint(150, 300)) for _ in range(70)]
+    texts += [line(200) + around + passage + around + line(100) for _ in range(2)] + [passage + line(20) + passage + line(380) + passage]
+    texts += [(long := line(60_000)), long[5000:30_000] + line(10)]
+    got = suffixes.digest(suffixes.remove_repeats(docs(texts), limit=limit))
+    assert sorted(tuple(r) for r in got.collect()) == brute(list(enumerate(texts)), 400)
+
+
+def test_further_keys_depend_on_the_window_alone():
+    random.seed(2)
+    body = bytes(random.randrange(4) for _ in range(600))
+    keys = suffixes.further_keys(body, 40, 8)
+    assert len(keys) == 561 and all(keys[i] == suffixes.further_keys(body[i : i + 40], 40, 8)[0] for i in range(0, 561, 37))
+
+
 def test_query(docs, save):
     texts = corpus(400, 20)
     rows = queries.op3_suffixes(docs(texts).sparkSession, save(documents=docs(texts))).collect()
