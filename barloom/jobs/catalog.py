@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.jobs import research
-from barloom.jobs.tables import BARS_SQL, LABELLED_SQL, NAV_SQL, WEIGHTS_SQL, bars, digits, digits_sql, labelled, nav, value, weights
+from barloom.jobs.tables import BARS_SQL, CAPITAL, LABELLED_SQL, NAV_SQL, WEIGHTS_SQL, bars, digits, digits_sql, labelled, nav, value, weights
 from barloom.operators import crosssection as cs
 from barloom.operators import elementwise as el
 from barloom.operators import evaluate, factors, metrics, portfolio
@@ -270,7 +270,7 @@ EVALUATION: dict[str, tuple[Query, str]] = {
 }
 
 PREV = [{"pc": f"lag(close) {W}"}, {"band": "CASE WHEN starts_with(instrument, '300') OR starts_with(instrument, '688') THEN 0.2::DOUBLE WHEN starts_with(instrument, '8') OR starts_with(instrument, '4') THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END"}]
-FEE = {"c": "greatest(5.0::DOUBLE, amount * 0.0003::DOUBLE)"}
+FEE = {"c": "greatest(5.0::DOUBLE, amount * 0.00025::DOUBLE)"}
 BENCH = f"{BARS_SQL}, r AS (SELECT date, close / lag(close) {W} - 1 AS r FROM bars), m AS (SELECT date, coalesce(avg(r), 0) AS m FROM r GROUP BY date)"
 WRET_SQL = f"""{WEIGHTS_SQL},
 fw AS (SELECT date, instrument, lead(close) {W} / close - 1 AS f FROM bars),
@@ -278,7 +278,24 @@ h AS (SELECT DISTINCT portfolio_id, instrument FROM weights),
 j AS (SELECT h.portfolio_id, fw.date, h.instrument, coalesce(weight, 0) AS w, coalesce(f, 0) AS f FROM h JOIN fw ON fw.instrument = h.instrument LEFT JOIN weights x ON x.portfolio_id = h.portfolio_id AND x.instrument = h.instrument AND x.date = fw.date),
 dd AS (SELECT *, w - coalesce(lag(w) OVER (PARTITION BY portfolio_id, instrument ORDER BY date), 0) AS d FROM j),
 dy AS (SELECT portfolio_id, date, sum(w * f) AS gross, sum(greatest(d, 0)) AS buys, sum(greatest(-d, 0)) AS sells FROM dd GROUP BY portfolio_id, date),
-nt AS (SELECT *, gross - buys * 0.00031::DOUBLE - sells * 0.00131::DOUBLE AS net FROM dy)"""
+nt AS (SELECT *, gross - buys * 0.00076::DOUBLE - sells * 0.00176::DOUBLE AS net FROM dy)"""
+
+HELD_SQL = f"""{WEIGHTS_SQL},
+fl AS (SELECT date, instrument, close, CASE WHEN pc > 0 AND close >= pc * (1 + band) - 1e-6::DOUBLE THEN 1 WHEN pc > 0 AND close <= pc * (1 - band) + 1e-6::DOUBLE THEN -1 ELSE 0 END AS flag
+  FROM (SELECT *, lag(close) {W} AS pc, {PREV[1]["band"]} AS band FROM bars)),
+h AS (SELECT DISTINCT portfolio_id, instrument FROM weights),
+tg AS (SELECT h.portfolio_id, h.instrument, fl.date, close, flag, CASE WHEN close > 0 THEN CAST(floor((coalesce(weight, 0) * {CAPITAL}::DOUBLE / close) / 100.0::DOUBLE) * 100 AS BIGINT) ELSE 0 END AS target
+  FROM h JOIN fl ON fl.instrument = h.instrument LEFT JOIN weights x ON x.portfolio_id = h.portfolio_id AND x.instrument = h.instrument AND x.date = fl.date),
+rn AS (SELECT *, sum(CASE WHEN flag = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY portfolio_id, instrument ORDER BY date ROWS UNBOUNDED PRECEDING) AS run FROM tg),
+held AS (SELECT * EXCLUDE (acts), list_reduce(list_prepend({{'t': 0::BIGINT, 'f': 0}}, acts), lambda a, x: {{'t': CASE WHEN x.f > 0 THEN least(a.t, x.t) WHEN x.f < 0 THEN greatest(a.t, x.t) ELSE x.t END, 'f': x.f}}).t AS shares
+  FROM (SELECT *, list({{'t': target, 'f': flag}}) OVER (PARTITION BY portfolio_id, instrument, run ORDER BY date ROWS UNBOUNDED PRECEDING) AS acts FROM rn))"""
+ORDER_SQL = f"""{HELD_SQL},
+df AS (SELECT *, shares - coalesce(lag(shares) OVER p, 0) AS diff, lag(close) OVER p AS last, coalesce(lag(shares) OVER p, 0) AS was FROM held WINDOW p AS (PARTITION BY portfolio_id, instrument ORDER BY date)),
+pr AS (SELECT *, CASE WHEN diff > 0 THEN 'buy' ELSE 'sell' END AS side, close * CASE WHEN diff > 0 THEN 1.0005::DOUBLE ELSE 0.9995::DOUBLE END AS price FROM df),
+ord AS (SELECT *, greatest(5.0::DOUBLE, abs(diff) * price * 0.00025::DOUBLE) + abs(diff) * price * CASE WHEN diff > 0 THEN 0.00001::DOUBLE ELSE 0.00101::DOUBLE END AS fee FROM pr)"""
+BOOK_SQL = f"""{ORDER_SQL},
+dy AS (SELECT portfolio_id, date, coalesce(sum(was * (close - last)), 0) AS pnl, sum(CASE WHEN diff = 0 THEN 0 ELSE fee END + abs(diff) * close * 0.0005::DOUBLE) AS cost, sum(abs(diff) * close) AS traded FROM ord GROUP BY portfolio_id, date),
+bk AS (SELECT *, 1 + sum(pnl - cost) OVER (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING) / {CAPITAL}::DOUBLE AS raw FROM dy)"""
 
 PORTFOLIOS: dict[str, tuple[Query, str]] = {
     "topk_weights": (lambda s, d: _numbers(weights(s, d).where("portfolio_id = 'p10'").drop("portfolio_id"), "date", "instrument"), _numbers_sql(WEIGHTS_SQL, {"weight": "weight"}, "weights", "date, instrument", "WHERE portfolio_id = 'p10'")),
@@ -295,9 +312,9 @@ PORTFOLIOS: dict[str, tuple[Query, str]] = {
     "weight_returns": (lambda s, d: _numbers(portfolio.weight_returns(weights(s, d), bars(s, d)), "portfolio_id", "date"), _numbers_sql(WRET_SQL, {"gross": "gross", "buys": "buys", "sells": "sells", "net": "net", "nav": "product(1 + net) OVER (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING)"}, "nt", "portfolio_id, date")),
     "equal_weight_benchmark": (lambda s, d: _numbers(portfolio.equal_weight_benchmark(bars(s, d)), "date"), _numbers_sql(BENCH, {"benchmark": "product(1 + m) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)"}, "m", "date")),
     "attach_benchmark": (_bench_keyed(lambda df: df, "portfolio_id", "date"), _numbers_sql(NAV_SQL, {"nav": "nav", "benchmark": "benchmark"}, "nav", "portfolio_id, date")),
-    "positions": (lambda s, d: research.held_positions(s, d), ""),
-    "blotter": (lambda s, d: _numbers(research.orders(s, d), "portfolio_id", "date", "instrument", "side"), ""),
-    "daily_book": (lambda s, d: _numbers(research.book(s, d), "portfolio_id", "date"), ""),
+    "positions": (lambda s, d: _numbers(research.held_positions(s, d), "portfolio_id", "instrument", "date"), _numbers_sql(HELD_SQL, {k: k for k in ("close", "flag", "target", "shares")}, "held", "portfolio_id, instrument, date")),
+    "blotter": (lambda s, d: _numbers(research.orders(s, d), "portfolio_id", "date", "instrument", "side"), _numbers_sql(ORDER_SQL, {"shares": "abs(diff)", "price": "price", "fee": "fee"}, "ord", "portfolio_id, date, instrument, side", "WHERE diff <> 0")),
+    "daily_book": (lambda s, d: _numbers(research.book(s, d), "portfolio_id", "date"), _numbers_sql(BOOK_SQL, {"pnl": "pnl", "cost": "cost", "traded": "traded", "turnover": f"traded / ({CAPITAL}::DOUBLE * (raw + cost / {CAPITAL}::DOUBLE))", "nav": "raw / first_value(raw) OVER (PARTITION BY portfolio_id ORDER BY date)"}, "bk", "portfolio_id, date")),
 }
 
 K = "portfolio_id"

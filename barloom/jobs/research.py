@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,14 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standardized factors and the next return as label, from one shuffle by instrument and one by date."""
     p = bars(spark, sf_dir).withColumn("label", evaluate.forward_return(1))
     f = factors.compute_factors(p, FEATURES, keep=["label"])
+    # NaN becomes null before the cross-section, so that one undefined value does not spoil a date
+    f = f.select("date", "instrument", "label", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in FEATURES])
     z = f.withColumns({f"_m_{c}": cs.cs_mean(c) for c in FEATURES} | {f"_s_{c}": cs.cs_std(c) for c in FEATURES})
     return z.select("date", "instrument", "label", *[F.when(F.col(f"_s_{c}") > 0, F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}"))).alias(c) for c in FEATURES])
 
 
 def factor_research(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All factors of the library, standardized and evaluated at once: one row for each."""
+    """All factors of the library evaluated at once: one row for each. A z-score by date would change no correlation of a date, so none is taken."""
     names = factors.factor_names()
     p = bars(spark, sf_dir).withColumn("label", evaluate.forward_return(1))
     raw = factors.compute_factors(p, names, keep=["label"])
@@ -74,8 +77,12 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A panel written by year and read again, in the shared folder that the session names, else a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-panel-')}"
+    """A panel written by year and read again, in the shared folder that the session names; in local mode alone a temporary one will do."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-panel-')}"
     path = f"{base}/panel-{spark.sparkContext.applicationId}"
     panel.write_panel(bars(spark, sf_dir), path)
     return panel.read_panel(spark, path, ["close"])

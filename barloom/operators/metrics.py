@@ -151,13 +151,22 @@ def rolling_value_at_risk(returns: DataFrame, window: int = 60, conf: float = 0.
 
 
 def risk_metrics(nav: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
-    """var_95, var_99, cvar_95, cvar_99 and max_drawdown_days of each key."""
+    """var_95, var_99, cvar_95, cvar_99 and max_drawdown_days of each key: one shuffle, then windows and one aggregate."""
     keys = list(keys)
-    r = daily_returns(nav, keys)
-    out = longest_drawdown_days(nav, keys)
-    for conf, name in ((0.95, "95"), (0.99, "99")):
-        out = out.join(value_at_risk(r, conf, keys).withColumnRenamed("var", f"var_{name}"), keys, "left").join(expected_shortfall(r, conf, keys).withColumnRenamed("cvar", f"cvar_{name}"), keys, "left")
-    return out
+    run = _by(keys).rowsBetween(Window.unboundedPreceding, 0)
+    df = daily_returns(nav, keys).withColumn("_row", F.count("nav").over(run))
+    peak = F.max("nav").over(_by(keys).rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_peak_row", F.when(F.col("nav").isNotNull() & F.coalesce(F.col("nav") >= peak, F.lit(True)), F.col("_row")))
+    below = F.when(F.col("nav").isNotNull(), F.col("_row") - F.max("_peak_row").over(run))
+    usable = F.col("ret").isNotNull() & ~F.isnan("ret")
+    df = df.withColumns({"_below": below, "_r": F.when(usable, F.col("ret"))})
+    whole = Window.partitionBy(*keys)
+    df = df.withColumns({"_n": F.count("_r").over(whole), "_at": F.row_number().over(whole.orderBy(F.col("_r").asc_nulls_last())) - 1})
+    cuts = {f"_cut_{name}": F.max(F.when(F.col("_r").isNotNull() & (F.col("_at") == F.ceil((F.col("_n") - 1).cast("double") * F.lit(1.0 - conf))), F.col("_r"))).over(whole) for conf, name in ((0.95, "95"), (0.99, "99"))}
+    df = df.withColumns(cuts)
+    risk = [x for name in ("95", "99") for x in ((-F.max(f"_cut_{name}")).alias(f"var_{name}"), (-F.avg(F.when(F.col("_r") <= F.col(f"_cut_{name}"), F.col("_r")))).alias(f"cvar_{name}"))]
+    out = df.groupBy(*keys).agg(F.max("_below").alias("max_drawdown_days"), *risk)
+    return out.where("max_drawdown_days IS NOT NULL")
 
 
 def scenario_stress(nav: DataFrame, keys: Iterable[str] = KEYS, scenarios=SCENARIOS) -> DataFrame:

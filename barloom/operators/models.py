@@ -24,11 +24,10 @@ def linear() -> LinearRegression:
 
 
 def prepare(df: DataFrame, features: Iterable[str], train_end: str, valid_end: str) -> DataFrame:
-    """date, instrument, features, label, split and is_valid; null features become 0, rows without a label or with a NaN go."""
+    """date, instrument, features, label, split and is_valid of every row with a label; null and NaN features become 0, the mean of standardized ones."""
     features = list(features)
     rows = df.where(F.col("label").isNotNull() & ~F.isnan("label"))
-    rows = rows.select(DATE, INSTRUMENT, "label", *[fill_null(c).alias(c) for c in features])
-    rows = rows.where(~F.exists(F.array(*features), lambda x: F.isnan(x)))
+    rows = rows.select(DATE, INSTRUMENT, "label", *[F.nanvl(fill_null(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
     end = lambda d: F.to_date(F.lit(d))
     rows = rows.withColumn("split", split_column(end(train_end), end(valid_end)))
     rows = rows.withColumn("is_valid", F.col("split") == "valid")

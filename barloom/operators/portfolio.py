@@ -9,10 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from barloom.functions.numeric import col, fdiv
@@ -26,12 +24,12 @@ PORTFOLIO = "portfolio_id"
 class Costs:
     """Rates of fees, the least commission, the lot, slippage."""
 
-    commission: float = 0.0003
+    commission: float = 0.00025
     min_commission: float = 5.0
     stamp: float = 0.001
     transfer: float = 0.00001
     lot: int = 100
-    slippage: float = 0.0
+    slippage: float = 0.0005
 
 
 def top_k_weights(signals: DataFrame, top_k: float | Column, by: Iterable[str] = (), score: str = "predict") -> DataFrame:
@@ -104,15 +102,13 @@ def positions(weights: DataFrame, panel: DataFrame, capital: float, costs: Costs
     rows = held.join(bars, INSTRUMENT).join(weights, [PORTFOLIO, DATE, INSTRUMENT], "left")
     rows = rows.select(PORTFOLIO, INSTRUMENT, DATE, "close", "flag", target_shares(F.coalesce("weight", F.lit(0.0)), F.col("close"), capital, costs.lot).alias("target"))
 
-    def clamp(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(DATE, kind="stable")
-        have, out = 0, []
-        for target, flag in zip(x["target"], x["flag"]):
-            have = min(have, target) if flag > 0 else max(have, target) if flag < 0 else target
-            out.append(have)
-        return x.assign(shares=out)
-
-    return rows.groupBy(PORTFOLIO, INSTRUMENT).applyInPandas(clamp, T.StructType([*rows.schema.fields, T.StructField("shares", T.LongType())]))
+    # a bar away from the limits sets the shares anew, so only the bars at a limit since then are folded
+    by = Window.partitionBy(PORTFOLIO, INSTRUMENT).orderBy(DATE)
+    rows = rows.withColumn("_run", F.sum(F.when(F.col("flag") == 0, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    since = Window.partitionBy(PORTFOLIO, INSTRUMENT, "_run").orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
+    step = lambda have, x: F.when(x["flag"] > 0, F.least(have, x["target"])).when(x["flag"] < 0, F.greatest(have, x["target"])).otherwise(x["target"])
+    shares = F.aggregate(F.collect_list(F.struct("target", "flag")).over(since), F.lit(0).cast("long"), step)
+    return rows.withColumn("shares", shares).drop("_run")
 
 
 def blotter(held: DataFrame, costs: Costs = Costs()) -> DataFrame:  # noqa: B008
@@ -177,6 +173,9 @@ def attach_benchmark(nav: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def sweep_weights(signals: DataFrame, grid: DataFrame) -> DataFrame:
-    """top_k_weights of every row (portfolio_id, signal, top_k) of a grid; signals are date, instrument, signal, predict."""
-    rows = signals.join(F.broadcast(grid), "signal")
+    """top_k_weights of every row (portfolio_id, signal, top_k) of a grid; signals are date, instrument, signal, predict.
+
+    Spark broadcasts the grid while its size is below spark.sql.autoBroadcastJoinThreshold, else both sides are shuffled.
+    """
+    rows = signals.join(grid, "signal")
     return top_k_weights(rows, F.col("top_k"), by=[PORTFOLIO])

@@ -25,7 +25,7 @@ def _rows(rows):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no tables")
-@pytest.mark.parametrize("name", ["ic_summary", "ts_rank", "cs_resid", "factor_rsi_14", "group_return", "weight_returns", "risk_metrics"])
+@pytest.mark.parametrize("name", ["ic_summary", "ts_rank", "cs_resid", "factor_rsi_14", "group_return", "weight_returns", "risk_metrics", "positions", "blotter", "daily_book", "sell_fee"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

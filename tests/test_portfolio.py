@@ -56,7 +56,48 @@ def test_positions_and_book(spark):
     book = {(r.date - DAY).days: r for r in portfolio.daily_book(held, 100_000.0).collect()}
     assert book[0].nav == 1 and book[1].pnl == pytest.approx(5000 * 0.5 - 2500 * 1.0)
     fees = sum(r.fee for r in orders.collect())
-    assert sum(r.cost for r in book.values()) == pytest.approx(fees)
+    slipped = sum(r.shares * r.price / (1.0005 if r.side == "buy" else 0.9995) * 0.0005 for r in orders.collect())
+    assert sum(r.cost for r in book.values()) == pytest.approx(fees + slipped)
+
+
+def test_fees_at_the_fixed_rates(spark):
+    row = spark.range(1).select(portfolio.commission(F.lit(100_000.0)), portfolio.buy_fee(F.lit(100_000.0)), portfolio.sell_fee(F.lit(100_000.0)), portfolio.commission(F.lit(10_000.0))).first()
+    assert list(row) == pytest.approx([25.0, 26.0, 126.0, 5.0])
+    bars = spark.createDataFrame([(DAY, "600001", 10.0), (DAY + dt.timedelta(days=1), "600001", 10.0)], "date date, instrument string, close double")
+    w = spark.createDataFrame([("p", DAY, "600001", 1.0)], "portfolio_id string, date date, instrument string, weight double")
+    got = {r.side: (r.price, r.fee) for r in portfolio.blotter(portfolio.positions(w, bars, 100_000.0)).collect()}
+    assert got["buy"] == pytest.approx((10.005, 100_050 * 0.00026)) and got["sell"] == pytest.approx((9.995, 99_950 * 0.00126))
+
+
+def test_positions_fold_against_a_loop(spark):
+    rng = np.random.default_rng(4)
+    close = 10 * np.cumprod(1 + rng.choice([0, 0.1, -0.1, 0.02, 0.1001, -0.1001], 300))
+    bars = spark.createDataFrame([(DAY + dt.timedelta(days=i), "600001", float(c)) for i, c in enumerate(close)], "date date, instrument string, close double")
+    w = spark.createDataFrame([("p", DAY + dt.timedelta(days=i), "600001", float(x)) for i, x in enumerate(rng.random(300)) if i % 3], "portfolio_id string, date date, instrument string, weight double")
+    held = portfolio.positions(w, bars, 1e6)
+    assert "Python" not in held._jdf.queryExecution().executedPlan().toString()
+    have = 0
+    for r in held.orderBy("date").collect():
+        have = min(have, r.target) if r.flag > 0 else max(have, r.target) if r.flag < 0 else r.target
+        assert r.shares == have
+    assert held.where("flag <> 0").count() > 60
+
+
+def test_risk_metrics_is_its_parts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, DAY + dt.timedelta(days=i), None if rng.random() < 0.05 else float(v)) for k, n in (("a", 1), ("b", 60), ("c", 200)) for i, v in enumerate(np.cumprod(1 + rng.normal(0, 0.02, n)))]
+    df = spark.createDataFrame(rows, "portfolio_id string, date date, nav double")
+    got = {r.portfolio_id: r for r in metrics.risk_metrics(df).collect()}
+    r = metrics.daily_returns(df)
+    days = {x.portfolio_id: x.max_drawdown_days for x in metrics.longest_drawdown_days(df).collect()}
+    assert set(got) == set(days)
+    for conf, name in ((0.95, "95"), (0.99, "99")):
+        var = {x.portfolio_id: x["var"] for x in metrics.value_at_risk(r, conf).collect()}
+        cvar = {x.portfolio_id: x.cvar for x in metrics.expected_shortfall(r, conf).collect()}
+        for k, x in got.items():
+            assert x[f"var_{name}"] == pytest.approx(var.get(k)) and x[f"cvar_{name}"] == pytest.approx(cvar.get(k)) and x.max_drawdown_days == days[k]
+    plan = metrics.risk_metrics(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_performance(spark):
@@ -121,5 +162,7 @@ def test_models(spark):
     assert got.columns == ["date", "instrument", "predict"] and got.where("date <= '2020-03-31'").count() == 0
     joined = got.join(df, ["date", "instrument"]).agg(F.max(F.abs(F.col("predict") - F.col("label")))).first()[0]
     assert joined < 1e-2
+    odd = df.withColumn("x", F.when(F.dayofmonth("date") == 7, F.lit(float("nan"))).otherwise(F.col("x")))
+    assert models.fit_predict(odd, ["x"], "2020-02-29", "2020-03-31", models.linear()).count() == got.count()
     with pytest.raises(ValueError):
         models.fit_predict(df, ["x"], "2021-01-01", "2021-02-01", models.linear())
