@@ -33,8 +33,7 @@ def factor_research(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = factors.compute_factors(p, names, keep=["label"])
     # NaN becomes null before the cross-section, so that one undefined value does not spoil a date
     raw = raw.select("date", "instrument", "label", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names])
-    long = evaluate.long_form(raw, names)
-    return evaluate.ic_summary(evaluate.ic_frame(long, "value", by=["factor"]), by=["factor"])
+    return evaluate.evaluate_factors(raw, names)
 
 
 def _bounds(df: DataFrame) -> tuple[str, str]:

@@ -3,14 +3,19 @@
 Words lose surrounding marks and the case of A-Z; numbers, units after numbers and names (capitalised
 inside a sentence) become typed slots. A capitalised word that may begin a sentence (after . ! ? : or a
 line break) is either a name or a plain word: its windows are taken in both forms, in items and in
-documents alike. Windows of five template words of documents are hash-joined with those of the benchmark. The slots of one alignment give a one-to-one mapping of the item's values
-to the document's, by the number of places that speak for each pair; windows whose slots contradict it do
-not count, unless their values are the item's own. A document leaks an item if windows that agree cover
-`least` of the item's.
+documents alike. Windows of five template words of documents are hash-joined with those of the benchmark.
+The slots of one alignment give a one-to-one mapping of the item's values to the document's, by the number
+of places that speak for each pair; windows whose slots contradict it do not count, unless their values
+are the item's own. A document leaks an item if windows that agree cover `least` of the item's.
+
+A document that leaks an item holds one of the item's rarest windows: of n windows those that can't all be
+missing, by the number of items that have them. Documents and items are paired by these alone, so a phrase
+that many items share pairs no documents with items by itself; then the windows of the pairs are joined.
 
 A bitmap of fixed size, made of the benchmark's window hashes, leaves out most windows before the
 join; a larger benchmark only fills it more. Windows with fewer than three plain words are joined on
-their values as well. Items of fewer than five words match nothing.
+their values as well. An item of fewer than five words is one window of its very words and is found where it
+stands as a line of its own: in running text so few words say nothing. Items without words match nothing.
 
 Nulls: rows with a null id or text match nothing. Repeated rows of one id count as one document.
 """
@@ -23,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import rolling
 from .columnar import text_bytes, text_slices
-from .workspace import small_batches
+from .workspace import small_batches, written
 
 WINDOW = 5
 #: Windows with fewer plain words than this must also have equal slots.
@@ -62,7 +68,7 @@ _UNIT_HASHES = _hash_words([u for u in UNITS if u != "%"])
 class Templates:
     """Template windows of a batch of texts: hash, text, place, and the values of the slots (0 for plain words)."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, items: bool = False):
         raw, offsets = text_bytes(texts)
         start, end, first = rolling.words(raw, offsets)
         text = np.repeat(np.arange(len(texts)), np.diff(first))
@@ -111,8 +117,23 @@ class Templates:
         self.spelt = value
         self.first = per
         self._other_forms(either, slot)
+        self.short = np.zeros(len(self.at), bool)
+        self._short_lines(text, text if items else text * (1 + newline[-1]) + newline[s])
         self.text = text[self.at] if len(self.at) else self.at
 
+    def _short_lines(self, text: np.ndarray, line: np.ndarray) -> None:
+        """Adds a window for each line (of an item: the whole of it) of fewer than WINDOW words."""
+        if not len(line):
+            return
+        first = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (text[1:] != text[:-1])))
+        n = np.diff(np.append(first, len(line)))
+        own = np.flatnonzero(n < WINDOW)
+        a, n = first[own], n[own]
+        h = rolling.mix(rolling.Segments(self.spelt).of(a, a + n) + n.astype(np.uint64) * _NAME)
+        self.at, self.form = np.concatenate([self.at, a]), np.append(self.form, np.zeros(len(a), np.int64))
+        self.own, self.hash = np.concatenate([self.own, h]), np.concatenate([self.hash, h])
+        self.short = np.append(self.short, np.ones(len(a), bool))
+
     def _other_forms(self, either: np.ndarray, slot: np.ndarray) -> None:
         """Adds the windows in which words of `either` are names; `form` has a bit for each such word."""
         bits = np.zeros(len(self.at), np.int64)
@@ -137,9 +158,9 @@ class Templates:
 
     def rows(self, keep: np.ndarray, ids: pa.Array) -> list[pa.Array]:
         at = self.at[keep]
-        place = at[:, None] + np.arange(WINDOW)
+        place = np.minimum(at[:, None] + np.arange(WINDOW), max(0, len(self.value) - 1))
         named = self.form[keep][:, None] >> np.arange(WINDOW) & 1 > 0
-        values = np.where(named, self.spelt[place], self.value[place]).view(np.int64).ravel() if len(at) else np.zeros(0, np.int64)
+        values = np.where(named, self.spelt[place], self.value[place] * ~self.short[keep][:, None]).view(np.int64).ravel() if len(at) else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * WINDOW, pa.int32()), pa.array(values))
         text = self.text[keep]
         return [ids.take(pa.array(text)), pa.array((at - self.first[text]).astype(np.int64)), pa.array(self.hash[keep].view(np.int64)), pa.array(self.own[keep].view(np.int64)), lists]
@@ -151,7 +172,7 @@ def windows(table: DataFrame, key: str, text: str = "text", bitmap: np.ndarray |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                t = Templates(part.column(1))
+                t = Templates(part.column(1), items=bitmap is None)
                 if bitmap is None:
                     keep = np.arange(len(t.hash))
                 else:
@@ -177,10 +198,17 @@ def _bitmap(bench: DataFrame) -> np.ndarray:
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows (distinct ones of the item), n_found, coverage and first_at (word) of each leaked item."""
     small_batches(docs.sparkSession)
-    bench = windows(benchmark, "item_id", text)
+    bench = written(windows(benchmark, "item_id", text), "benchmark")
     items = bench.groupBy("item_id").agg(F.countDistinct("own").alias("n_windows"))
-    found = windows(docs, "doc_id", text, _bitmap(bench)).drop("own")
-    pairs = found.join(bench.select("item_id", "h", "own", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")), "h")
+    found = written(windows(docs, "doc_id", text, _bitmap(bench)).drop("own"), "hits")
+    # an item's rarest windows, so many that a leak has one of them, pair it with documents
+    shared = bench.groupBy("h").agg(F.countDistinct("item_id").alias("_items"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("_items", "own"))
+    rare = bench.join(shared, "h").groupBy("item_id", "own").agg(F.max("_items").alias("_items")).withColumn("_rank", rank).join(items, "item_id")
+    rare = rare.where(F.col("_rank") <= F.col("n_windows") - F.ceil(F.col("n_windows") * F.lit(least) - F.lit(1e-9)) + 1)
+    keys = bench.join(rare.select("item_id", "own"), ["item_id", "own"]).select("item_id", "h").distinct()
+    paired = found.select("doc_id", "h").distinct().join(keys, "h").select("doc_id", "item_id").distinct()
+    pairs = paired.join(found, "doc_id").join(bench.select("item_id", "h", "own", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")), ["item_id", "h"])
     slots = F.filter(F.transform(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda x, k: F.struct((F.col("item_at") + k).alias("i"), x["a"].alias("a"), x["b"].alias("b"))), lambda x: x["a"] != 0)
     pairs = pairs.select("doc_id", "item_id", "own", "at", (F.col("at") - F.col("item_at")).alias("shift"), slots.alias("slots"))
     lined = pairs.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.struct("own", "at", "slots")).alias("ws"))

@@ -6,6 +6,7 @@ reread: its lineage is cut, and a lost executor costs no more than the step at h
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,15 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset, as in local tests, a temporary folder."""
+    """spark.checkpoint.dir of the session; where that is unset in local mode, as in tests, a temporary folder.
+
+    On a cluster without the setting it raises ValueError: executors would each write to a disk of their own.
+    """
     sc = spark.sparkContext
     if given := sc.getConf().get("spark.checkpoint.dir", None):
         return given
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _OWN.setdefault(sc.applicationId, f"file://{tempfile.mkdtemp(prefix='spark-shared-')}")
 
 

@@ -40,6 +40,8 @@ def brute(texts, items, least=0.8):
         for d, t in enumerate(texts):
             if own and len(own & win(cut(t))) >= least * len(own):
                 out.add((d, i))
+            if not own and any(cut(line) == cut(item) for line in t.split("\n") if cut(line)):
+                out.add((d, i))
     return out
 
 
@@ -55,7 +57,7 @@ def test_plain_words_like_brute_force(spark, docs, save):
             w = random.choice(items).split()
             for _ in range(random.choice([0, 0, 1, 2])):
                 w[random.randrange(len(w))] = random.choice(vocab)
-            t += ", " + " ".join(w) + "; " + line(5)
+            t += ", " + " ".join(w) + "; " + line(5) if len(w) > 4 or random.random() < 0.5 else "\n" + " ".join(w) + "\n" + line(5)
         texts.append(t)
     df, bench = tables(spark, docs, texts, items)
     got = {(r.doc_id, r.item_id) for r in queries.op7_templates(spark, save(documents=df, benchmark=bench)).collect()}
@@ -91,6 +93,33 @@ def test_contradicting_slots_cost_their_windows_only(spark, docs):
     assert all(r.n_found == r.n_windows - 5 for i, r in got.items() if i < 2)
 
 
+def test_short_items(spark, docs):
+    items = ["Capital of France?", "what is 7 + 5", "word", ".", "a b\nc d"]
+    texts = ["x y\ncapital of france\nz", "The capital of France is large", "What is 7 + 5?", "What is 8 + 5?", "a word here", "so\nWord!\n", "a b c d", ".\n?"]
+    df, bench = tables(spark, docs, texts, items)
+    got = {(r.doc_id, r.item_id, r.n_windows, r.coverage) for r in templates.leaks(df, bench).collect()}
+    assert got == {(0, 0, 1, 1.0), (2, 1, 1, 1.0), (5, 2, 1, 1.0), (6, 4, 1, 1.0)}
+
+
+def test_a_stock_phrase_pairs_nothing(spark, docs):
+    """Items that begin alike: the phrase pairs no document with an item; the items themselves are found."""
+    random.seed(6)
+    stock = "which of the following words is the best answer to this question here"
+    own = lambda i: " ".join(f"{random.choice('bcdfg')}{random.choice('aeiou')}{random.choice('lmnrst')}{random.choice('aeiou')}" for _ in range(12))
+    items = [f"{stock} {own(i)}" for i in range(40)]
+    texts = [f"{own(0)} {stock} {own(0)}" for _ in range(40)] + [f"{own(0)} {items[3]} {own(0)}", items[7]]
+    df, bench = tables(spark, docs, texts, items)
+    got = templates.leaks(df, bench)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(40, 3), (41, 7)}
+
+
+def test_very_long_text(spark, docs):
+    random.seed(2)
+    filler = " ".join(random.choice(("stone", "river", "cloud", "Lyon", "12", "km.")) for _ in range(80_000))
+    df, bench = tables(spark, docs, [f"{filler} {ITEM} {filler}", filler], [ITEM])
+    assert [(r.doc_id, r.coverage, r.first_at) for r in templates.leaks(df, bench).collect()] == [(0, 1.0, 80_000)]
+
+
 def test_empty(spark, docs):
     df, bench = tables(spark, docs, [ITEM], [ITEM])
     assert templates.leaks(df.limit(0), bench).count() == 0
