@@ -207,20 +207,19 @@ def probability(span: Column, w: dict[str, float]) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def detect(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), least: float = 0.5, votes: int = 3) -> DataFrame:
+def detect(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), least: float = 0.8) -> DataFrame:
     """doc_id, `keep` columns and spans array<struct<kind, start, end, base>>, by kind as in KINDS, then start.
 
-    A candidate outside the base is added if the classifier gives it `least` or more, at least `votes`
-    labelers speak for it, and no base span overlaps it.
+    A candidate outside the base is added if the classifier gives it a probability of `least` or more and
+    no base span overlaps it. A null doc_id is kept like any other value.
     """
     found = written(candidates(docs, text, keep), "pii-candidates")
     counts = vote_counts(found)
     w = train(counts, reliabilities(counts))
     base = F.filter("spans", lambda s: s["base"])
-    many = lambda s: sum((s["votes"].bitwiseAND(1 << j).cast("boolean").cast("int") for j in range(4)), F.lit(0))
     overlaps = lambda s: F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     found = found.withColumn("_base", base)
-    added = F.filter("spans", lambda s: ~s["base"] & (many(s) >= votes) & (probability(s, w) >= least) & ~overlaps(s))
+    added = F.filter("spans", lambda s: ~s["base"] & (probability(s, w) >= least) & ~overlaps(s))
     order = F.array(*[F.lit(k) for k in KINDS])
     spans = F.transform(
         F.array_sort(F.transform(F.concat("_base", added), lambda s: F.struct(F.array_position(order, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base")))),

@@ -44,6 +44,20 @@ def test_dropped_elements_end_where_they_end():
     assert html_cut.main_text(f"<article>{ARTICLE.replace('words,', f'words {math},')}</article>") == WANT.replace("words,", "words x+1,")
 
 
+def test_the_cut_decides_where_the_classifier_is_unsure():
+    """Short blocks that the classifier gives to the boilerplate: kept among content, left out among boilerplate."""
+    long = "<div>Here is a sentence of the story, with enough words to be sure of it.</div>"
+    among = f"<div>{long}<div>Go on</div>{long}</div>"
+    alone = "<div><div>Go on</div><div>Go off</div></div>"
+    for page, want in ((among, 3), (alone, 0)):
+        texts, scores, _, _ = html_cut.blocks_of(page, html_cut.Weights())
+        assert scores[texts.index("Go on")] < 0
+        got = html_cut.main_text(page)
+        assert ("Go on" in got) == bool(want)
+    plain = html_cut.Weights(adjacent=0.0, container=0.0)
+    assert "Go on" not in html_cut.main_text(among, plain)
+
+
 def test_odd_pages():
     for page in ("", " ", "<", "<p", "<!-- never closed", "<script>never closed", "</div></div>", "&#x0;&nosuch;", "<div>" * 3000, "<a href='>"):
         assert isinstance(html_cut.main_text(page), str)
