@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_cut, jaccard, langid, maxent, oracles, phrases, pii, quality, suffixes, templates, toxicity
+from . import bpe, collocations, heap_lloyd, html_cut, jaccard, langid, maxent, oracles, phrases, pii, quality, suffixes, templates, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,14 @@ def op10_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_heap_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_lloyd.digest(*heap_lloyd.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train(docs.where(langid.fold() != 2)))
@@ -72,7 +80,7 @@ def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_phrases": op1_phrases, "op2_maxent": op2_maxent, "op3_suffixes": op3_suffixes, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_templates": op7_templates, "op8_jaccard": op8_jaccard, "op9_pii": op9_pii, "op10_html_cut": op10_html_cut, "op13_langid": op13_langid}
+    return {"op1_phrases": op1_phrases, "op2_maxent": op2_maxent, "op3_suffixes": op3_suffixes, "op4_toxicity": op4_toxicity, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_templates": op7_templates, "op8_jaccard": op8_jaccard, "op9_pii": op9_pii, "op10_html_cut": op10_html_cut, "op11_heap_lloyd": op11_heap_lloyd, "op12_collocations": op12_collocations, "op13_langid": op13_langid}
 
 
 def oracle_sql() -> dict[str, str]:
