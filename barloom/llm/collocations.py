@@ -31,7 +31,7 @@ from .workspace import stored
 
 LONGEST, LEAST, TOP, SHARE = 5, 100, 2000, 100
 #: Bytes of texts in a shard, or one text.
-SHARD = 8 << 20
+SHARD = 4 << 20
 #: The bitmap of frequent pairs has 2^BITS bits at most, 2^MIN_BITS at least, and about SPARE bits a pair in between.
 BITS, MIN_BITS, SPARE = 28, 16, 16
 #: Parts that a language is ranked in before its best are ranked together.
@@ -88,16 +88,16 @@ class Shard:
         coded = pa.Array.from_buffers(pa.string(), self.n, [None, pa.py_buffer(offsets), pa.py_buffer(LOWER[raw[word]])]).dictionary_encode()
         lang = langs.dictionary_encode()
         self.words, self.langs = coded.dictionary, lang.dictionary
-        self.word = np.asarray(coded.indices, np.int64)
-        self.lang = np.asarray(lang.indices, np.int64)[doc]
+        self.word = np.asarray(coded.indices, np.int32)
+        self.lang = np.asarray(lang.indices, np.int32)[doc]
         # a word of another language is another word
-        self.one = self.lang * len(self.words) + self.word + 1
+        self.one = self.lang.astype(np.int64) * len(self.words) + self.word + 1
         if self.n and (self.one.max() + 1) >= 1 << 31:
             self.one = _dense(self.one)[1]
         linked = np.zeros(self.n, bool)
         if self.n:
             linked[:-1] = (doc[1:] == doc[:-1]) & (breaks[1:] == breaks[:-1])
-        self.run = np.ones(self.n, np.int64)
+        self.run = np.ones(self.n, np.int8)
         more = linked
         for i in range(1, LONGEST):
             self.run += more
@@ -127,7 +127,7 @@ class Shard:
         allowed = np.zeros(int(self.two.max(initial=0)) + 1, bool)
         allowed[self.two[places[set_]]] = True
         pair = allowed[self.two] & (self.run >= 2)
-        run, more = np.ones(self.n, np.int64), pair
+        run, more = np.ones(self.n, np.int8), pair
         for i in range(1, LONGEST):
             run += more
             more = more & _ahead(pair, i)
