@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.jobs import research
-from barloom.jobs.tables import BARS_SQL, CAPITAL, LABELLED_SQL, NAV_SQL, WEIGHTS_SQL, bars, digits, digits_sql, labelled, nav, value, weights
+from barloom.jobs.tables import BARS_SQL, CAPITAL, LABELLED_SQL, NAV_SQL, SWEEP_WEIGHTS_SQL, WEIGHTS_SQL, bars, digits, digits_sql, labelled, nav, value, weights
 from barloom.operators import crosssection as cs
 from barloom.operators import elementwise as el
 from barloom.operators import evaluate, factors, metrics, portfolio
@@ -212,6 +212,21 @@ def _factor(name: str) -> Query:
 FACTORS = {f"factor_{n}": (_factor(n), q) for n, q in FACTOR_SQL.items()}
 
 
+def _between_sql() -> str:
+    """Four factors of the whole panel, restricted to the dates afterwards."""
+    start, end = RANGE
+    own = {n: FACTOR_SQL[n].replace(f"WITH {BARS_SQL}", "WITH bars AS (SELECT * FROM b0)", 1) for n in BETWEEN}
+    first, *rest = BETWEEN
+    columns = ", ".join(f"{n}.value AS {n}, {n}.value_undefined AS {n}_undefined" for n in BETWEEN)
+    joins = " ".join(f"JOIN ({own[n]}) {n} ON {n}.date = {first}.date AND {n}.instrument = {first}.instrument" for n in rest)
+    return f"WITH {BARS_SQL}, b0 AS MATERIALIZED (SELECT * FROM bars) SELECT {first}.date, {first}.instrument, {columns} FROM ({own[first]}) {first} {joins} WHERE {first}.date BETWEEN DATE '{start}' AND DATE '{end}'"
+
+
+#: A simple lag, a window over a lag, and both kinds of exponential means.
+BETWEEN, RANGE = ("momentum_60", "volatility_20", "rsi_14", "macd"), ("1995-03-01", "1995-12-31")
+FACTORS["factors_between"] = (lambda s, d: _numbers(factors.factors_between(bars(s, d), *RANGE, BETWEEN), "date", "instrument"), _between_sql())
+
+
 def _numbers(df: DataFrame, *keys: str) -> DataFrame:
     """The keys, and all other columns as digits."""
     return df.select(*keys, *[c for n in df.columns if n not in keys for c in digits(n.replace("-", "_").lower(), F.col(f"`{n}`"))])
@@ -280,7 +295,7 @@ dd AS (SELECT *, w - coalesce(lag(w) OVER (PARTITION BY portfolio_id, instrument
 dy AS (SELECT portfolio_id, date, sum(w * f) AS gross, sum(greatest(d, 0)) AS buys, sum(greatest(-d, 0)) AS sells FROM dd GROUP BY portfolio_id, date),
 nt AS (SELECT *, gross - buys * 0.00076::DOUBLE - sells * 0.00176::DOUBLE AS net FROM dy)"""
 
-HELD_SQL = f"""{WEIGHTS_SQL},
+HELD = f""",
 fl AS (SELECT date, instrument, close, CASE WHEN pc > 0 AND close >= pc * (1 + band) - 1e-6::DOUBLE THEN 1 WHEN pc > 0 AND close <= pc * (1 - band) + 1e-6::DOUBLE THEN -1 ELSE 0 END AS flag
   FROM (SELECT *, lag(close) {W} AS pc, {PREV[1]["band"]} AS band FROM bars)),
 h AS (SELECT DISTINCT portfolio_id, instrument FROM weights),
@@ -289,6 +304,7 @@ tg AS (SELECT h.portfolio_id, h.instrument, fl.date, close, flag, CASE WHEN clos
 rn AS (SELECT *, sum(CASE WHEN flag = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY portfolio_id, instrument ORDER BY date ROWS UNBOUNDED PRECEDING) AS run FROM tg),
 held AS (SELECT * EXCLUDE (acts), list_reduce(list_prepend({{'t': 0::BIGINT, 'f': 0}}, acts), lambda a, x: {{'t': CASE WHEN x.f > 0 THEN least(a.t, x.t) WHEN x.f < 0 THEN greatest(a.t, x.t) ELSE x.t END, 'f': x.f}}).t AS shares
   FROM (SELECT *, list({{'t': target, 'f': flag}}) OVER (PARTITION BY portfolio_id, instrument, run ORDER BY date ROWS UNBOUNDED PRECEDING) AS acts FROM rn))"""
+HELD_SQL = WEIGHTS_SQL + HELD
 ORDER_SQL = f"""{HELD_SQL},
 df AS (SELECT *, shares - coalesce(lag(shares) OVER p, 0) AS diff, lag(close) OVER p AS last, coalesce(lag(shares) OVER p, 0) AS was FROM held WINDOW p AS (PARTITION BY portfolio_id, instrument ORDER BY date)),
 pr AS (SELECT *, CASE WHEN diff > 0 THEN 'buy' ELSE 'sell' END AS side, close * CASE WHEN diff > 0 THEN 1.0005::DOUBLE ELSE 0.9995::DOUBLE END AS price FROM df),
@@ -296,6 +312,13 @@ ord AS (SELECT *, greatest(5.0::DOUBLE, abs(diff) * price * 0.00025::DOUBLE) + a
 BOOK_SQL = f"""{ORDER_SQL},
 dy AS (SELECT portfolio_id, date, coalesce(sum(was * (close - last)), 0) AS pnl, sum(CASE WHEN diff = 0 THEN 0 ELSE fee END + abs(diff) * close * 0.0005::DOUBLE) AS cost, sum(abs(diff) * close) AS traded FROM ord GROUP BY portfolio_id, date),
 bk AS (SELECT *, 1 + sum(pnl - cost) OVER (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING) / {CAPITAL}::DOUBLE AS raw FROM dy)"""
+SWEEP_SQL = f"""{SWEEP_WEIGHTS_SQL}{HELD},
+df AS (SELECT *, shares - coalesce(lag(shares) OVER p, 0) AS diff, lag(close) OVER p AS last, coalesce(lag(shares) OVER p, 0) AS was FROM held WINDOW p AS (PARTITION BY portfolio_id, instrument ORDER BY date)),
+ord AS (SELECT g.portfolio_id, date, close, last, was, diff, min_commission, commission, transfer, stamp, slippage, abs(diff) * close * CASE WHEN diff > 0 THEN 1 + slippage ELSE 1 - slippage END AS filled FROM df JOIN grid g ON g.plan = df.portfolio_id),
+dy AS (SELECT portfolio_id, date, coalesce(sum(was * (close - last)), 0) AS pnl,
+  sum(CASE WHEN diff = 0 THEN 0 ELSE greatest(min_commission, filled * commission) + filled * transfer + CASE WHEN diff < 0 THEN filled * stamp ELSE 0 END END + abs(diff) * close * slippage) AS cost, sum(abs(diff) * close) AS traded FROM ord GROUP BY portfolio_id, date),
+bk AS (SELECT *, 1 + sum(pnl - cost) OVER (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING) / {CAPITAL}::DOUBLE AS raw FROM dy)"""
+BOOK = {"pnl": "pnl", "cost": "cost", "traded": "traded", "turnover": f"traded / ({CAPITAL}::DOUBLE * (raw + cost / {CAPITAL}::DOUBLE))", "nav": "raw / first_value(raw) OVER (PARTITION BY portfolio_id ORDER BY date)"}
 
 PORTFOLIOS: dict[str, tuple[Query, str]] = {
     "topk_weights": (lambda s, d: _numbers(weights(s, d).where("portfolio_id = 'p10'").drop("portfolio_id"), "date", "instrument"), _numbers_sql(WEIGHTS_SQL, {"weight": "weight"}, "weights", "date, instrument", "WHERE portfolio_id = 'p10'")),
@@ -309,12 +332,13 @@ PORTFOLIOS: dict[str, tuple[Query, str]] = {
     "sell_fee": (_valued(lambda: portfolio.sell_fee(F.col("amount"))), _sql([FEE, {"v": "c + amount * 0.00001::DOUBLE + amount * 0.001::DOUBLE"}])),
     "round_lot": (_valued(lambda: portfolio.round_lot(F.col("amount"))), _sql([{"v": "floor(amount / 100.0::DOUBLE) * 100"}])),
     "target_shares": (_valued(lambda: portfolio.target_shares(F.lit(0.02), F.col("close"), 1e7)), _sql([{"v": "floor((0.02::DOUBLE * 10000000.0::DOUBLE / close) / 100.0::DOUBLE) * 100"}])),
-    "weight_returns": (lambda s, d: _numbers(portfolio.weight_returns(weights(s, d), bars(s, d)), "portfolio_id", "date"), _numbers_sql(WRET_SQL, {"gross": "gross", "buys": "buys", "sells": "sells", "net": "net", "nav": "product(1 + net) OVER (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING)"}, "nt", "portfolio_id, date")),
+    "weight_returns": (lambda s, d: _numbers(research.held_returns(s, d), "portfolio_id", "date"), _numbers_sql(WRET_SQL, {"gross": "gross", "buys": "buys", "sells": "sells", "net": "net", "nav": "product(1 + net) OVER (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING)"}, "nt", "portfolio_id, date")),
     "equal_weight_benchmark": (lambda s, d: _numbers(portfolio.equal_weight_benchmark(bars(s, d)), "date"), _numbers_sql(BENCH, {"benchmark": "product(1 + m) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)"}, "m", "date")),
     "attach_benchmark": (_bench_keyed(lambda df: df, "portfolio_id", "date"), _numbers_sql(NAV_SQL, {"nav": "nav", "benchmark": "benchmark"}, "nav", "portfolio_id, date")),
     "positions": (lambda s, d: _numbers(research.held_positions(s, d), "portfolio_id", "instrument", "date"), _numbers_sql(HELD_SQL, {k: k for k in ("close", "flag", "target", "shares")}, "held", "portfolio_id, instrument, date")),
     "blotter": (lambda s, d: _numbers(research.orders(s, d), "portfolio_id", "date", "instrument", "side"), _numbers_sql(ORDER_SQL, {"shares": "abs(diff)", "price": "price", "fee": "fee"}, "ord", "portfolio_id, date, instrument, side", "WHERE diff <> 0")),
-    "daily_book": (lambda s, d: _numbers(research.book(s, d), "portfolio_id", "date"), _numbers_sql(BOOK_SQL, {"pnl": "pnl", "cost": "cost", "traded": "traded", "turnover": f"traded / ({CAPITAL}::DOUBLE * (raw + cost / {CAPITAL}::DOUBLE))", "nav": "raw / first_value(raw) OVER (PARTITION BY portfolio_id ORDER BY date)"}, "bk", "portfolio_id, date")),
+    "daily_book": (lambda s, d: _numbers(research.book(s, d), "portfolio_id", "date"), _numbers_sql(BOOK_SQL, BOOK, "bk", "portfolio_id, date")),
+    "sweep_book": (lambda s, d: _numbers(research.cost_sweep(s, d), "portfolio_id", "date"), _numbers_sql(SWEEP_SQL, BOOK, "bk", "portfolio_id, date")),
 }
 
 K = "portfolio_id"
@@ -345,6 +369,57 @@ CV = {n: f"(SELECT -avg(ret) FROM rr WHERE rr.{K} = dg.{K} AND ret <= (SELECT cu
 HIST = f"{RR}, hb AS (SELECT {K}, least(59, floor((ret - min(ret) OVER p) / (max(ret) OVER p - min(ret) OVER p) * 60.0::DOUBLE)::INT) AS bin FROM rr WINDOW p AS (PARTITION BY {K}))"
 
 
+def _unpivoted(run: str, table: str, columns: dict[str, str], source: str, entity: str = "''", date: str = "date") -> str:
+    """Rows run_id, table_name, entity, date, measure, v, all values as DOUBLE."""
+    return " UNION ALL ".join(f"SELECT '{run}' AS run_id, '{table}' AS table_name, {entity} AS entity, {date} AS date, '{name}' AS measure, ({e})::DOUBLE AS v FROM {source}" for name, e in columns.items())
+
+
+RUN_FACTORS = {"momentum_20": f"(close - lag(close, 20) {W}) / lag(close, 20) {W}", "reversal_5": f"-((close - lag(close, 5) {W}) / lag(close, 5) {W})"}
+
+
+def _run_sql(run: str, factor: str) -> str:
+    """Everything that a run of one factor writes, from the bars b0, in long form. Days without a change have a return of 0, whatever the order of sums."""
+    ranked = f"rk AS (SELECT *, {_rank_sql('z')} AS rf, {_rank_sql('label')} AS rl FROM z)"
+    layers = {f"Group{i}": f"avg(CASE WHEN ceil(rf * 10) = {i} THEN label END)" for i in range(1, 11)}
+    wide = ", ".join(f"{e} AS {n}" for n, e in layers.items())
+    weights = "weights AS (SELECT '' AS portfolio_id, date, instrument, 1.0::DOUBLE / k AS weight FROM (SELECT *, greatest(1, CAST(floor(count(*) OVER (PARTITION BY date) * 0.2::DOUBLE + 0.5::DOUBLE) AS INT)) AS k, row_number() OVER (PARTITION BY date ORDER BY z DESC, instrument) AS n FROM z WHERE z IS NOT NULL) WHERE n <= k)"
+    ctes = f"""bars AS (SELECT * FROM b0), raw AS (SELECT date, instrument, close, lead(close) {W} / close - 1 AS label, {RUN_FACTORS[factor]} AS f FROM bars),
+z AS MATERIALIZED (SELECT date, instrument, close, label, CASE WHEN stddev_samp(f) {WD} > 0 THEN (f - avg(f) {WD}) / stddev_samp(f) {WD} END AS z FROM raw),
+{ranked},
+ic AS (SELECT date, {_corr_sql('z', 'label')} AS ic, {_corr_sql('rf', 'rl')} AS rank_ic FROM rk GROUP BY date),
+lay AS (SELECT *, Group1 - Group10 AS ls FROM (SELECT date, {wide} FROM rk GROUP BY date)),
+nw AS (SELECT *, {_ieee('o', f'sum(abs(o)) {WD}')} AS w FROM (SELECT *, z - avg(z) {WD} AS o FROM z)),
+tov AS (SELECT date, sum(coalesce(c, 0)) AS turnover FROM (SELECT date, abs(w - lag(w) {W}) AS c FROM nw) GROUP BY date),
+{weights}{HELD}{ORDER_SQL[len(HELD_SQL):]}{BOOK_SQL[len(ORDER_SQL):]},
+bm AS (SELECT date, product(1 + m) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS b FROM (SELECT date, coalesce(avg(r), 0) AS m FROM (SELECT date, close / lag(close) {W} - 1 AS r FROM bars) GROUP BY date)),
+nav AS MATERIALIZED (SELECT bk.portfolio_id, bk.date, round(raw / first_value(raw) OVER p, 12) AS nav, b / first_value(b) OVER p AS benchmark
+  FROM bk JOIN bm ON bm.date = bk.date WINDOW p AS (PARTITION BY portfolio_id ORDER BY bk.date)){NAV_SQL[NAV_SQL.index(",\nrets AS"):]},
+mm AS (SELECT {K}, {', '.join(f'{e} AS {n}' for n, e in MET.items())} FROM rets GROUP BY {K}){RISK[len(NAV_SQL):]}, {DD_SQL.replace("fl AS (", "below AS (").replace("FROM fl)", "FROM below)")},
+ics AS (SELECT * FROM ic)"""
+    risk = {"max_drawdown_days": "max_drawdown_days", "var_95": f"(SELECT -cut FROM v95 WHERE v95.{K} = dg.{K})", "cvar_95": CV["cvar_95"], "var_99": f"(SELECT -cut FROM v99 WHERE v99.{K} = dg.{K})", "cvar_99": CV["cvar_99"]}
+    summary = {}
+    for c, short in (("ic", "icir"), ("rank_ic", "rank_icir")):
+        x = f"CASE WHEN NOT isnan({c}) THEN {c} END"
+        ratio = f"(CASE WHEN stddev_samp({x}) > 0 THEN avg({x}) / stddev_samp({x}) ELSE 'nan'::DOUBLE END)"
+        summary |= {f"{c}_mean": f"coalesce(avg({x}), 'nan'::DOUBLE)", short: ratio, f"{c}_t": f"{ratio} * sqrt(count({x})::DOUBLE)"}
+    parts = [
+        _unpivoted(run, "ic", {"ic": "ic", "rank_ic": "rank_ic"}, "ic"),
+        _unpivoted(run, "layers", {**{n: n for n in layers}, "long_short": "ls"}, "lay"),
+        _unpivoted(run, "turnover", {"turnover": "turnover"}, "tov"),
+        _unpivoted(run, "trades", {"shares": "abs(diff)", "price": "price", "fee": "fee"}, "(SELECT * FROM ord WHERE diff <> 0)", "instrument || '/' || side"),
+        _unpivoted(run, "nav", {"nav": "nav", "benchmark": "benchmark"}, "nav"),
+        _unpivoted(run, "metrics", {**{n: n for n in MET}, "calmar": CALMAR}, "mm", date="NULL::DATE"),
+        _unpivoted(run, "metrics", risk, "dg", date="NULL::DATE"),
+        _unpivoted(run, "metrics", summary, "ics", date="NULL::DATE"),
+    ]
+    return f"WITH {ctes} {' UNION ALL '.join(parts)}"
+
+
+def _runs_sql() -> str:
+    own = " UNION ALL ".join(f"SELECT * FROM ({_run_sql(run, factor)})" for run, factor in research.RUNS)
+    return f"WITH {BARS_SQL}, b0 AS MATERIALIZED (SELECT * FROM bars), u AS ({own}) SELECT run_id, table_name, entity, date, measure, {digits_sql('value', 'v')} FROM u"
+
+
 def _returns_of(s: SparkSession, d: str) -> DataFrame:
     return metrics.daily_returns(nav(s, d))
 
@@ -371,6 +446,7 @@ SOURCES: dict[str, tuple[Query, str]] = {
     "date_range": (lambda s, d: _numbers(panel.date_range(bars(s, d), "1994-01-01", "1995-12-31").select("date", "instrument", "close"), "date", "instrument"), _numbers_sql(BARS_SQL, {"close": "close"}, "bars", "date, instrument", "WHERE date BETWEEN DATE '1994-01-01' AND DATE '1995-12-31'")),
     "universe": (lambda s, d: _numbers(panel.universe(bars(s, d), bars(s, d).groupBy("instrument").agg(F.sum("amount").alias("a")).where("a > 13000000").select("instrument")).select("date", "instrument", "close"), "date", "instrument"), _numbers_sql(BARS_SQL, {"close": "close"}, "bars", "date, instrument", "WHERE instrument IN (SELECT instrument FROM bars GROUP BY instrument HAVING sum(amount) > 13000000)")),
     "panel_round_trip": (lambda s, d: _numbers(research.round_trip(s, d).select("date", "instrument", "close"), "date", "instrument"), _numbers_sql(BARS_SQL, {"close": "close"}, "bars", "date, instrument")),
+    "research_runs": (lambda s, d: _numbers(research.two_runs(s, d), "run_id", "table_name", "entity", "date", "measure"), _runs_sql()),
     "synthetic_panel": (lambda s, d: research.synthetic_like(s, d), ""),
 }
 

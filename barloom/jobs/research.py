@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.jobs.tables import CAPITAL, bars, weights
+from barloom.functions.numeric import INF
+from barloom.jobs.tables import CAPITAL, bars, fifty_portfolios, signal_panel, two_portfolios
 from barloom.operators import crosssection as cs
-from barloom.operators import evaluate, factors, models, portfolio
-from barloom.sources import panel
+from barloom.operators import evaluate, factors, metrics, models, portfolio
+from barloom.sources import panel, results
 
 FEATURES = ["momentum_20", "reversal_5", "volatility_20", "kbar_kmid"]
 
@@ -64,25 +66,95 @@ def valid_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.positions(weights(spark, sf_dir), bars(spark, sf_dir), CAPITAL)
+    held = portfolio.sweep_positions(signal_panel(spark, sf_dir), two_portfolios(spark), CAPITAL)
+    return held.drop("last", "was")
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.blotter(held_positions(spark, sf_dir))
+    return portfolio.sweep_blotter(signal_panel(spark, sf_dir), two_portfolios(spark), CAPITAL)
 
 
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.daily_book(held_positions(spark, sf_dir), CAPITAL)
+    return portfolio.sweep_book(signal_panel(spark, sf_dir), two_portfolios(spark), CAPITAL)
+
+
+def held_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.sweep_returns(signal_panel(spark, sf_dir), two_portfolios(spark))
+
+
+def cost_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily book of fifty portfolios: five signals, two sizes, five sets of costs."""
+    return portfolio.sweep_book(signal_panel(spark, sf_dir), fifty_portfolios(spark), CAPITAL)
+
+
+#: Tables that a run writes besides its signals.
+RUN_TABLES = ("ic", "layers", "turnover", "trades", "nav", "metrics")
+
+
+def research_run(bars: DataFrame, base: str, run_id: str, factor: str, method: str = "zscore", horizon: int = 1, groups: int = 10, top_k: float = 0.2, capital: float = 1e8, costs: portfolio.Costs = portfolio.Costs()) -> None:  # noqa: B008
+    """One signal from bars to results: factor, cross-section, IC, layers, turnover, book and metrics, written as one run.
+
+    signals (date, instrument, close, label, predict) are written first and everything else starts from them.
+    Metrics are in long form (metric, value): performance, risk and the summary of the ICs.
+    """
+    spark = bars.sparkSession
+    with results.Run(spark, base, run_id) as run:
+        p = bars.withColumn("label", evaluate.forward_return(horizon))
+        f = cs.standardize(factors.compute_factors(p, [factor], keep=["close", "label"]), [factor], method, keep=["close", "label"])
+        value = F.col(factor)
+        # neither NaN nor an infinity is a signal
+        usable = ~F.isnan(value) & (F.abs(value) < F.lit(INF))
+        signals = run.put("signals", f.select("date", "instrument", "close", "label", F.when(usable, value).alias("predict")))
+        ics = run.put("ic", evaluate.ic_frame(signals, "predict"))
+        run.put("layers", evaluate.group_return(signals, "predict", groups=groups))
+        run.put("turnover", evaluate.factor_turnover(signals, "predict"))
+        grid = spark.createDataFrame([(run_id, "predict", float(top_k), costs.lot, *map(float, (costs.commission, costs.min_commission, costs.stamp, costs.transfer, costs.slippage)))], "portfolio_id string, signal string, top_k double, lot int, commission double, min_commission double, stamp double, transfer double, slippage double")
+        held = portfolio.sweep_positions(signals, grid, capital)
+        run.put("trades", portfolio.blotter(held, costs))
+        book = portfolio.daily_book(held, capital, costs)
+        nav = run.put("nav", portfolio.attach_benchmark(book, portfolio.equal_weight_benchmark(signals)))
+        performance = metrics.summary(nav).join(metrics.risk_metrics(nav), "portfolio_id").drop("portfolio_id")
+        run.put("metrics", _long(performance, "metric").unionByName(_long(evaluate.ic_summary(ics), "metric")))
+
+
+def _long(df: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, the name of each other column and its value as a double."""
+    own = df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in df.columns if c not in keys])
+    return own.unpivot(list(keys), [f"`{c}`" for c in own.columns if c not in keys], name, "value").withColumn(name, F.translate(name, "-`", "_"))
+
+
+RUNS = (("momentum", "momentum_20"), ("reversal", "reversal_5"))
+
+
+def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes two runs and rereads all their tables: run_id, table_name, entity, date, measure, value."""
+    base = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    p = bars(spark, sf_dir)
+    for run_id, factor in RUNS:
+        research_run(p, base, run_id, factor, capital=CAPITAL)
+    parts = []
+    for table in RUN_TABLES:
+        t = results.read_results(spark, base, table)
+        entity = F.concat_ws("/", "instrument", "side") if table == "trades" else F.lit("")
+        date = F.col("date") if "date" in t.columns else F.lit(None).cast("date")
+        t = t.withColumns({"table_name": F.lit(table), "entity": entity, "date": date}).drop("instrument", "side", "portfolio_id")
+        keys = ("run_id", "table_name", "entity", "date")
+        parts.append(t.withColumnRenamed("metric", "measure").select(*keys, "measure", "value") if table == "metrics" else _long(t, "measure", keys))
+    return panel.union_panels(parts)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for all executors; in local mode alone a temporary one will do."""
+    if base := spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
+        return base
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='spark-panel-')}"
 
 
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A panel written by year and read again, in the shared folder that the session names; in local mode alone a temporary one will do."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if base is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-panel-')}"
-    path = f"{base}/panel-{spark.sparkContext.applicationId}"
+    """A panel written by year and read again."""
+    path = f"{shared_folder(spark)}/panel-{spark.sparkContext.applicationId}"
     panel.write_panel(bars(spark, sf_dir), path)
     return panel.read_panel(spark, path, ["close"])
 

@@ -83,6 +83,26 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.sweep_weights(signals(spark, sf_dir).withColumn("signal", F.lit("m20")), grid)
 
 
+def signal_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, instrument, close and five signals of every bar."""
+    own = {"m20": ts.ts_returns("close", 20), "m60": ts.ts_returns("close", 60), "r5": -ts.ts_returns("close", 5), "vol": ts.ts_mean("volume", 5), "kmid": F.col("close") / F.col("open") - F.lit(1.0)}
+    return bars(spark, sf_dir).select("date", "instrument", "close", *[c.alias(n) for n, c in own.items()])
+
+
+def two_portfolios(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("p10", "m20", 0.1), ("p30", "m20", 0.3)], "portfolio_id string, signal string, top_k double")
+
+
+SWEPT = ("m20", "m60", "r5", "vol", "kmid")
+#: name, commission, least commission, stamp, transfer, slippage
+COST_SETS = (("usual", 0.00025, 5.0, 0.001, 0.00001, 0.0005), ("free", 0.0, 0.0, 0.0, 0.0, 0.0), ("dear", 0.0005, 5.0, 0.001, 0.00001, 0.001), ("flat", 0.0, 20.0, 0.0, 0.0, 0.0), ("taxed", 0.00025, 1.0, 0.003, 0.00002, 0.0))
+GRID = [(f"{s}-{int(k * 100)}-{c[0]}", s, k, *c[1:]) for s in SWEPT for k in (0.1, 0.3) for c in COST_SETS]
+
+
+def fifty_portfolios(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(GRID, "portfolio_id string, signal string, top_k double, commission double, min_commission double, stamp double, transfer double, slippage double")
+
+
 WEIGHTS_SQL = f"""{LABELLED_SQL},
 grid AS (SELECT * FROM (VALUES ('p10', 0.1::DOUBLE), ('p30', 0.3::DOUBLE)) t(portfolio_id, top_k)),
 ranked AS (SELECT portfolio_id, date, instrument, greatest(1, CAST(floor(count(*) OVER (PARTITION BY portfolio_id, date) * top_k + 0.5::DOUBLE) AS INT)) AS k,
@@ -105,3 +125,16 @@ nav AS (SELECT instrument AS portfolio_id, bars.date, close / first_value(close)
 rets AS (SELECT *, nav / lag(nav) OVER w - 1 AS ret, benchmark / lag(benchmark) OVER w - 1 AS bench_ret,
   (nav - max(nav) OVER (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING)) / max(nav) OVER (PARTITION BY portfolio_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS drawdown
   FROM nav WINDOW w AS (PARTITION BY portfolio_id ORDER BY date))"""
+
+#: The plans of the grid as portfolios, with their weights; the grid itself has the costs.
+SWEEP_WEIGHTS_SQL = f"""{BARS_SQL},
+sg0 AS (SELECT date, instrument, close, (close - lag(close, 20) OVER w) / lag(close, 20) OVER w AS m20, (close - lag(close, 60) OVER w) / lag(close, 60) OVER w AS m60, -((close - lag(close, 5) OVER w) / lag(close, 5) OVER w) AS r5,
+  CASE WHEN count(volume) OVER w5 = 5 THEN avg(volume) OVER w5 END AS vol, close / open - 1 AS kmid
+  FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY date), w5 AS (PARTITION BY instrument ORDER BY date ROWS 4 PRECEDING)),
+sg AS ({" UNION ALL ".join(f"SELECT date, instrument, '{s}' AS signal, {s} AS predict FROM sg0" for s in SWEPT)}),
+grid AS (SELECT *, signal || '|' || top_k AS plan FROM (VALUES {", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" for v in g) + ")" for g in GRID)}) t(portfolio_id, signal, top_k, commission, min_commission, stamp, transfer, slippage)),
+plans AS (SELECT DISTINCT plan, signal, top_k FROM grid),
+ranked AS (SELECT plan AS portfolio_id, date, instrument, greatest(1, CAST(floor(n * top_k + 0.5::DOUBLE) AS INT)) AS k, r FROM
+  (SELECT *, count(predict) OVER (PARTITION BY signal, date) AS n, row_number() OVER (PARTITION BY signal, date ORDER BY predict DESC NULLS LAST, instrument) AS r FROM sg) x
+  JOIN plans ON plans.signal = x.signal WHERE predict IS NOT NULL),
+weights AS (SELECT portfolio_id, date, instrument, 1.0::DOUBLE / k AS weight FROM ranked WHERE r <= k)"""

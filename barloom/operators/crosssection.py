@@ -119,15 +119,15 @@ def neutralize(df: DataFrame, factors: Iterable[str], targets: Iterable[str]) ->
 METHODS = {"zscore": cs_zscore, "robust_zscore": cs_robust_zscore, "rank": cs_rank, "scale": cs_scale}
 
 
-def standardize(df: DataFrame, columns: Iterable[str], method: str = "zscore") -> DataFrame:
-    """date, instrument and the columns by one cross-sectional method; one shuffle by date for all.
+def standardize(df: DataFrame, columns: Iterable[str], method: str = "zscore", keep: Iterable[str] = ()) -> DataFrame:
+    """date, instrument, `keep` columns and the columns by one cross-sectional method; one shuffle by date for all.
 
     Means and deviations are columns of their own before the division, which keeps the plan small.
     """
-    columns = list(columns)
+    columns, keep = list(columns), list(keep)
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
     if method == "zscore":
-        df = df.select(DATE, INSTRUMENT, *columns, *[cs_mean(c).alias(f"_m_{c}") for c in columns], *[cs_std(c).alias(f"_s_{c}") for c in columns])
-        return df.select(DATE, INSTRUMENT, *[fdiv(F.col(c) - F.col(f"_m_{c}"), f"_s_{c}").alias(c) for c in columns])
-    return df.select(DATE, INSTRUMENT, *[METHODS[method](c).alias(c) for c in columns])
+        df = df.select(DATE, INSTRUMENT, *keep, *columns, *[cs_mean(c).alias(f"_m_{c}") for c in columns], *[cs_std(c).alias(f"_s_{c}") for c in columns])
+        return df.select(DATE, INSTRUMENT, *keep, *[fdiv(F.col(c) - F.col(f"_m_{c}"), f"_s_{c}").alias(c) for c in columns])
+    return df.select(DATE, INSTRUMENT, *keep, *[METHODS[method](c).alias(c) for c in columns])

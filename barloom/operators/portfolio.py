@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from barloom.functions.numeric import col, fdiv
 from barloom.operators.crosssection import mean_rank
+from barloom.operators.scans import NO_HIGH, NO_LOW, clamp_scan
 from barloom.operators.timeseries import DATE, INSTRUMENT, along
 
 PORTFOLIO = "portfolio_id"
@@ -22,7 +23,7 @@ PORTFOLIO = "portfolio_id"
 
 @dataclass(frozen=True)
 class Costs:
-    """Rates of fees, the least commission, the lot, slippage."""
+    """Rates of fees, the least commission, the lot, slippage. Where a whole frame is priced, the rates may be columns of it."""
 
     commission: float = 0.00025
     min_commission: float = 5.0
@@ -91,31 +92,50 @@ def target_shares(weight: Column, close: Column, capital: float, lot: int = 100)
     return F.when(close > 0, round_lot(F.try_divide(weight * F.lit(float(capital)), close), lot)).otherwise(F.lit(0).cast("long"))
 
 
+def market(panel: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """date, instrument, close, last (the close of the bar before), flag and `keep` columns of every bar."""
+    bars = panel.select(DATE, INSTRUMENT, "close", previous_close().alias("last"), *keep)
+    return bars.withColumn("flag", limit_flag("close", "last", price_band()))
+
+
+def _held(rows: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """Adds shares, and was: those before the bar. At the upper limit nothing can be bought, at the lower nothing sold.
+
+    A bar moves the shares into an interval: down to the target at most, up to it at most, or onto it.
+    """
+    low = F.when(F.col("flag") > 0, F.lit(NO_LOW)).otherwise(F.col("target"))
+    high = F.when(F.col("flag") < 0, F.lit(NO_HIGH)).otherwise(F.col("target"))
+    return clamp_scan(rows, keys, low, high).withColumnRenamed("now", "shares")
+
+
+POSITION = (PORTFOLIO, INSTRUMENT, DATE, "close", "last", "flag", "target", "was", "shares")
+
+
 def positions(weights: DataFrame, panel: DataFrame, capital: float, costs: Costs = Costs()) -> DataFrame:  # noqa: B008
-    """portfolio_id, instrument, date, close, target, flag and shares on every bar of every name a portfolio ever wants.
+    """portfolio_id, instrument, date, close, last, flag, target, was and shares on every bar of every name a portfolio ever wants.
 
-    At the upper limit nothing can be bought, at the lower nothing sold; a name without a bar is carried.
+    A name without a bar is carried. Where the weights come from signals of the same panel, sweep_positions does with one scan of it.
     """
-    bars = panel.select(DATE, INSTRUMENT, "close", previous_close().alias("_prev"))
-    bars = bars.select(DATE, INSTRUMENT, "close", limit_flag("close", "_prev", price_band()).alias("flag"))
     held = weights.select(PORTFOLIO, INSTRUMENT).distinct()
-    rows = held.join(bars, INSTRUMENT).join(weights, [PORTFOLIO, DATE, INSTRUMENT], "left")
-    rows = rows.select(PORTFOLIO, INSTRUMENT, DATE, "close", "flag", target_shares(F.coalesce("weight", F.lit(0.0)), F.col("close"), capital, costs.lot).alias("target"))
+    rows = held.join(market(panel), INSTRUMENT).join(weights, [PORTFOLIO, DATE, INSTRUMENT], "left")
+    target = target_shares(F.coalesce("weight", F.lit(0.0)), F.col("close"), capital, costs.lot)
+    rows = rows.select(PORTFOLIO, INSTRUMENT, DATE, "close", "last", "flag", target.alias("target"))
+    return _held(rows, [PORTFOLIO, INSTRUMENT]).select(*POSITION)
 
-    # a bar away from the limits sets the shares anew, so only the bars at a limit since then are folded
-    by = Window.partitionBy(PORTFOLIO, INSTRUMENT).orderBy(DATE)
-    rows = rows.withColumn("_run", F.sum(F.when(F.col("flag") == 0, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    since = Window.partitionBy(PORTFOLIO, INSTRUMENT, "_run").orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
-    step = lambda have, x: F.when(x["flag"] > 0, F.least(have, x["target"])).when(x["flag"] < 0, F.greatest(have, x["target"])).otherwise(x["target"])
-    shares = F.aggregate(F.collect_list(F.struct("target", "flag")).over(since), F.lit(0).cast("long"), step)
-    return rows.withColumn("shares", shares).drop("_run")
+
+def _moves(held: DataFrame) -> DataFrame:
+    """Adds `was` and `last` to positions that lack them."""
+    w = Window.partitionBy(PORTFOLIO, INSTRUMENT).orderBy(DATE)
+    add = {"was": F.coalesce(F.lag("shares").over(w), F.lit(0)), "last": F.lag("close").over(w)}
+    return held.withColumns({k: c for k, c in add.items() if k not in held.columns})
 
 
 def blotter(held: DataFrame, costs: Costs = Costs()) -> DataFrame:  # noqa: B008
-    """date, portfolio_id, instrument, side, shares, price and fee of every order that the positions imply."""
-    w = Window.partitionBy(PORTFOLIO, INSTRUMENT).orderBy(DATE)
-    rows = held.withColumn("_diff", F.col("shares") - F.coalesce(F.lag("shares").over(w), F.lit(0)))
-    rows = rows.where("_diff <> 0")
+    """date, portfolio_id, instrument, side, shares, price and fee of every order that the positions imply.
+
+    The fields of `costs` may be columns of `held`.
+    """
+    rows = _moves(held).withColumn("_diff", F.col("shares") - F.col("was")).where("_diff <> 0")
     buy = F.col("_diff") > 0
     rows = rows.withColumns({"side": F.when(buy, "buy").otherwise("sell"), "shares": F.abs("_diff"), "price": F.col("close") * F.when(buy, F.lit(1.0 + costs.slippage)).otherwise(F.lit(1.0 - costs.slippage))})
     value = F.col("shares") * F.col("price")
@@ -124,14 +144,12 @@ def blotter(held: DataFrame, costs: Costs = Costs()) -> DataFrame:  # noqa: B008
 
 
 def daily_book(held: DataFrame, capital: float, costs: Costs = Costs()) -> DataFrame:  # noqa: B008
-    """portfolio_id, date, pnl, cost, traded, turnover and nav; nav begins at 1."""
-    w = Window.partitionBy(PORTFOLIO, INSTRUMENT).orderBy(DATE)
-    before, last = F.coalesce(F.lag("shares").over(w), F.lit(0)), F.lag("close").over(w)
-    rows = held.select(PORTFOLIO, DATE, "close", "shares", (before * (F.col("close") - last)).alias("_pnl"), (F.col("shares") - before).alias("_diff"))
-    value = F.abs("_diff") * F.col("close")
-    filled = value * F.when(F.col("_diff") > 0, F.lit(1.0 + costs.slippage)).otherwise(F.lit(1.0 - costs.slippage))
-    fee = F.when(F.col("_diff") > 0, buy_fee(filled, costs)).when(F.col("_diff") < 0, sell_fee(filled, costs)).otherwise(F.lit(0.0))
-    daily = rows.groupBy(PORTFOLIO, DATE).agg(F.coalesce(F.sum("_pnl"), F.lit(0.0)).alias("pnl"), F.sum(fee + value * F.lit(costs.slippage)).alias("cost"), F.sum(value).alias("traded"))
+    """portfolio_id, date, pnl, cost, traded, turnover and nav; nav begins at 1. The fields of `costs` may be columns of `held`."""
+    pnl, diff = F.col("was") * (F.col("close") - F.col("last")), F.col("shares") - F.col("was")
+    value = F.abs(diff) * F.col("close")
+    filled = value * F.when(diff > 0, F.lit(1.0 + costs.slippage)).otherwise(F.lit(1.0 - costs.slippage))
+    fee = F.when(diff > 0, buy_fee(filled, costs)).when(diff < 0, sell_fee(filled, costs)).otherwise(F.lit(0.0))
+    daily = _moves(held).groupBy(PORTFOLIO, DATE).agg(F.coalesce(F.sum(pnl), F.lit(0.0)).alias("pnl"), F.sum(fee + value * F.lit(costs.slippage)).alias("cost"), F.sum(value).alias("traded"))
     run = Window.partitionBy(PORTFOLIO).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
     daily = daily.withColumn("_nav", F.lit(1.0) + F.sum(F.col("pnl") - F.col("cost")).over(run) / F.lit(float(capital)))
     daily = daily.withColumn("turnover", fdiv("traded", F.lit(float(capital)) * (F.col("_nav") + F.col("cost") / F.lit(float(capital)))))
@@ -143,14 +161,28 @@ def weight_returns(weights: DataFrame, panel: DataFrame, costs: Costs = Costs())
 
     A name that leaves is sold on its next bar. Fees are the rates alone, without a least commission.
     """
-    bars = panel.select(DATE, INSTRUMENT, (fdiv(F.lead("close").over(along()), "close") - F.lit(1.0)).alias("_fwd"))
+    bars = panel.select(DATE, INSTRUMENT, next_return().alias("next"))
     held = weights.select(PORTFOLIO, INSTRUMENT).distinct()
-    rows = held.join(bars, INSTRUMENT).join(weights, [PORTFOLIO, DATE, INSTRUMENT], "left").withColumn("_w", F.coalesce("weight", F.lit(0.0)))
-    w = Window.partitionBy(PORTFOLIO, INSTRUMENT).orderBy(DATE)
+    rows = held.join(bars, INSTRUMENT).join(weights, [PORTFOLIO, DATE, INSTRUMENT], "left")
+    return _net(_weighed(rows, [PORTFOLIO], [PORTFOLIO, INSTRUMENT]), costs)
+
+
+def next_return(price: str = "close") -> Column:
+    return fdiv(F.lead(price).over(along()), price) - F.lit(1.0)
+
+
+def _weighed(rows: DataFrame, keys: list[str], series: list[str]) -> DataFrame:
+    """keys, date, gross, buys and sells of rows with a weight (null: none) and the return up to the next bar."""
+    w = Window.partitionBy(*series).orderBy(DATE)
+    rows = rows.withColumn("_w", F.coalesce("weight", F.lit(0.0)))
     rows = rows.withColumn("_d", F.col("_w") - F.coalesce(F.lag("_w").over(w), F.lit(0.0)))
-    daily = rows.groupBy(PORTFOLIO, DATE).agg(F.sum(F.col("_w") * F.coalesce("_fwd", F.lit(0.0))).alias("gross"), F.sum(F.greatest("_d", F.lit(0.0))).alias("buys"), F.sum(F.greatest(-F.col("_d"), F.lit(0.0))).alias("sells"))
+    return rows.groupBy(*keys, DATE).agg(F.sum(F.col("_w") * F.coalesce("next", F.lit(0.0))).alias("gross"), F.sum(F.greatest("_d", F.lit(0.0))).alias("buys"), F.sum(F.greatest(-F.col("_d"), F.lit(0.0))).alias("sells"))
+
+
+def _net(daily: DataFrame, costs: Costs) -> DataFrame:
     rate = costs.commission + costs.transfer + costs.slippage
-    daily = daily.withColumn("net", F.col("gross") - F.col("buys") * F.lit(rate) - F.col("sells") * F.lit(rate + costs.stamp))
+    net = F.col("gross") - F.col("buys") * F.lit(rate) - F.col("sells") * F.lit(rate + costs.stamp)
+    daily = daily.select(PORTFOLIO, DATE, "gross", "buys", "sells", net.alias("net"))
     run = Window.partitionBy(PORTFOLIO).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
     return daily.withColumn("nav", F.product(F.lit(1.0) + F.col("net")).over(run))
 
@@ -179,3 +211,89 @@ def sweep_weights(signals: DataFrame, grid: DataFrame) -> DataFrame:
     """
     rows = signals.join(grid, "signal")
     return top_k_weights(rows, F.col("top_k"), by=[PORTFOLIO])
+
+
+#: A grid is broadcast up to so many rows; beyond that it is joined like any table.
+GRID_ROWS = 10_000
+#: What decides on shares, and what they cost; with the value of a grid that lacks the column.
+PLAN = {"signal": None, "top_k": None, "lot": Costs.lot, "risk_degree": 1.0, "max_position_weight": 1.0}
+COST = {"commission": Costs.commission, "min_commission": Costs.min_commission, "stamp": Costs.stamp, "transfer": Costs.transfer, "slippage": Costs.slippage}
+
+
+def parameter_grid(grid: DataFrame) -> DataFrame:
+    """portfolio_id with the columns of PLAN and COST, defaults filled in, and _plan: what portfolios of equal shares have in common.
+
+    ValueError for a missing portfolio_id, signal or top_k, and for a portfolio_id that occurs twice.
+    """
+    if missing := [c for c in (PORTFOLIO, "signal", "top_k") if c not in grid.columns]:
+        raise ValueError(f"missing columns: {missing}")
+    own = grid.select(PORTFOLIO, *[F.col(c) if c in grid.columns else F.lit(v).alias(c) for c, v in {**PLAN, **COST}.items()])
+    if own.groupBy(PORTFOLIO).count().where("count > 1").limit(1).count():
+        raise ValueError("a portfolio_id occurs twice")
+    return own.withColumn("_plan", F.concat_ws("|", *[F.col(c).cast("string") for c in PLAN]))
+
+
+def _beside(rows: DataFrame, grid: DataFrame, on: list[str], distinct: bool = False) -> DataFrame:
+    """rows joined with a grid, or with its distinct rows; a small one is broadcast and needs no shuffle of its own."""
+    if grid.count() > GRID_ROWS:
+        return rows.join(grid.distinct() if distinct else grid, on)
+    return rows.join(F.broadcast(grid.coalesce(1).distinct() if distinct else grid), on)
+
+
+def sweep_plans(panel: DataFrame, grid: DataFrame) -> DataFrame:
+    """signal, _plan, lot, date, instrument, close, last, flag, next and weight (null: none) of all bars of names that a plan of the grid ever wants.
+
+    The signals are columns of the panel. One scan and three exchanges serve all plans: by instrument, by signal
+    and date for ranks, and by signal and instrument, behind which the rows multiply by the plans.
+    """
+    grid = parameter_grid(grid)
+    names = sorted(r["signal"] for r in grid.select("signal").distinct().collect())
+    if missing := [n for n in names if n not in panel.columns]:
+        raise ValueError(f"the panel has no column for the signals {missing}")
+    bars = market(panel.withColumn("next", next_return()), ["next", *names])
+    stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), F.col(n).cast("double").alias("predict")) for n in names]))
+    long = bars.select(DATE, INSTRUMENT, "close", "last", "flag", "next", stacked.alias("s")).select("*", "s.signal", "s.predict").drop("s")
+    w = Window.partitionBy("signal", DATE)
+    ranked = long.withColumns({"_n": F.row_number().over(w.orderBy(F.col("predict").desc_nulls_last(), INSTRUMENT)), "_count": F.count("predict").over(w)})
+    ranked = ranked.repartition("signal", INSTRUMENT)
+    rows = _beside(ranked, grid.select("_plan", *PLAN), ["signal"], distinct=True)
+    k = F.greatest(F.lit(1), F.floor(F.col("_count") * F.col("top_k") + F.lit(0.5)).cast("int"))
+    share = F.least(F.lit(1.0) / k, F.col("max_position_weight")) * F.col("risk_degree")
+    rows = rows.withColumn("weight", F.when(F.col("predict").isNotNull() & (F.col("_n") <= k), share))
+    ever = Window.partitionBy("signal", INSTRUMENT, "_plan").orderBy(DATE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("_ever", F.max("weight").over(ever)).where("_ever IS NOT NULL")
+    return rows.select("signal", "_plan", "lot", DATE, INSTRUMENT, "close", "last", "flag", "next", "weight")
+
+
+def _swept(panel: DataFrame, grid: DataFrame, capital: float) -> DataFrame:
+    """Positions of every portfolio with its cost columns; the fold runs once for each plan, and costs meet its result."""
+    rows = sweep_plans(panel, grid)
+    lots = (F.floor(F.try_divide(F.coalesce("weight", F.lit(0.0)) * F.lit(float(capital)), F.col("close")) / F.col("lot")) * F.col("lot")).cast("long")
+    rows = rows.withColumn("target", F.when(F.col("close") > 0, lots).otherwise(F.lit(0).cast("long"))).drop("weight", "next", "lot")
+    held = _held(rows, ["signal", INSTRUMENT, "_plan"])
+    return _beside(held, parameter_grid(grid).select(PORTFOLIO, "signal", "_plan", *COST), ["signal", "_plan"])
+
+
+def _grid_costs() -> Costs:
+    return Costs(**{c: F.col(c) for c in COST})
+
+
+def sweep_positions(panel: DataFrame, grid: DataFrame, capital: float) -> DataFrame:
+    """positions of every row of a grid over the signals of a panel."""
+    return _swept(panel, grid, capital).select(*POSITION)
+
+
+def sweep_blotter(panel: DataFrame, grid: DataFrame, capital: float) -> DataFrame:
+    """blotter of every row of a grid, each with its own costs."""
+    return blotter(_swept(panel, grid, capital), _grid_costs())
+
+
+def sweep_book(panel: DataFrame, grid: DataFrame, capital: float) -> DataFrame:
+    """daily_book of every row of a grid, each with its own costs, from one scan of the panel."""
+    return daily_book(_swept(panel, grid, capital), capital, _grid_costs())
+
+
+def sweep_returns(panel: DataFrame, grid: DataFrame) -> DataFrame:
+    """weight_returns of every row of a grid; costs are proportional there and meet sums by date."""
+    daily = _weighed(sweep_plans(panel, grid), ["signal", "_plan"], ["signal", INSTRUMENT, "_plan"])
+    return _net(_beside(daily, parameter_grid(grid).select(PORTFOLIO, "signal", "_plan", *COST), ["signal", "_plan"]), _grid_costs())

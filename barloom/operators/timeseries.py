@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from barloom.functions.numeric import NAN, col, fdiv, nan_where_null, pair
+from barloom.operators.scans import decayed_means
 
 DATE, INSTRUMENT = "date", "instrument"
 #: Makes the median absolute deviation comparable with a standard deviation.
@@ -247,29 +246,17 @@ def ts_backfill(x) -> Column:
     return F.first(col(x), ignorenulls=True).over(along().rowsBetween(0, Window.unboundedFollowing))
 
 
-def ts_ewma(df: DataFrame, specs: Iterable[tuple[str, str, float]], then: Iterable[tuple[str, str, str, float]] = ()) -> DataFrame:
+def ts_ewma(df: DataFrame, specs: Iterable[tuple[str, str, float]], then: Iterable[tuple[str, str, str, float]] = (), spread: Column | None = None) -> DataFrame:
     """Adds exponentially weighted means (input, output, alpha); `then` adds those of differences (a, b, output, alpha) of outputs.
 
     The mean of a row weighs the value i rows back by (1 - alpha)**i and divides by the weights of the
-    values that are there; a null gives null and keeps its place. One pass over each instrument's rows.
+    values that are there; a null gives null and keeps its place, and after NaN all is NaN. Decayed sums of blocks
+    of rows compose (see barloom.operators.scans); `spread` deals the blocks of one instrument to many tasks.
     """
-    specs, then = list(specs), list(then)
-    names = df.columns
-    out = [s[1] for s in specs] + [t[2] for t in then]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(DATE, kind="stable")
-        add = {}
-        for source, name, alpha in specs:
-            add[name] = _ewm(rows[source], alpha)
-        for a, b, name, alpha in then:
-            add[name] = _ewm(add[a] - add[b], alpha)
-        return rows.assign(**add)[names + out]
-
-    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name in out]])
-    return df.groupBy(INSTRUMENT).applyInPandas(run, schema)
-
-
-def _ewm(x: pd.Series, alpha: float) -> pd.Series:
-    x = x.astype("float64")
-    return x.ewm(alpha=alpha, adjust=True, ignore_na=False).mean().where(x.notna())
+    out = decayed_means(df, specs, [INSTRUMENT], DATE, spread)
+    then = list(then)
+    if then:
+        out = out.withColumns({f"_gap_{i}": F.col(a) - F.col(b) for i, (a, b, _, _) in enumerate(then)})
+        out = decayed_means(out, [(f"_gap_{i}", name, alpha) for i, (_, _, name, alpha) in enumerate(then)], [INSTRUMENT], DATE, spread)
+        out = out.drop(*[f"_gap_{i}" for i in range(len(then))])
+    return out

@@ -55,6 +55,23 @@ def date_range(df: DataFrame, start: str | None = None, end: str | None = None)
     return df
 
 
+def with_history(df: DataFrame, start: str, end: str | None, rows: int) -> DataFrame:
+    """The bars from `start` to `end` and, of every instrument that has any, its last `rows` bars before `start`.
+
+    A first pass reads dates and instruments alone and finds where each instrument has to begin. The earliest
+    of these dates goes into the scan as a filter; the others sort out instruments with more bars than that.
+    """
+    inside = F.col(DATE) >= F.to_date(F.lit(start))
+    dates = date_range(df, None, end).select(INSTRUMENT, DATE)
+    # a rank from the latest row before start on; no more than `rows` of them are kept on either side of the shuffle
+    before = dates.where(~inside).withColumn("_n", F.row_number().over(Window.partitionBy(INSTRUMENT).orderBy(F.desc(DATE)))).where(F.col("_n") <= rows)
+    first = before.select(INSTRUMENT, DATE).unionByName(dates.where(inside)).groupBy(INSTRUMENT).agg(F.min(DATE).alias("_first"), F.max(DATE).alias("_last"))
+    first = first.where(F.col("_last") >= F.to_date(F.lit(start))).select(INSTRUMENT, "_first")
+    least = first.agg(F.min("_first")).first()[0]
+    own = date_range(df, None if least is None else str(least), end)
+    return own.join(first, INSTRUMENT).where(F.col(DATE) >= F.col("_first")).select(*df.columns)
+
+
 def universe(df: DataFrame, codes: str | Iterable[str] | DataFrame) -> DataFrame:
     """The bars of some instruments: a comma-separated string, a list, or a table with a column `instrument`."""
     if isinstance(codes, DataFrame):
