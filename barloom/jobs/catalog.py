@@ -450,12 +450,29 @@ SOURCES: dict[str, tuple[Query, str]] = {
     "synthetic_panel": (lambda s, d: research.synthetic_like(s, d), ""),
 }
 
+
+
+def _raw_factor_sql(name: str) -> str:
+    """A factor of the bars b0 in steps of research.STEP, NaN as null."""
+    own = FACTOR_SQL[name].replace(f"WITH {BARS_SQL}", "WITH bars AS (SELECT * FROM b0)", 1)
+    return own.replace(digits_sql("value", "v"), f"CASE WHEN NOT isnan(v) THEN round((v)::DOUBLE / {research.STEP!r}::DOUBLE) * {research.STEP!r}::DOUBLE END AS v")
+
+
+def _research_sql() -> str:
+    long = " UNION ALL ".join(f"SELECT '{n}' AS factor, date, instrument, v FROM ({_raw_factor_sql(n)})" for n in FACTOR_SQL)
+    ctes = f"""{BARS_SQL}, b0 AS MATERIALIZED (SELECT * FROM bars), lab AS (SELECT date, instrument, lead(close, 1) {W} / close - 1 AS label FROM b0),
+lf AS MATERIALIZED (SELECT x.*, label FROM ({long}) x JOIN lab ON lab.date = x.date AND lab.instrument = x.instrument),
+rk2 AS (SELECT *, {_rank_sql('v', 'factor, date')} AS rf, {_rank_sql('label', 'factor, date')} AS rl FROM lf),
+ics AS (SELECT factor, date, {_corr_sql('v', 'label')} AS ic, {_corr_sql('rf', 'rl')} AS rank_ic FROM rk2 GROUP BY factor, date)"""
+    return _summary_sql("ics", ctes, "factor")
+
+
 MODELS: dict[str, tuple[Query, str]] = {
     "fit_predict_trees": (research.trees, ""),
     "fit_predict_linear": (research.linear, ""),
     "feature_importances": (research.tree_importances, ""),
     "validation_ic": (research.valid_ic, ""),
-    "factor_research": (research.factor_research, ""),
+    "factor_research": (lambda s, d: _numbers(research.factor_research(s, d), "factor"), _research_sql()),
 }
 
 

@@ -28,13 +28,17 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("date", "instrument", "label", *[F.when(F.col(f"_s_{c}") > 0, F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}"))).alias(c) for c in FEATURES])
 
 
+#: Values that differ by less are ties: sums in another order do not change ranks.
+STEP = 1e-10
+
+
 def factor_research(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All factors of the library evaluated at once: one row for each. A z-score by date would change no correlation of a date, so none is taken."""
     names = factors.factor_names()
     p = bars(spark, sf_dir).withColumn("label", evaluate.forward_return(1))
     raw = factors.compute_factors(p, names, keep=["label"])
     # NaN becomes null before the cross-section, so that one undefined value does not spoil a date
-    raw = raw.select("date", "instrument", "label", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names])
+    raw = raw.select("date", "instrument", "label", *[F.when(~F.isnan(c), F.rint(F.col(c) / STEP) * STEP).alias(c) for c in names])
     return evaluate.evaluate_factors(raw, names)
 
 

@@ -98,9 +98,23 @@ def long_form(df: DataFrame, factors: Iterable[str], label: str = "label") -> Da
     return df.select(DATE, INSTRUMENT, label, *factors).unpivot([DATE, INSTRUMENT, label], factors, "factor", "value")
 
 
+def ic_matrix(df: DataFrame, factors: Iterable[str], label: str = "label") -> DataFrame:
+    """factor, date, ic and rank_ic of many factors, from one shuffle of the panel by date.
+
+    The panel stays wide up to and across the shuffle, and the label is ranked once. Behind it a row becomes one for each
+    factor, which are ranked and summed up where they are: a date is whole in its task, and so is each of its factors.
+    """
+    factors = list(factors)
+    own = _ranked(df.select(DATE, F.col(label).alias("_y"), *factors), [DATE], "_y")
+    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("x")) for f in factors]))
+    long = own.select(DATE, "_y", "_r__y", rows.alias("s")).select(DATE, "_y", "_r__y", "s.factor", F.col("s.x").alias("_x"))
+    ranked = _ranked(long, [DATE, "factor"], "_x")
+    return ranked.groupBy(DATE, "factor").agg(safe_corr(F.col("_x"), F.col("_y")).alias("ic"), safe_corr(F.col("_r__x"), F.col("_r__y")).alias("rank_ic"))
+
+
 def evaluate_factors(df: DataFrame, factors: Iterable[str], label: str = "label") -> DataFrame:
-    """ic_summary of every factor, from one shuffle by (factor, date)."""
-    return ic_summary(ic_frame(long_form(df, factors, label), "value", label, by=["factor"]), by=["factor"])
+    """ic_summary of every factor."""
+    return ic_summary(ic_matrix(df, factors, label), by=["factor"])
 
 
 def split_dates(df: DataFrame, train: float = 0.6, valid: float = 0.8) -> DataFrame:
