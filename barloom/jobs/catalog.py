@@ -167,6 +167,9 @@ CROSS: dict[str, tuple[Query, str]] = {
 for _m, _k in (("zscore", "cs_zscore"), ("robust_zscore", "cs_robust_zscore"), ("rank", "cs_rank"), ("scale", "cs_scale")):
     CROSS[f"standardize_{_m}"] = (CROSS[f"standardize_{_m}"][0], CROSS[_k][1])
 
+#: A year is one group here: a large one, whose ranks are put together from ranges of values.
+CROSS["cs_rank_large"] = (lambda s, d: value(cs.large_rank(labelled(s, d).withColumn("yr", F.year("date")), "m20", ["yr"]), F.col("rank_m20")), _cross_sql([{"yr": "year(date)"}, {"v": _rank_sql("m20", "yr")}]))
+
 ELEMENTS: dict[str, tuple[Query, str]] = {
     k: (_returned(f), _sql([*RET, {"v": q}]))
     for k, f, q in (
@@ -431,6 +434,7 @@ METRICS: dict[str, tuple[Query, str]] = {
     **{n: (_bench_keyed(lambda df, n=n: metrics.summary(df).select(K, n), K), _numbers_sql(MET_SQL, {n: CALMAR if n == "calmar" else n}, "mm", K)) for n in ("annualized_return", "annualized_volatility", "sharpe", "sortino", "max_drawdown", "information_ratio", "calmar", "win_rate", "beta", "alpha")},
     "value_at_risk": (lambda s, d: _numbers(metrics.value_at_risk(_returns_of(s, d), 0.95), K), _numbers_sql(RISK, {"var": "-cut"}, "v95", K)),
     "expected_shortfall": (lambda s, d: _numbers(metrics.expected_shortfall(_returns_of(s, d), 0.95), K), _numbers_sql(f"{RISK}, es AS (SELECT rr.{K}, -avg(ret) AS c FROM rr JOIN v95 ON v95.{K} = rr.{K} WHERE ret <= cut GROUP BY rr.{K})", {"cvar": "c"}, "es", K)),
+    "value_at_risk_large": (lambda s, d: _numbers(metrics.value_at_risk(_returns_of(s, d).withColumn("yr", F.year("date")), 0.95, ["yr"], large=True), "yr"), _numbers_sql(f"{RR}, ya AS (SELECT year(date) AS yr, ret, row_number() OVER (PARTITION BY year(date) ORDER BY ret) - 1 AS k, ceil((count(*) OVER (PARTITION BY year(date)) - 1)::DOUBLE * (1.0::DOUBLE - 0.95::DOUBLE)) AS place FROM rr), y95 AS (SELECT yr, ret AS cut FROM ya WHERE k = place)", {"var": "-cut"}, "y95", "yr")),
     "longest_drawdown_days": (lambda s, d: metrics.longest_drawdown_days(nav(s, d)), f"WITH {NAV_SQL}, {DD_SQL} SELECT {K}, max_drawdown_days::BIGINT AS max_drawdown_days FROM dg"),
     "rolling_value_at_risk": (lambda s, d: _numbers(metrics.rolling_value_at_risk(_returns_of(s, d)).select(K, "date", "rolling_var"), K, "date"), _numbers_sql(f"{RR}, rl AS (SELECT {K}, date, list(ret) OVER (PARTITION BY {K} ORDER BY date ROWS 59 PRECEDING) AS l FROM rr)", {"rolling_var": "CASE WHEN len(l) = 60 THEN -list_sort(l)[4] ELSE 'nan'::DOUBLE END"}, "rl", f"{K}, date")),
     "risk_metrics": (lambda s, d: _numbers(metrics.risk_metrics(nav(s, d)), K), _numbers_sql(f"{RISK}, {DD_SQL}", {"max_drawdown_days": "max_drawdown_days::DOUBLE", "var_95": f"(SELECT -cut FROM v95 WHERE v95.{K} = dg.{K})", "cvar_95": CV["cvar_95"], "var_99": f"(SELECT -cut FROM v99 WHERE v99.{K} = dg.{K})", "cvar_99": CV["cvar_99"]}, "dg", K)),
@@ -438,6 +442,27 @@ METRICS: dict[str, tuple[Query, str]] = {
     "return_histogram": (lambda s, d: metrics.return_histogram(_returns_of(s, d)), f"WITH {HIST} SELECT {K}, bin, count(*) AS n FROM hb GROUP BY {K}, bin"),
 }
 
+
+
+def _units_sql(key: str, n: int) -> str:
+    return ", ".join(f"(('0x' || substr(md5({key} || '|{i // 4}'), {8 * (i % 4) + 1}, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE AS u{i}" for i in range(n))
+
+
+def _synthetic_sql() -> str:
+    normal = lambda a, b: f"sqrt(-2 * ln(u{a})) * cos(2 * pi() * u{b})"
+    p = "OVER (PARTITION BY instrument ORDER BY date)"
+    return f"""WITH {BARS_SQL}, pf AS (SELECT count(DISTINCT instrument) AS k, min(date) AS lo, max(date) AS hi FROM bars),
+c0 AS (SELECT lpad(unnest(range(1, k + 1))::VARCHAR, 6, '0') AS instrument FROM pf), c1 AS (SELECT instrument, {_units_sql("'42|' || instrument", 3)} FROM c0),
+c2 AS (SELECT instrument, {normal(0, 1)} * 0.004::DOUBLE AS drift, u2 * 0.015::DOUBLE + 0.015::DOUBLE AS vol FROM c1),
+days AS (SELECT unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date FROM pf),
+d0 AS (SELECT *, {_units_sql("'42|' || instrument || '|' || date::VARCHAR", 8)} FROM c2, (SELECT date FROM days WHERE isodow(date) < 6)),
+d1 AS (SELECT date, instrument, drift / 10 + vol * {normal(0, 1)} AS r, {normal(2, 3)} AS n1, {normal(4, 5)} AS n2, {normal(6, 7)} AS n3 FROM d0),
+d2 AS (SELECT *, 100 * exp(sum(r) {p[:-1]} ROWS UNBOUNDED PRECEDING)) AS close FROM d1),
+d3 AS (SELECT *, coalesce(lag(close) {p}, 100) * (1 + n1 * 0.002::DOUBLE) AS open, greatest(1e5::DOUBLE, 1e7::DOUBLE * (1 + 20 * abs(r) + n2 * 0.1::DOUBLE)) AS volume FROM d2),
+d4 AS (SELECT date, instrument, open, greatest(open, close) * (1 + abs(n2) * 0.003::DOUBLE) AS high, least(open, close) * (1 - abs(n3) * 0.003::DOUBLE) AS low, close, volume, close * volume AS amount, least(greatest(volume / 2e9::DOUBLE * 100, 0.05::DOUBLE), 15.0::DOUBLE) AS turnover_rate FROM d3)
+SELECT date, instrument, {", ".join(digits_sql(n, n) for n in panel.NUMBERS)} FROM d4"""
+
+
 SOURCES: dict[str, tuple[Query, str]] = {
     "build_bars": (lambda s, d: _numbers(bars(s, d), "date", "instrument"), _numbers_sql(BARS_SQL, {n: n for n in panel.NUMBERS}, "bars", "date, instrument")),
     "validate_panel": (lambda s, d: _numbers(panel.validate_panel(bars(s, d)).select("date", "instrument", "close"), "date", "instrument"), _numbers_sql(BARS_SQL, {"close": "close"}, "bars", "date, instrument")),
@@ -447,7 +472,7 @@ SOURCES: dict[str, tuple[Query, str]] = {
     "universe": (lambda s, d: _numbers(panel.universe(bars(s, d), bars(s, d).groupBy("instrument").agg(F.sum("amount").alias("a")).where("a > 13000000").select("instrument")).select("date", "instrument", "close"), "date", "instrument"), _numbers_sql(BARS_SQL, {"close": "close"}, "bars", "date, instrument", "WHERE instrument IN (SELECT instrument FROM bars GROUP BY instrument HAVING sum(amount) > 13000000)")),
     "panel_round_trip": (lambda s, d: _numbers(research.round_trip(s, d).select("date", "instrument", "close"), "date", "instrument"), _numbers_sql(BARS_SQL, {"close": "close"}, "bars", "date, instrument")),
     "research_runs": (lambda s, d: _numbers(research.two_runs(s, d), "run_id", "table_name", "entity", "date", "measure"), _runs_sql()),
-    "synthetic_panel": (lambda s, d: research.synthetic_like(s, d), ""),
+    "synthetic_panel": (lambda s, d: _numbers(research.synthetic_like(s, d), "date", "instrument"), _synthetic_sql()),
 }
 
 

@@ -166,5 +166,4 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synthetic_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A synthetic panel over the dates and with as many instruments as the bars of the tables."""
     row = panel.profile(bars(spark, sf_dir)).first()
-    made = panel.synthetic_panel(spark, str(row["first_date"]), str(row["last_date"]), row["n_instruments"])
-    return panel.profile(made)
+    return panel.synthetic_panel(spark, str(row["first_date"]), str(row["last_date"]), row["n_instruments"])

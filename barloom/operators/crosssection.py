@@ -131,3 +131,34 @@ def standardize(df: DataFrame, columns: Iterable[str], method: str = "zscore", k
         df = df.select(DATE, INSTRUMENT, *keep, *columns, *[cs_mean(c).alias(f"_m_{c}") for c in columns], *[cs_std(c).alias(f"_s_{c}") for c in columns])
         return df.select(DATE, INSTRUMENT, *keep, *[fdiv(F.col(c) - F.col(f"_m_{c}"), f"_s_{c}").alias(c) for c in columns])
     return df.select(DATE, INSTRUMENT, *keep, *[METHODS[method](c).alias(c) for c in columns])
+
+
+#: Ranges that the values of a large group are cut into.
+RANGES = 64
+
+
+def large_rank(df: DataFrame, column: str, by: Iterable[str] = (DATE,), ranges: int = RANGES) -> DataFrame:
+    """Adds rank_<column>: what cs_rank gives, for groups too large to be sorted in one task.
+
+    Approximate quantiles of a group cut it into ranges of values, which are tasks of their own; a rank is the number of
+    values in the ranges before plus the rank within the range. Equal values share a range, so ties are
+    exact, and the quantiles decide on balance alone. Groups are joined with their bounds, counts of `ranges` rows at most.
+    """
+    by = list(by)
+    x = F.when(~F.isnan(column), F.col(column)).cast("double")
+    cuts = F.percentile_approx(x, [i / ranges for i in range(1, ranges)], 20 * ranges)
+    cuts = F.array_distinct(F.coalesce(cuts, F.array().cast("array<double>"))).alias("_cuts")
+    groups = df.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(by)]).agg(F.count(F.lit(1)).alias("_size"), cuts)
+    rows = df.join(groups, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(by)])
+    # NaN is greater than any number; nulls have no rank and no range
+    at = F.when(F.isnan(column), F.lit(ranges)).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(column).cast("double"))))
+    rows = rows.select(*df.columns, "_size", F.when(F.col(column).isNotNull(), at).otherwise(-1 - F.pmod(F.xxhash64(*df.columns), F.lit(ranges))).alias("_range"))
+    counts = rows.where("_range >= 0").groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_range").alias("_of"), before.alias("_before"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)] + [F.col("_range") == F.col("_of")]
+    rows = rows.join(counts, on, "left")
+    w = Window.partitionBy(*by, "_range").orderBy(column)
+    inside = (F.rank().over(w) + F.count(column).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / F.lit(2.0)
+    rank = F.when(F.col(column).isNotNull(), (F.col("_before") + inside) / F.col("_size"))
+    return rows.withColumn(f"rank_{column}", rank).select(*df.columns, f"rank_{column}")

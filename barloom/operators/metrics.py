@@ -114,14 +114,43 @@ def _cut(returns: DataFrame, keys: list[str], conf: float, r: str) -> DataFrame:
     return rows.where("_at = _place").select(*keys, F.col(r).alias("_cut"))
 
 
-def value_at_risk(returns: DataFrame, conf: float = 0.95, keys: Iterable[str] = KEYS, r: str = "ret") -> DataFrame:
-    return _cut(returns, list(keys), conf, r).select(*keys, (-F.col("_cut")).alias("var"))
+def _large_cut(returns: DataFrame, keys: list[str], conf: float, r: str) -> DataFrame:
+    """As _cut, for keys with more returns than one task can sort.
+
+    Approximate quantiles close on either side of the wanted place cut the values of a key into three; counts tell in
+    which part the place is, and the rows of that part alone are ordered. The counts are exact, so the place is.
+    """
+    rows = returns.where(F.col(r).isNotNull() & ~F.isnan(r)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(r).cast("double").alias("_x"))
+    own = [f"_k{i}" for i in range(len(keys))]
+    near = [max(0.0, 1.0 - conf - NEAR), min(1.0, 1.0 - conf + NEAR)]
+    groups = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", near, int(4 / NEAR)).alias("_q"))
+    groups = groups.select(*[F.col(k).alias(f"_g{k}") for k in own], F.ceil((F.col("_n") - 1).cast("double") * F.lit(1.0 - conf)).alias("_place"), F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
+    same = [F.col(k).eqNullSafe(F.col(f"_g{k}")) for k in own]
+    part = F.when(F.col("_x") < F.col("_lo"), 0).when(F.col("_x") <= F.col("_hi"), 1).otherwise(2)
+    parted = rows.join(groups, same).select(*own, "_x", "_place", part.alias("_part"))
+    counts = parted.groupBy(*own, "_part", "_place").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*own).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = counts.withColumn("_end", upto).where((F.col("_place") < F.col("_end")) & (F.col("_place") >= F.col("_end") - F.col("_n")))
+    chosen = chosen.select(*[F.col(k).alias(f"_c{k}") for k in own], F.col("_part").alias("_of"), (F.col("_place") - F.col("_end") + F.col("_n")).alias("_inside"))
+    left = parted.join(chosen, [F.col(k).eqNullSafe(F.col(f"_c{k}")) for k in own] + [F.col("_part") == F.col("_of")])
+    at = F.row_number().over(Window.partitionBy(*own).orderBy("_x")) - 1
+    return left.withColumn("_at", at).where("_at = _inside").select(*[F.col(k).alias(n) for k, n in zip(own, keys)], F.col("_x").alias("_cut"))
+
+
+#: How far, in shares of the rows, the bounds of _large_cut lie from the wanted place.
+NEAR = 0.002
+
+
+def value_at_risk(returns: DataFrame, conf: float = 0.95, keys: Iterable[str] = KEYS, r: str = "ret", large: bool = False) -> DataFrame:
+    """The loss at the place of the sorted returns; `large` for keys that no single task should sort, with the same result."""
+    keys = list(keys)
+    return (_large_cut if large else _cut)(returns, keys, conf, r).select(*keys, (-F.col("_cut")).alias("var"))
 
 
-def expected_shortfall(returns: DataFrame, conf: float = 0.95, keys: Iterable[str] = KEYS, r: str = "ret") -> DataFrame:
+def expected_shortfall(returns: DataFrame, conf: float = 0.95, keys: Iterable[str] = KEYS, r: str = "ret", large: bool = False) -> DataFrame:
     """Mean loss at or beyond the value at risk."""
     keys = list(keys)
-    rows = returns.where(F.col(r).isNotNull() & ~F.isnan(r)).join(_cut(returns, keys, conf, r), keys)
+    rows = returns.where(F.col(r).isNotNull() & ~F.isnan(r)).join((_large_cut if large else _cut)(returns, keys, conf, r), keys)
     return rows.where(F.col(r) <= F.col("_cut")).groupBy(*keys).agg((-F.avg(r)).alias("cvar"))
 
 

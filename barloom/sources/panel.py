@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,18 +97,29 @@ def profile(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(INSTRUMENT).alias("n_instruments"), F.min(DATE).alias("first_date"), F.max(DATE).alias("last_date"))
 
 
+def hashed_units(key: Column, n: int) -> list[Column]:
+    """n numbers between 0 and 1 from a text: each is 32 bits of an md5 of the text and a count, whatever the partitions."""
+    digests = [F.md5(F.concat_ws("|", key, F.lit(str(i)))) for i in range(-(-n // 4))]
+    return [(F.conv(F.substring(digests[i // 4], 8 * (i % 4) + 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32) for i in range(n)]
+
+
+def _normal(a: str, b: str) -> Column:
+    return F.sqrt(-2 * F.ln(a)) * F.cos(2 * F.lit(math.pi) * F.col(b))
+
+
 def synthetic_panel(spark: SparkSession, start: str, end: str, instruments: int, seed: int = 42) -> DataFrame:
-    """Weekday bars of a random walk for each code: drift and volatility by code, opens near the last close."""
-    codes = spark.range(instruments).select(
-        F.lpad((F.col("id") + 1).cast("string"), 6, "0").alias(INSTRUMENT),
-        (F.randn(seed) * 0.004).alias("_drift"), (F.rand(seed + 1) * 0.015 + 0.015).alias("_vol"),
-    )
+    """Weekday bars of a random walk for each code: drift and volatility by code, opens near the last close.
+
+    All noise is a hash of seed, code and date, so the panel is the same on any cluster, in every run and retry.
+    """
+    code = F.lpad((F.col("id") + 1).cast("string"), 6, "0")
+    units = lambda key, n: {f"_u{i}": u for i, u in enumerate(hashed_units(key, n))}
+    codes = spark.range(instruments).select(code.alias(INSTRUMENT)).withColumns(units(F.concat_ws("|", F.lit(str(seed)), INSTRUMENT), 3))
+    codes = codes.select(INSTRUMENT, (_normal("_u0", "_u1") * 0.004).alias("_drift"), (F.col("_u2") * 0.015 + 0.015).alias("_vol"))
     days = F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)), F.expr("INTERVAL 1 DAY")))
     df = codes.select("*", days.alias(DATE)).where(F.weekday(DATE) < 5)
-    # noise by a hash of the key: the same in every run and retry
-    unit = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), INSTRUMENT, DATE), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    normal = lambda k: F.sqrt(-2 * F.ln(unit(k))) * F.cos(2 * 3.141592653589793 * unit(k + 100))
-    df = df.select("*", (F.col("_drift") / 10 + F.col("_vol") * normal(1)).alias("_r"), normal(2).alias("_n1"), normal(3).alias("_n2"), normal(4).alias("_n3"))
+    df = df.withColumns(units(F.concat_ws("|", F.lit(str(seed)), INSTRUMENT, F.col(DATE).cast("string")), 8))
+    df = df.select(INSTRUMENT, DATE, (F.col("_drift") / 10 + F.col("_vol") * _normal("_u0", "_u1")).alias("_r"), *[_normal(f"_u{2 * i}", f"_u{2 * i + 1}").alias(f"_n{i}") for i in (1, 2, 3)])
     w = Window.partitionBy(INSTRUMENT).orderBy(DATE)
     df = df.withColumn("close", F.lit(100.0) * F.exp(F.sum("_r").over(w.rowsBetween(Window.unboundedPreceding, 0))))
     df = df.withColumn("open", F.coalesce(F.lag("close").over(w), F.lit(100.0)) * (1 + F.col("_n1") * 0.002))
