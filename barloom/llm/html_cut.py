@@ -57,9 +57,19 @@ BAD_NAME = frozenset(
     "cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations "
     "comment comments commentlist reply replies respond disqus discussion login search form copyright toolbar pagination pager skip masthead topbar alert notification paywall".split()
 )
+#: Of these, the names of what readers write: however much of it there is, it is not the page's own text.
+READERS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+#: A class such as with-sidebar or share-enabled says what is there or set, not what the element is.
+_STATE = re.compile(r"(?:^|\s)(?:with|without|has|have|no|not|is|hide|show)[-_]\S+|\S+[-_](?:enabled|disabled|on|off|open|opened|closed|visible|hidden|active|inactive|collapsed|expanded|left|right)(?=\s|$)")
+#: Headings that readers' comments begin with, in pages that do not name their container.
+_READERS_HEAD = re.compile(r"(?:\d+\s+)?(?:(?:reader|user|visitor)s?\s+)?(?:comments?|responses?|replies|reactions?)(?:\s*[:(]?\s*\d*\s*\)?)?|(?:leave|post|add|write)\s+(?:a|your)\s+(?:comment|reply|response)", re.I)
 GOOD_NAME = frozenset("article content post entry story main body articlebody text".split())
 
 
+#: A container is taken for the page itself if it holds more than so many times the words that nothing speaks against.
+FEW = 20
+
+
 @dataclass(frozen=True)
 class Weights:
     """The classifier's weights and the capacities of the smoothness edges."""
@@ -83,12 +93,13 @@ class Weights:
 
 @dataclass
 class Node:
-    """An open or closed element that holds blocks."""
+    """An open or closed element that holds blocks. `score` is what it adds to its blocks, `doubt` what it adds unless it holds most of the page."""
 
     tag: str
     up: int
     score: float
     inner: bool
+    doubt: float = 0.0
     blocks: list[int] = field(default_factory=list)
 
 
@@ -98,7 +109,7 @@ def _names(attrs: str) -> tuple[frozenset[str], bool]:
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id", "role", "itemprop", "aria-label"):
-            words.update(_WORDS.findall(value))
+            words.update(_WORDS.findall(_STATE.sub(" ", value) if key in ("class", "id") else value))
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
     return frozenset(words), hidden
@@ -110,6 +121,7 @@ def blocks_of(page: str, w: Weights) -> tuple[list[str], list[float], list[int],
     texts: list[str] = []
     scores: list[float] = []
     owner: list[int] = []
+    prose: list[int] = []
     parts: list[str] = []
     linked, in_link = 0, 0
     out = 0  # where the outermost dropped element is on the stack
@@ -129,13 +141,14 @@ def blocks_of(page: str, w: Weights) -> tuple[list[str], list[float], list[int],
             if body:
                 node = nodes[stack[-1]]
                 n = body.count(" ") + 1
-                score = w.bias + node.score + min(w.words_most, w.words * n) + w.links * min(1.0, linked / len(body))
+                score = w.bias + min(w.words_most, w.words * n) + w.links * min(1.0, linked / len(body))
                 score += w.paragraph if node.tag == "p" else w.heading if re.fullmatch("h[1-6]", node.tag) else 0.0
                 score += w.sentence if body[-1] in ".!?…。”\"" else 0.0
                 node.blocks.append(len(texts))
                 texts.append(body)
                 scores.append(score)
                 owner.append(stack[-1])
+                prose.append(n if 2 * linked < len(body) else 0)
             parts.clear()
             linked = 0
 
@@ -206,8 +219,10 @@ def blocks_of(page: str, w: Weights) -> tuple[list[str], list[float], list[int],
         if tag in CLOSES:
             close(CLOSES[tag], frozenset(("ul", "ol", "table", "dl", "div", "section", "article")))
         up = nodes[stack[-1]]
-        score, inner = up.score, up.inner or tag in INNER
-        if tag in OUTER:
+        score, doubt, inner = 0.0, 0.0, up.inner or tag in INNER
+        if tag == "form":
+            doubt += w.outer
+        elif tag in OUTER:
             score += w.outer
         elif tag == "header" and not up.inner:
             score += w.header
@@ -216,22 +231,63 @@ def blocks_of(page: str, w: Weights) -> tuple[list[str], list[float], list[int],
         if m[4].strip():
             names, hidden = _names(m[4])
             if names & BAD_NAME and tag not in INNER:
-                score += w.bad_name
+                if names & READERS:
+                    score += w.bad_name
+                else:
+                    doubt += w.bad_name
             elif names & GOOD_NAME and not up.inner:
                 score += w.good_name
             if "main" in names and "role" in m[4]:
                 inner = True
             if hidden:
                 score += w.hidden
-        nodes.append(Node(tag, stack[-1], score, inner))
+        nodes.append(Node(tag, stack[-1], score, inner, doubt))
         stack.append(len(nodes) - 1)
     text(page[at:])
     if out:
         del stack[out:]
     flush()
+    _inherit(texts, scores, owner, prose, nodes, w)
     return texts, scores, owner, nodes
 
 
+def _inherit(texts: list[str], scores: list[float], owner: list[int], prose: list[int], nodes: list[Node], w: Weights) -> None:
+    """Adds to each block what its containers say of it.
+
+    A name or a form speaks against what it holds, unless it holds most of the page's unlinked words and next to none
+    are left that nothing speaks against: then it wraps the page, and would leave none of it. Blocks from a
+    heading of readers' comments on, up to the end of its container, are theirs.
+    """
+    sure, plain = [0.0] * len(nodes), [True] * len(nodes)
+    for k in range(1, len(nodes)):
+        sure[k] = sure[nodes[k].up] + nodes[k].score
+        plain[k] = plain[nodes[k].up] and not nodes[k].doubt
+    held, clean = [0] * len(nodes), 0
+    for k, n in zip(owner, prose):
+        if sure[k] > min(w.outer, w.bad_name) / 2:
+            held[k] += n
+            clean += n * plain[k]
+    for k in range(len(nodes) - 1, 0, -1):
+        held[nodes[k].up] += held[k]
+    total = [0.0] * len(nodes)
+    for k in range(1, len(nodes)):
+        wraps = 2 * held[k] > held[0] and FEW * clean < held[k]
+        total[k] = total[nodes[k].up] + nodes[k].score + (0.0 if wraps else nodes[k].doubt)
+    ends: list[int] = []
+    for i, k in enumerate(owner):
+        scores[i] += total[k]
+        if ends:
+            above = k
+            while above not in ends and above > 0:
+                above = nodes[above].up
+            if above in ends:
+                scores[i] += w.bad_name
+                continue
+        if re.fullmatch("h[1-6]", nodes[k].tag) and _READERS_HEAD.fullmatch(texts[i]):
+            scores[i] += w.bad_name
+            ends.append(nodes[k].up)
+
+
 def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True for the nodes on the source's side of a minimum cut; a tie goes to the source's side."""
     n = len(scores)

@@ -29,6 +29,34 @@ def test_templates():
         assert html_cut.main_text(page) == WANT, page
 
 
+def test_a_name_or_form_does_not_take_the_page():
+    """Classes that tell a state, a form around the page, a wrapper of an unlucky name."""
+    side = "<div class='sidebar'><p>Read this other thing, it is good for you.</p></div>"
+    for page in (
+        f"<body><nav><a>Home</a></nav><div class='content with-sidebar'>{ARTICLE}</div>{side}",
+        f"<div id='page' class='no-sidebar'>{ARTICLE}</div>",
+        f"<article><div class='post-body share-enabled'>{ARTICLE}</div></article>",
+        f"<form id='aspnetForm'><div class='menu'><a>Home</a></div><div>{ARTICLE}</div>{side}<div class='footer'>All rights reserved by us.</div></form>",
+        f"<div class='wrapper share'><div class='menu'><a>x</a></div>{ARTICLE}</div>",
+    ):
+        assert html_cut.main_text(page) == WANT, page
+
+
+def test_a_short_article_stays_beside_much_else():
+    short = "<article><h1>Short one</h1><p>It is only this long.</p></article>"
+    for other in ("<div class='sidebar'>", "<form>", "<div class='related'>", "<div class='comments'>"):
+        much = "".join(f"<p>Paragraph {i} of something else, which goes on for long.</p>" for i in range(5))
+        assert html_cut.main_text(f"{short}{other}{much}</{other[1:5].split(' ')[0].strip('>')}>") == "Short one It is only this long.", other
+
+
+def test_comments_without_a_name_go_from_their_heading_on():
+    said = "<div><p>I liked this very much, thank you for it all, it was great fun.</p></div>"
+    for head in ("3 responses", "Comments", "Reader comments (12)", "Leave a reply"):
+        assert html_cut.main_text(f"<main>{ARTICLE}<h3>{head}</h3>{said}</main>") == WANT, head
+    about = f"<main>{ARTICLE}<h3>Comments on the bill</h3><p>They said that it was good, and it was.</p></main>"
+    assert html_cut.main_text(about).endswith("Comments on the bill They said that it was good, and it was.")
+
+
 def test_dropped_elements_end_where_they_end():
     for page in (
         f"<header><svg class='i'/></header><article>{ARTICLE}</article>",
