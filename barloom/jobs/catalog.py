@@ -11,8 +11,9 @@ from barloom.jobs import research
 from barloom.jobs.tables import BARS_SQL, CAPITAL, LABELLED_SQL, NAV_SQL, SWEEP_WEIGHTS_SQL, WEIGHTS_SQL, bars, digits, digits_sql, labelled, nav, value, weights
 from barloom.operators import crosssection as cs
 from barloom.operators import elementwise as el
-from barloom.operators import evaluate, factors, metrics, portfolio
+from barloom.operators import evaluate, factors, metrics, ordered, portfolio
 from barloom.operators import timeseries as ts
+from barloom.operators.ordered import Order
 from barloom.sources import panel
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +120,18 @@ ROLLING: dict[str, tuple[Query, str]] = {
     "ts_ffill": (lambda s, d: value(bars(s, d).withColumn("h", F.when(F.col("volume") > 20, F.col("close"))), ts.ts_ffill("h")), _sql([{"h": "CASE WHEN volume > 20 THEN close END"}, {"v": "last_value(h IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY date ROWS UNBOUNDED PRECEDING)"}])),
     "ts_backfill": (lambda s, d: value(bars(s, d).withColumn("h", F.when(F.col("volume") > 20, F.col("close"))), ts.ts_backfill("h")), _sql([{"h": "CASE WHEN volume > 20 THEN close END"}, {"v": "first_value(h IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"}])),
 }
+#: A year's window: each row costs as in a short one.
+LONG = 250
+ORDERS = {
+    "median": (Order("median", "close", "median", LONG), "median(close)"), "up": (Order("quantile", "close", "up", LONG, 0.75), f"list_sort(l)[{round((LONG - 1) * 0.75) + 1}]"),
+    "down": (Order("quantile", "close", "down", LONG, 0.25), f"list_sort(l)[{round((LONG - 1) * 0.25) + 1}]"), "rank": (Order("rank", "close", "rank", LONG), f"len(list_filter(l, lambda e: e <= close)) / {LONG}.0::DOUBLE"),
+    "most": (Order("argmax", "close", "most", LONG), "list_position(l, list_max(l)) - 1"), "least": (Order("argmin", "close", "least", LONG), "list_position(l, list_min(l)) - 1"),
+}
+_ORDER_COLUMNS = ", ".join(f"CASE WHEN k = {LONG} THEN ({'list_median(l)' if n == 'median' else q})::DOUBLE END AS {n}" for n, (_, q) in ORDERS.items())
+ROLLING["rolling_order"] = (
+    lambda s, d: _numbers(ordered.rolling_order(bars(s, d).select("date", "instrument", "close"), [o for o, _ in ORDERS.values()]).drop("close"), "date", "instrument"),
+    f"WITH {BARS_SQL}, s0 AS (SELECT *, list(close) {_w(LONG)} AS l, count(close) {_w(LONG)} AS k FROM bars), z AS (SELECT date, instrument, {_ORDER_COLUMNS} FROM s0) SELECT date, instrument, {', '.join(digits_sql(n, n) for n in ORDERS)} FROM z",
+)
 
 WD = "OVER (PARTITION BY date)"
 #: m20 has nulls in its first rows, which ranks and pairs must treat rightly.
