@@ -18,10 +18,12 @@ def col(x: str | Column) -> Column:
 
 
 def fdiv(a: str | Column, b: str | Column) -> Column:
-    """a / b by IEEE rules: 0/0 is NaN, x/0 an infinity, null if either is null."""
+    """a / b by IEEE rules: 0/0 is NaN, x/0 an infinity, null if either is null.
+
+    Each side is named twice, no more: a window function among them is computed as often as it is named.
+    """
     a, b = col(a).cast("double"), col(b).cast("double")
-    over_zero = F.when(F.isnan(a) | (a == 0), F.lit(NAN)).otherwise(F.signum(a) * F.lit(INF))
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(b == 0, over_zero).otherwise(F.try_divide(a, b))
+    return F.coalesce(F.try_divide(a, b), a * F.when(b == 0, F.lit(INF)))
 
 
 def ieee_log(x: str | Column) -> Column:

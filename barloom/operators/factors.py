@@ -90,8 +90,8 @@ _REGISTRY: dict[str, Factor] = {
     "volatility_20": Factor(lambda: F.col("_vol"), {"_ret1": _RET1}, {"_vol": Step(ts.ts_std, "_ret1", n=20)}),
     "volume_ratio_20": Factor(lambda: fdiv("_v20", "_v60"), {}, {"_v20": Step(ts.ts_mean, "volume", n=20), "_v60": Step(ts.ts_mean, "volume", n=60)}),
     "turnover_20": Factor(lambda: F.col("_turn"), {}, {"_turn": Step(ts.ts_mean, "turnover_rate", n=20)}),
-    "corr_cv_20": Factor(lambda: F.col("_ccv"), {"_logv": Step(ieee_log, "volume")}, {"_ccv": Step(ts.ts_corr, "close", "_logv", n=20)}),
-    "beta_oc_20": Factor(lambda: F.col("_boc"), {}, {"_boc": Step(ts.ts_beta, "open", "close", n=20)}),
+    "corr_cv_20": Factor(lambda: fdiv("_cov_cv", F.col("_std_c") * F.col("_std_v")), {"_logv": Step(ieee_log, "volume")}, {"_cov_cv": Step(ts.ts_cov, "close", "_logv", n=20), "_std_c": Step(ts.ts_std, "close", n=20), "_std_v": Step(ts.ts_std, "_logv", n=20)}),
+    "beta_oc_20": Factor(lambda: fdiv("_cov_oc", "_var_o"), {}, {"_cov_oc": Step(ts.ts_cov, "open", "close", n=20), "_var_o": Step(ts.ts_variance, "open", n=20)}),
     "rsi_14": Factor(lambda: F.lit(100.0) - fdiv(F.lit(100.0), F.lit(1.0) + fdiv("_gain", "_loss")), {"_up": _UP, "_down": _DOWN}, ewm=(("_up", "_gain", 1 / 14), ("_down", "_loss", 1 / 14))),
     "macd": Factor(lambda: F.lit(2.0) * ((F.col("_fast") - F.col("_slow")) - F.col("_dea")), ewm=(("close", "_fast", 2 / 13), ("close", "_slow", 2 / 27)), ewm_then=(("_fast", "_slow", "_dea", 2 / 10),)),
     "rsv_20": Factor(lambda: fdiv(F.col("close") - F.col("_low20"), F.col("_high20") - F.col("_low20")), {}, {"_low20": Step(ts.ts_min, "low", n=20), "_high20": Step(ts.ts_max, "high", n=20)}),
