@@ -505,11 +505,30 @@ ics AS (SELECT factor, date, {_corr_sql('v', 'label')} AS ic, {_corr_sql('rf', '
     return _summary_sql("ics", ctes, "factor")
 
 
+def _linear_sql() -> str:
+    """Coefficients b0 (of 1), b1, ... of the rows of train by elimination, and p: the predictions of all rows."""
+    names, k = research.FEATURES, len(research.FEATURES)
+    x = ["1", *names]
+    scaled = ", ".join(f"coalesce(CASE WHEN stddev_samp({n}) {WD} > 0 THEN ({n} - avg({n}) {WD}) / stddev_samp({n}) {WD} END, 0)::DOUBLE AS {n}" for n in names)
+    sums = ", ".join(f"sum({a} * {b})::DOUBLE AS m_{i}_{j}" for i, a in enumerate(x) for j, b in enumerate([*x, "label"]))
+    out = f"""{BARS_SQL}, f0 AS (SELECT date, instrument, lead(close) {W} / close - 1 AS label, ({D}) / lag(close) {W} AS r, {RUN_FACTORS['momentum_20']} AS momentum_20, {RUN_FACTORS['reversal_5']} AS reversal_5, close / open - 1 AS kbar_kmid FROM bars),
+f1 AS (SELECT *, {_agg('stddev_samp({})', 'r', 20)} AS volatility_20 FROM f0),
+d AS (SELECT date, row_number() OVER (ORDER BY date) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM f1)),
+cut AS (SELECT max(CASE WHEN k = floor(n * 0.6::DOUBLE) + 1 THEN date END) AS train_end, max(CASE WHEN k = floor(n * 0.8::DOUBLE) + 1 THEN date END) AS valid_end FROM d),
+sc AS MATERIALIZED (SELECT date, instrument, label, {scaled}, CASE WHEN date <= train_end THEN 'train' WHEN date <= valid_end THEN 'valid' ELSE 'test' END AS split FROM f1, cut),
+e0 AS (SELECT {sums} FROM sc WHERE split = 'train' AND label IS NOT NULL)"""
+    for p in range(k + 1):
+        cells = ", ".join(f"m_{i}_{j}" if i == p else f"m_{i}_{j} - m_{i}_{p} * m_{p}_{j} / m_{p}_{p} AS m_{i}_{j}" for i in range(k + 1) for j in range(k + 2))
+        out += f",\ne{p + 1} AS (SELECT {cells} FROM e{p})"
+    value = " + ".join(f"m_{i}_{k + 1} / m_{i}_{i} * {a}" for i, a in enumerate(x))
+    return out + f",\np AS (SELECT date, instrument, label, split, {value} AS predict FROM sc, e{k + 1} WHERE label IS NOT NULL)"
+
+
 MODELS: dict[str, tuple[Query, str]] = {
     "fit_predict_trees": (research.trees, ""),
-    "fit_predict_linear": (research.linear, ""),
+    "fit_predict_linear": (lambda s, d: _numbers(research.linear(s, d), "date", "instrument"), _numbers_sql(_linear_sql(), {"predict": "predict"}, "p", "date, instrument", "WHERE split = 'test'")),
     "feature_importances": (research.tree_importances, ""),
-    "validation_ic": (research.valid_ic, ""),
+    "validation_ic": (lambda s, d: _numbers(research.valid_ic(s, d)), _numbers_sql(_linear_sql(), {"ic": _corr_sql("predict", "label")}, "p", "", "WHERE split = 'valid'")),
     "factor_research": (lambda s, d: _numbers(research.factor_research(s, d), "factor"), _research_sql()),
 }
 

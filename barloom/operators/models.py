@@ -19,8 +19,9 @@ def boosted_trees(max_iter: int = 60, depth: int = 5) -> GBTRegressor:
     return GBTRegressor(featuresCol="features", labelCol="label", predictionCol="predict", validationIndicatorCol="is_valid", stepSize=0.05, maxDepth=depth, maxIter=max_iter, featureSubsetStrategy="0.8", subsamplingRate=0.8, seed=42, validationTol=1e-4)
 
 
-def linear() -> LinearRegression:
-    return LinearRegression(featuresCol="features", labelCol="label", predictionCol="predict", regParam=1e-6)
+def linear(reg: float = 0.0) -> LinearRegression:
+    """Least squares, from the normal equations of one pass; `reg` shrinks coefficients of features that go together."""
+    return LinearRegression(featuresCol="features", labelCol="label", predictionCol="predict", regParam=reg, solver="normal")
 
 
 def prepare(df: DataFrame, features: Iterable[str], train_end: str, valid_end: str) -> DataFrame:
