@@ -124,3 +124,60 @@ def test_empty(spark, docs):
     df, bench = tables(spark, docs, [ITEM], [ITEM])
     assert templates.leaks(df.limit(0), bench).count() == 0
     assert templates.leaks(df, bench.limit(0)).count() == 0
+
+
+DENSE = [
+    ("A train leaves Paris at 9 and travels 120 km at 60 km per hour. When does it arrive in Lyon?", "A train leaves Rouen at 7 and travels 95 km at 50 km per hour. When does it arrive in Metz?"),
+    ("Solve 3 x + 5 = 20 for x.", "Solve 4 x + 7 = 31 for x."),
+    ("What is 12 + 7 * 3 - 4?", "What is 15 + 8 * 2 - 6?"),
+    ("Le matin, Élodie donne 12 pommes à Zoé, puis Élodie mange 3 poires avec son frère Éric au marché.", "Le matin, Ángela donne 15 pommes à Inès, puis Ángela mange 4 poires avec son frère Björn au marché."),
+    ("Every day Tom buys 5 apples and gives 2 of them to Eve before the shop closes.", "Every day Mary Ann buys 8 apples and gives 3 of them to Dan Lee Cox before the shop closes."),
+    ("The bridge near Lyon was built in 1883 by Anna and her brother from Ávila.", "THE BRIDGE NEAR LYON WAS BUILT IN 1883 BY ANNA AND HER BROTHER FROM ÁVILA."),
+    ("THE CASTLE OF BASEL HAS 12 TOWERS AND ONE GATE OF IRON.", "The castle of Basel has 12 towers and one gate of iron."),
+    ("There Ben Hill likes Eve Ray Poe and she likes 12 of 40 cats.", "there ben hill likes eve ray poe and she likes 12 of 40 cats."),
+    ("1 2 3 4 5 6 7 8", "so 1 2 3 4 5 6 7 8 it is"),
+    ("Bob Hill met Eve", "x\nBob Hill met Eve.\ny"),
+]
+
+
+def test_dense_slots(spark, docs):
+    """Other values, names of other lengths and scripts, other case; values alone decide where there are no words."""
+    texts = [d for _, d in DENSE] + [f"some words before 7 it and {d} Some words after it." for _, d in DENSE[:8]]
+    swapped = ["1 2 3 4 5 6 7 9", "A train leaves Rouen at 7 and Metz is 95 km away", "What is 12 apples + 7 pears?", "Every day Tom buys bread."]
+    df, bench = tables(spark, docs, texts + swapped, [i for i, _ in DENSE])
+    got = {(r.doc_id, r.item_id) for r in templates.leaks(df, bench).collect()}
+    assert got == {(i, i) for i in range(10)} | {(i + 10, i) for i in range(8)}
+
+
+def test_recall_of_new_values(spark, docs):
+    """Items of many shapes with all slots replaced, each in a text of its own among unrelated ones."""
+    random.seed(12)
+    names = ["Tom", "Ana", "Zoé", "Mary Ann", "Élodie", "Omar", "Dr. Wood", "Ivo", "Łucja", "Jean Paul Roy", "Ida", "Bo Li"]
+    units = ["km", "kg", "miles", "hours", "dollars", "litres"]
+    verbs, things = ["buys", "sells", "carries", "paints", "counts", "finds"], ["apples", "boxes", "chairs", "books", "stones", "lamps"]
+    shape = [
+        "On the way home {n} {v} %d {t} for %d {u} and then {n} {v} %d more, how many {t} are there",
+        "{n} {v} %d {t}. {n} {v} %d {t}. After %d {u} they have lost %d of them. Who has most {t}",
+        "If %d + %d * %d = %d for {t}, what is %d - %d",
+        "the {t} of {n} weigh %d {u} while those of {n} weigh %d {u} in %d",
+    ]
+
+    def sample(s):
+        out = s
+        for key, some in (("{v}", verbs), ("{t}", things)):
+            out = re.sub(re.escape(key), lambda _: random.choice(some), out)
+        return out
+
+    def values(s):
+        own = random.sample(names, 2)
+        s = re.sub(r"%d", lambda _: str(random.randrange(2, 9999)), s)
+        return re.sub(r"\{u\}", lambda _: random.choice(units), re.sub(r"\{n\}", lambda _: own.pop(), s))
+
+    frames = [f"{sample(random.choice(shape))} in the {chr(97 + i % 26)}{chr(97 + i // 26)}x case" for i in range(60)]
+    items = [values(f) for f in frames]
+    filler = lambda k: " ".join(random.choice(["river", "Lyon", "12", "km", "green", "walks", "Anna", "to", "the", "of"]) for _ in range(k))
+    texts = [f"{filler(30)}. {values(f)}. {filler(30)}" for f in frames] + [filler(200) for _ in range(200)]
+    df, bench = tables(spark, docs, texts, items)
+    got = {(r.doc_id, r.item_id) for r in templates.leaks(df, bench).collect()}
+    found = sum((i, i) in got for i in range(60))
+    assert found >= 54 and not [x for x in got if x[0] >= 60]
