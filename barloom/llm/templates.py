@@ -191,11 +191,20 @@ class Templates:
 
         The form has a bit for each word that is read as a name where it may begin a sentence.
         """
+        # windows without words to choose and with three plain ones are hashed at once, the others word by word
+        segments = rolling.Segments(self.word)
+        count = lambda x: np.append(0, np.cumsum(x))
+        end = np.minimum(at + WINDOW, self.stop[at])
+        names_, slots = count((self.name | self.either) & names), count(self.slot)
+        easy = (end - at == WINDOW) & (names_[end] == names_[at]) & (WINDOW - (slots[end] - slots[at]) >= PLAIN)
+        now = at[easy]
+        at = at[~easy]
         zero = np.zeros(len(at), np.int64)
+        found = [(now, segments.of(now, now + WINDOW), 0 * now, 0 * now + WINDOW, now < 0)]
         at, pos, n, plain, run, named, form = at, at, zero, zero, zero, zero, zero
-        h, values = np.full(len(at), _NAME), np.full(len(at), _UNIT)
-        found: list[tuple[np.ndarray, ...]] = []
-        cut = []
+        h, values = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        power = rolling.Segments(np.zeros(LONGEST, np.uint64)).power
+        cut = [zero[:0]]
         while len(at):
             inside = pos < self.stop[at]
             j = np.minimum(pos, len(self.word) - 1)
@@ -204,7 +213,7 @@ class Templates:
             full = (n >= WINDOW) & ~goes_on
             done = full & (plain >= PLAIN)
             few = full & (n == WINDOW) & ~done
-            found += [(at[done], h[done], form[done], n[done], np.zeros(done.sum(), bool)), (at[few], rolling.mix(h[few] ^ values[few]), form[few], n[few], np.ones(few.sum(), bool))]
+            found += [(at[done], rolling.mix(h[done]), form[done], n[done], np.zeros(done.sum(), bool)), (at[few], rolling.mix(rolling.mix(h[few]) ^ values[few]), form[few], n[few], np.ones(few.sum(), bool))]
             cut.append(at[~inside & ~done & (form == 0)])
             go = inside & ~done & (goes_on | (n < LONGEST))
             at, pos, n, plain, run, named, form, h, values, j, name = (x[go] for x in (at, pos, n, plain, run, named, form, h, values, j, name))
@@ -216,12 +225,11 @@ class Templates:
             slot = self.slot[j]
             goes_on = name & self.joined[j] & (run > 0) & (run < RUN)
             value = np.where(name | slot, self.spelt[j], np.uint64(0))
-            h = np.where(goes_on, h, rolling.mix(h ^ np.where(name, _NAME, self.word[j])))
-            values = rolling.mix(np.where(goes_on, values ^ (value + _NUMBER), values * np.uint64(3) + value))
+            h += np.where(goes_on, np.uint64(0), (np.where(name, _NAME, self.word[j]) + np.uint64(1)) * power[n])
+            values = values * np.uint64(3) + (value + np.uint64(1)) * power[n]
             n, plain, run = n + ~goes_on, plain + ~(name | slot), np.where(name, np.where(goes_on, run + 1, 1), 0)
             pos = pos + 1
-        parts = [np.concatenate(x) for x in zip(*found)] if found else [zero, h, zero, zero, np.zeros(0, bool)]
-        return (*parts, np.concatenate(cut) if cut else zero)
+        return (*(np.concatenate(x) for x in zip(*found)), np.concatenate(cut))
 
     def _short_lines(self, text: np.ndarray, line: np.ndarray) -> None:
         """Adds a window for each line (of an item: the whole of it) of fewer than WINDOW template words, signs of arithmetic aside."""
