@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +17,18 @@ from barloom.operators import evaluate, factors, metrics, models, portfolio
 from barloom.sources import panel, results
 
 FEATURES = ["momentum_20", "reversal_5", "volatility_20", "kbar_kmid"]
+#: Of the registered queries; smaller than the defaults of boosted_trees.
+TREES = {"rounds": 10, "depth": 4}
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def features(spark: SparkSession, sf_dir: str, names: Sequence[str] = FEATURES) -> DataFrame:
     """Standardized factors and the next return as label, from one shuffle by instrument and one by date."""
     p = bars(spark, sf_dir).withColumn("label", evaluate.forward_return(1))
-    f = factors.compute_factors(p, FEATURES, keep=["label"])
+    f = factors.compute_factors(p, list(names), keep=["label"])
     # NaN becomes null before the cross-section, so that one undefined value does not spoil a date
-    f = f.select("date", "instrument", "label", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in FEATURES])
-    z = f.withColumns({f"_m_{c}": cs.cs_mean(c) for c in FEATURES} | {f"_s_{c}": cs.cs_std(c) for c in FEATURES})
-    return z.select("date", "instrument", "label", *[F.when(F.col(f"_s_{c}") > 0, F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}"))).alias(c) for c in FEATURES])
+    f = f.select("date", "instrument", "label", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names])
+    z = f.withColumns({f"_m_{c}": cs.cs_mean(c) for c in names} | {f"_s_{c}": cs.cs_std(c) for c in names})
+    return z.select("date", "instrument", "label", *[F.when(F.col(f"_s_{c}") > 0, F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}"))).alias(c) for c in names])
 
 
 #: Values that differ by less are ties: sums in another order do not change ranks.
@@ -48,8 +51,10 @@ def _bounds(df: DataFrame) -> tuple[str, str]:
 
 
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = features(spark, sf_dir)
-    return models.fit_predict(df, FEATURES, *_bounds(df), models.boosted_trees(max_iter=10, depth=4))
+    """Predictions of boosted trees on all factors of the library."""
+    names = factors.factor_names()
+    df = features(spark, sf_dir, names)
+    return models.fit_predict(df, names, *_bounds(df), models.boosted_trees(**TREES))
 
 
 def linear(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +63,14 @@ def linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = features(spark, sf_dir)
-    model = models.fit(models.prepare(df, FEATURES, *_bounds(df)), models.boosted_trees(max_iter=10, depth=4))
-    return models.top_importances(models.importances(model, FEATURES, spark))
+    names = factors.factor_names()
+    df = features(spark, sf_dir, names)
+    prepared = models.prepare(df, names, *_bounds(df)).persist()
+    try:
+        model = models.fit(prepared, models.boosted_trees(**TREES))
+    finally:
+        prepared.unpersist()
+    return models.top_importances(models.importances(model, names, spark))
 
 
 def valid_ic(spark: SparkSession, sf_dir: str) -> DataFrame:

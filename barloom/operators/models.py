@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import safe_corr
@@ -14,9 +14,34 @@ from barloom.operators.evaluate import fill_null, split_column
 from barloom.operators.timeseries import DATE, INSTRUMENT
 
 
-def boosted_trees(max_iter: int = 60, depth: int = 5) -> GBTRegressor:
-    """Gradient-boosted trees that stop when the validation rows gain no more."""
-    return GBTRegressor(featuresCol="features", labelCol="label", predictionCol="predict", validationIndicatorCol="is_valid", stepSize=0.05, maxDepth=depth, maxIter=max_iter, featureSubsetStrategy="0.8", subsamplingRate=0.8, seed=42, validationTol=1e-4)
+def boosted_trees(rounds: int = 60, depth: int = 5) -> GBTRegressor:
+    """Gradient-boosted trees on the train rows; fit() stops them by the valid ones."""
+    return GBTRegressor(featuresCol="features", labelCol="label", predictionCol="predict", stepSize=0.05, maxDepth=depth, maxIter=rounds, featureSubsetStrategy="0.8", subsamplingRate=0.8, seed=42)
+
+
+def stop_round(losses: Iterable[float], patience: int) -> int:
+    """The round (from 1) of least loss before `patience` rounds in a row that bring no lower one."""
+    best, least = 0, float("inf")
+    for i, loss in enumerate(losses, 1):
+        if loss < least:
+            best, least = i, loss
+        elif i - best >= patience:
+            break
+    return max(best, 1)
+
+
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model of the first n rounds of another one."""
+    if n >= model.getNumTrees:
+        return model
+    spark = SparkSession.active()
+    java, gateway = model._java_obj, spark.sparkContext._gateway
+    trees = gateway.new_array(spark._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    cut = GBTRegressionModel(spark._jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"{model.uid}_{n}", trees, weights))
+    return cut.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
 
 
 def linear(reg: float = 0.0) -> LinearRegression:
@@ -25,21 +50,26 @@ def linear(reg: float = 0.0) -> LinearRegression:
 
 
 def prepare(df: DataFrame, features: Iterable[str], train_end: str, valid_end: str) -> DataFrame:
-    """date, instrument, features, label, split and is_valid of every row with a label; null and NaN features become 0, the mean of standardized ones."""
+    """date, instrument, features, label and split of every row with a label; null and NaN features become 0, the mean of standardized ones."""
     features = list(features)
     rows = df.where(F.col("label").isNotNull() & ~F.isnan("label"))
     rows = rows.select(DATE, INSTRUMENT, "label", *[F.nanvl(fill_null(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
     end = lambda d: F.to_date(F.lit(d))
     rows = rows.withColumn("split", split_column(end(train_end), end(valid_end)))
-    rows = rows.withColumn("is_valid", F.col("split") == "valid")
-    return VectorAssembler(inputCols=features, outputCol="features").transform(rows).select(DATE, INSTRUMENT, "features", "label", "split", "is_valid")
+    return VectorAssembler(inputCols=features, outputCol="features").transform(rows).select(DATE, INSTRUMENT, "features", "label", "split")
+
 
+def fit(prepared: DataFrame, estimator=None, patience: int = 10):
+    """Trains on the train rows. Boosted trees then end at the round of least squared loss on the valid rows, found with `patience`.
 
-def fit(prepared: DataFrame, estimator=None):
-    """Trains on train rows; estimators with a validation column also see the valid ones."""
-    estimator = estimator or boosted_trees()
-    uses_valid = estimator.hasParam("validationIndicatorCol") and estimator.isSet("validationIndicatorCol")
-    return estimator.fit(prepared.where(F.col("split").isin("train", "valid") if uses_valid else F.col("split") == "train"))
+    All rounds are trained before one pass over the valid rows gives the losses of each, so patience saves no
+    training, but the model is the one that stopping there would give. Without valid rows all rounds stay.
+    """
+    model = (estimator or boosted_trees()).fit(prepared.where(F.col("split") == "train"))
+    valid = prepared.where(F.col("split") == "valid")
+    if not isinstance(model, GBTRegressionModel) or valid.isEmpty():
+        return model
+    return first_trees(model, stop_round(model.evaluateEachIteration(valid, "squared"), patience))
 
 
 def fit_predict(df: DataFrame, features: Iterable[str], train_end: str, valid_end: str, estimator=None) -> DataFrame:
