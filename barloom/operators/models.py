@@ -87,7 +87,9 @@ def fit_predict(df: DataFrame, features: Iterable[str], train_end: str, valid_en
 def importances(model, features: Iterable[str], spark) -> DataFrame:
     """feature, importance of a tree model, or the size of a linear one's coefficients."""
     weights = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients
-    return spark.createDataFrame([(f, abs(float(w))) for f, w in zip(features, weights.toArray())], "feature string, importance double")
+    # a model cut to its first trees ends its vector at the last feature that they use
+    found = dict(enumerate(weights.toArray()))
+    return spark.createDataFrame([(f, abs(float(found.get(i, 0.0)))) for i, f in enumerate(features)], "feature string, importance double")
 
 
 def top_importances(table: DataFrame, n: int = 20) -> DataFrame:

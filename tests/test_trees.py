@@ -44,3 +44,10 @@ def test_model_ends_at_the_least_loss(spark, panel):
 def test_without_valid_rows(panel):
     got = models.fit_predict(panel, ["a", "b", "c"], "2024-01-13", "2024-01-13", models.boosted_trees(rounds=3, depth=2))
     assert got.count() == 250 and got.columns == ["date", "instrument", "predict"]
+
+
+def test_unused_features_have_no_importance(spark, panel):
+    flat = panel.selectExpr("date", "instrument", "a", "0D AS b", "0D AS c", "label")
+    prepared = models.prepare(flat, ["a", "b", "c"], "2024-01-09", "2024-01-13")
+    model = models.first_trees(models.fit(prepared, models.boosted_trees(rounds=3, depth=2), patience=3), 1)
+    assert {r.feature: r.importance for r in models.importances(model, ["a", "b", "c"], spark).collect()} == {"a": 1.0, "b": 0.0, "c": 0.0}
