@@ -2,9 +2,13 @@
 
 Patterns give candidate spans with code-point offsets. Labelers (strict shape, gazetteer, context,
 surroundings) vote on each. The votes of the whole corpus are counted by kind and pattern of votes,
-a table of a few hundred rows at most whatever the corpus; expectation-maximisation on it estimates
-each labeler's reliability, and its posteriors train a logistic classifier of spans. Spans of the base
-definition always stay; the classifier adds further ones that overlap no base span.
+a table of 96 rows at most whatever the corpus; expectation-maximisation on it estimates each labeler's
+reliability. Its posteriors are the labels of a logistic classifier that sees no votes, but the span and
+what is beside it: shape, length, digits, variety, placeholders, neighbouring words and characters. So
+what the votes agree on teaches what such spans look like, and spans that few labelers know are found by
+their looks. It is fitted on at most EACH spans of each kind and pattern of votes, drawn by hash and
+weighted to the counts of all. Spans of the base definition always stay; the classifier adds further
+ones that overlap no base span. Added spans of different patterns may overlap each other.
 
 Null and empty texts have no spans. Every row of `docs` gives one row, repeated ids included.
 """
@@ -13,7 +17,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .workspace import written
@@ -37,7 +42,7 @@ OPEN, CLOSE = "", ""
 #: Code points before and after a span that the context labeler reads.
 CONTEXT = 40
 
-TOP_DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|us|it|nl|ch|at"
+TOP_DOMAINS = "com|org|net|edu|gov|info|[a-z]{2}"
 WORDS = {
     "email": "mail|contact|write|kontakt|courriel|correo",
     "ip": r"\bip\b|address|host|server|adresse|direcci",
@@ -46,7 +51,11 @@ WORDS = {
     "id": r"ssn|social|passport|\bid\b|ausweis|dni",
     "secret": r"token|key|secret|password|passwd",
 }
-SPAN = "array<struct<kind:string,start:int,end:int,body:string,base:boolean,votes:int>>"
+SPAN = "array<struct<kind:string,start:int,end:int,body:string,base:boolean,votes:int,marks:array<int>>>"
+
+#: Weights of the span classifier, and spans of one kind and pattern of votes that it is fitted on at most.
+MARKS = 1 << 11
+EACH = 250
 
 
 def _let(value: Column, body) -> Column:
@@ -99,7 +108,7 @@ def strict(kind: str, body: Column) -> Column:
     """The regex labeler: the strict shape of a kind."""
     n = F.length(_digits(body))
     return {
-        "email": body.rlike(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}$|\bat\b"),
+        "email": body.rlike(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}$|[\[(] ?at ?[\])].*[\[(] ?dot ?[\])]"),
         "ip": body.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"),
         "card": n.between(16, 19) & luhn(_digits(body)),
         "phone": n.between(8, 15),
@@ -121,6 +130,38 @@ def gazetteer(kind: str, body: Column) -> Column:
     }[kind]
 
 
+def _level(n: Column) -> Column:
+    return F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("string")
+
+
+def marks(kind: str, body: Column, before: Column, after: Column) -> Column:
+    """What the classifier sees of a span: one hashed place for each feature of the kind.
+
+    `before` and `after` are the lower-cased code points around it.
+    """
+    # of a secret, what the quotes hold
+    value = F.regexp_extract(body, "[\"']([^\"']*)[\"']$", 1) if kind == "secret" else body
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[A-Za-z]*[0-9]+[A-Za-z][A-Za-z0-9]*|[A-Za-z]+[0-9]+", "x"), "[A-Za-z]+", "a"), "[0-9]+", "9")
+    digits = F.length(_digits(value))
+    nearest = F.regexp_extract(before, r"([^\s\"'(<=:,;]+)[\s\"'(<=:,;]*$", 1)
+    features = {
+        "kind": F.lit(""),
+        "shape": F.substring(shape, 1, 12),
+        "length": _level(F.length(value)),
+        "digits": F.floor(4 * digits / F.greatest(F.length(value), F.lit(1))).cast("string"),
+        "variety": _level(F.size(F.array_distinct(F.split(value, "")))),
+        "placeholder": value.rlike(r"(?i)(.)\1{3}|1234|abcd|example|change|dummy|sample|your|test|todo").cast("string"),
+        # nothing but its check digit tells a card from other numbers
+        "check": (digits.between(13, 19) & luhn(_digits(value)) if kind == "card" else F.lit(True)).cast("string"),
+        "word before": nearest,
+        "named": before.rlike(WORDS[kind]).cast("string"),
+        "other thing": before.rlike(r"\b(?:version|isbn|order|invoice|part|item|model|figure|page|section|room|score|lot)\W+(?:\w+\W+){0,2}$").cast("string"),
+        "sign before": F.regexp_replace(F.substring(before, -1, 1), r"\w", "w"),
+        "sign after": F.regexp_replace(F.substring(after, 1, 1), r"\w", "w"),
+    }
+    return F.array(*[F.pmod(F.xxhash64(F.lit(f"{kind} {name}"), value), F.lit(MARKS)).cast("int") for name, value in features.items()])
+
+
 def spans_of_kind(text: Column, kind: str, pattern: str, base: bool) -> Column:
     """Candidates of one pattern, with the labelers' votes as bits: shape 1, gazetteer 2, context 4, surroundings 8."""
 
@@ -129,12 +170,13 @@ def spans_of_kind(text: Column, kind: str, pattern: str, base: bool) -> Column:
         shape = strict(kind, body)
         start = F.greatest(s["start"] - CONTEXT, F.lit(0))
         before = F.lower(F.substring(text, start + 1, s["start"] - start))
+        after = F.lower(F.substring(text, s["end"] + 1, F.lit(1)))
         beside = F.concat(F.substring(text, F.greatest(s["start"], F.lit(1)), F.when(s["start"] > 0, 1).otherwise(0)), F.substring(text, s["end"] + 1, F.lit(1)))
         bit = lambda c, k: F.when(c, k).otherwise(0)
         votes = bit(shape, 1) + bit(gazetteer(kind, body), 2) + bit(F.concat(before, F.lower(body) if kind == "secret" else F.lit("")).rlike(WORDS[kind]), 4) + bit(~beside.rlike(r"[A-Za-z0-9/\\_-]"), 8)
         # the base definition asks no shape of an email's domain
         is_base = F.lit(True) if kind == "email" and base else shape & F.lit(base)
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), body.alias("body"), is_base.alias("base"), votes.cast("int").alias("votes"))
+        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), body.alias("body"), is_base.alias("base"), votes.cast("int").alias("votes"), marks(kind, body, before, after).alias("marks"))
 
     return F.transform(find(text, pattern), one)
 
@@ -161,50 +203,63 @@ def vote_counts(found: DataFrame) -> dict[tuple[str, int], int]:
 
 
 def reliabilities(counts: dict[tuple[str, int], int], rounds: int = 50) -> dict[tuple[str, int], float]:
-    """Posterior of each kind and pattern, by EM over independent labelers that all kinds share.
+    """Posterior of each kind and pattern, by EM over independent labelers, each with a reliability of its own for every kind.
 
     Each labeler starts with ten imagined spans of each class of which it gets eight right, which tells
     the two classes apart.
     """
     post = {key: 0.02 + 0.96 * bin(key[1]).count("1") / 4 for key in counts}
-    for _ in range(rounds):
-        yes = sum(n * post[k] for k, n in counts.items())
-        no = sum(n * (1 - post[k]) for k, n in counts.items())
-        hit = [[(sum(n * (post[k] if c else 1 - post[k]) for k, n in counts.items() if k[1] >> j & 1) + (8 if c else 2)) / ((yes if c else no) + 10) for j in range(4)] for c in (1, 0)]
-        prior = {kind: (sum(n * post[k] for k, n in counts.items() if k[0] == kind) + 1) / (sum(n for k, n in counts.items() if k[0] == kind) + 2) for kind in KINDS}
-        for k in counts:
-            like = [math.log(prior[k[0]]), math.log(1 - prior[k[0]])]
-            for c in (0, 1):
+    for kind in {k[0] for k in counts}:
+        own = {k[1]: n for k, n in counts.items() if k[0] == kind}
+        for _ in range(rounds):
+            share = {v: post[kind, v] for v in own}
+            yes = sum(n * share[v] for v, n in own.items())
+            total = sum(own.values())
+            prior = (yes + 1) / (total + 2)
+            for v in own:
+                odds = math.log(prior / (1 - prior))
                 for j in range(4):
-                    p = min(0.999, max(0.001, hit[c][j]))
-                    like[c] += math.log(p if k[1] >> j & 1 else 1 - p)
-            post[k] = 1 / (1 + math.exp(min(500, like[1] - like[0])))
+                    hit = (sum(n * share[u] for u, n in own.items() if u >> j & 1) + 8) / (yes + 10)
+                    miss = (sum(n * (1 - share[u]) for u, n in own.items() if u >> j & 1) + 2) / (total - yes + 10)
+                    p, q = (min(0.999, max(0.001, x)) for x in (hit, miss))
+                    odds += math.log(p / q) if v >> j & 1 else math.log((1 - p) / (1 - q))
+                post[kind, v] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
     return post
 
 
-def train(counts: dict[tuple[str, int], int], post: dict[tuple[str, int], float], steps: int = 300) -> dict[str, float]:
-    """Weights of a logistic classifier on votes and kind, by gradient steps on the counted posteriors."""
-    w = dict.fromkeys(["bias", *KINDS, *(f"vote{j}" for j in range(4))], 0.0)
-    total = sum(counts.values()) or 1
-    feats = {k: ["bias", k[0], *(f"vote{j}" for j in range(4) if k[1] >> j & 1)] for k in counts}
+def sample(found: DataFrame, each: int = EACH) -> DataFrame:
+    """kind, votes and marks of at most `each` spans of each kind and pattern of votes, the first by hash."""
+    spans = found.select("doc_id", F.explode("spans").alias("s")).select("s.kind", "s.votes", "s.marks", F.xxhash64("doc_id", "s.start", "s.body").alias("_h"))
+    rank = F.row_number().over(Window.partitionBy("kind", "votes").orderBy("_h"))
+    return spans.withColumn("_rank", rank).where(F.col("_rank") <= each).select("kind", "votes", "marks")
+
+
+def train(rows: list, counts: dict[tuple[str, int], int], post: dict[tuple[str, int], float], steps: int = 400) -> tuple[float, np.ndarray]:
+    """Bias and weights by place of a logistic classifier of marks, by gradient steps on the posteriors.
+
+    A sampled span stands for all of its kind and votes; kinds weigh alike, but for those of few spans.
+    """
+    w = np.zeros(MARKS)
+    if not rows:
+        return 0.0, w
+    keys = [(r["kind"], r["votes"]) for r in rows]
+    drawn = {k: keys.count(k) for k in set(keys)}
+    of_kind = {kind: sum(n for k, n in counts.items() if k[0] == kind) for kind in KINDS}
+    weight = np.array([counts[k] / drawn[k] / (of_kind[k[0]] + 10) for k in keys])
+    weight /= weight.sum()
+    want = np.array([post[k] for k in keys])
+    at = np.array([r["marks"] for r in rows])
+    bias, rate = 0.0, 4 / (at.shape[1] + 1)
     for _ in range(steps):
-        grad = dict.fromkeys(w, 0.0)
-        for k, n in counts.items():
-            error = post[k] - 1 / (1 + math.exp(-max(-500, min(500, sum(w[f] for f in feats[k])))))
-            for f in feats[k]:
-                grad[f] += n / total * error
-        for f in w:
-            w[f] += 2.0 * grad[f] - 0.001 * w[f]
-    return w
+        error = weight * (want - 1 / (1 + np.exp(-np.clip(bias + w[at].sum(axis=1), -500, 500))))
+        w += rate * (np.bincount(at.ravel(), np.repeat(error, at.shape[1]), MARKS) - 0.0005 * w)
+        bias += rate * error.sum()
+    return bias, w
 
 
-def probability(span: Column, w: dict[str, float]) -> Column:
-    z = F.lit(w["bias"])
-    for k in KINDS:
-        z = z + F.when(span["kind"] == k, w[k]).otherwise(0.0)
-    for j in range(4):
-        z = z + F.when(span["votes"].bitwiseAND(1 << j) > 0, w[f"vote{j}"]).otherwise(0.0)
-    return 1 / (1 + F.exp(-z))
+def probability(span: Column, bias: float, w: np.ndarray) -> Column:
+    weights = F.lit(w)
+    return 1 / (1 + F.exp(-F.aggregate(span["marks"], F.lit(float(bias)), lambda z, i: z + F.get(weights, i))))
 
 
 def detect(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), least: float = 0.8) -> DataFrame:
@@ -215,11 +270,11 @@ def detect(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), leas
     """
     found = written(candidates(docs, text, keep), "pii-candidates")
     counts = vote_counts(found)
-    w = train(counts, reliabilities(counts))
+    bias, w = train(sample(found).collect(), counts, reliabilities(counts))
     base = F.filter("spans", lambda s: s["base"])
     overlaps = lambda s: F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     found = found.withColumn("_base", base)
-    added = F.filter("spans", lambda s: ~s["base"] & (probability(s, w) >= least) & ~overlaps(s))
+    added = F.filter("spans", lambda s: ~s["base"] & (probability(s, bias, w) >= least) & ~overlaps(s))
     order = F.array(*[F.lit(k) for k in KINDS])
     spans = F.transform(
         F.array_sort(F.transform(F.concat("_base", added), lambda s: F.struct(F.array_position(order, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base")))),

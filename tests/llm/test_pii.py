@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -69,3 +70,56 @@ def test_adds_spans_and_masks(docs):
 def test_empty_table(docs):
     assert pii.digest(pii.detect(docs([]))).count() == 0
     assert pii.detect(docs([None])).select(F.size("spans")).first()[0] == 0
+
+
+def planted(seed=3, n=60):
+    """Texts with one planted span each, by kind, and texts with something that only looks like one."""
+    random.seed(seed)
+    pick, digits = random.choice, lambda k: "".join(random.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(random.choice("abcdefghiklmnoprstuvw") for _ in range(random.randint(3, 9)))
+    prose = lambda k: " ".join(word() for _ in range(k))
+    token = lambda k: "".join(random.choice("0123456789abcdef") for _ in range(k))
+    name = lambda: "".join(pick("ABCDEFGHKLMNPRSTabcdefghkmnp23456789") for _ in range(24)) + digits(2)
+    make = {
+        "email": lambda: f"{pick(['write to', 'mail', 'contact', 'ask for', ''])} {word()}.{word()} [at] {word()} [dot] {pick(['com', 'org', 'net', 'de', 'pt', 'pl', 'dev', 'cloud'])}",
+        "phone": lambda: f"{pick(['call', 'phone', 'fax', 'tel', 'reach us on', ''])} ({digits(3)}) {digits(3)}-{digits(4)}",
+        "id": lambda: f"{pick(['ssn', 'social security', 'id', 'number on file', ''])} {random.randint(100, 665)}-{random.randint(10, 99)}-{random.randint(1000, 9999)}",
+        "secret": lambda: f'{pick(["token", "api_key", "password", "secret"])} {pick(["=", ":"])} "{pick([lambda: token(32), lambda: token(40), name])()}"',
+    }
+    fake = {
+        "id": lambda: f"{pick(['part', 'lot', 'order', 'model'])} 000-00-{digits(4)}",
+        "secret": lambda: f'{pick(["token", "api_key", "password", "secret"])} = "{pick(["aaaaaaaa", "changeme", "your-value", "xxxxxxxxxx", "placeholder", "undefined"])}"',
+        "email": lambda: f"meet [at] {word()}.{pick(['then', 'we', 'soon', 'later'])}",
+    }
+    true = [(k, f"{prose(6)} {make[k]()} {prose(5)}") for k in make for _ in range(n)]
+    false = [(k, f"{prose(6)} {fake[k]()} {prose(5)}") for k in fake for _ in range(n)]
+    return true, false
+
+
+def test_planted_spans_and_what_the_features_change(docs):
+    """At least 0.9 of every kind is found and little else, and the features of spans decide it."""
+    true, false = planted()
+    df = docs([t for _, t in true + false] + ["plain text without anything"] * 20)
+    found = pii.detect(df)
+    got = {r.doc_id: {s.kind for s in r.spans} for r in found.collect()}
+    for kind in ("email", "phone", "id", "secret"):
+        own = [kind in got[i] for i, (k, _) in enumerate(true) if k == kind]
+        assert sum(own) >= 0.9 * len(own), (kind, sum(own), len(own))
+    wrong = [t for i, (_, t) in enumerate(false, len(true)) if got[i]]
+    assert len(wrong) <= 0.1 * len(false), wrong[:5]
+
+    # without its features, the classifier can only take all spans of a kind or none
+    cands = pii.candidates(df)
+    counts = pii.vote_counts(cands)
+    rows = [{"kind": r.kind, "votes": r.votes, "marks": r.marks[:1]} for r in pii.sample(cands).collect()]
+    bias, w = pii.train(rows, counts, pii.reliabilities(counts))
+    kind_only = {r.doc_id: any(bias + w[s.marks[0]] >= math.log(4) for s in r.spans) for r in cands.collect()}
+    right = lambda said: sum(said(i) == (i < len(true)) for i in range(len(true) + len(false)))
+    assert right(lambda i: bool(got[i])) > right(lambda i: kind_only[i]) + 50
+
+
+def test_sample_is_bounded_and_stands_for_all(docs):
+    found = pii.candidates(docs(["mail a@b.com or +1 (017) 555-7713."] * 40))
+    rows = pii.sample(found, each=7).collect()
+    assert sorted(r.kind for r in rows) == ["email"] * 7 + ["phone"] * 7
+    assert pii.train([], {}, {})[0] == 0
