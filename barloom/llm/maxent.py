@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -271,25 +272,23 @@ CHUNK = 512
 
 
 def _updates(texts: DataFrame, model: Model, rate: float) -> DataFrame:
-    """From each task, the changed weights in chunks: for every row how often it was used, and the change times that."""
+    """From each task, whose partition is its lane, the changed weights in chunks: for every row how often it was used, and the change times that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(**{**model.__dict__, "class_rows": model.class_rows.copy(), "member_rows": model.member_rows.copy()})
         kinds = ((model.class_rows, own.class_rows), (model.member_rows, own.member_rows))
         squares = tuple(np.zeros(len(a), np.float32) for a, _ in kinds)
         seen = tuple(np.zeros(len(a), np.float32) for a, _ in kinds)
-        task = 0
         for batch in batches:
             for part in text_slices(batch):
-                task = zlib.crc32(str(part.num_rows + task).encode())
                 _learn(own, Tokens(part.column(0)), squares, seen, rate)
-        out = []
+        out, lane = [], TaskContext.get().partitionId()
         for k, (a, b) in enumerate(kinds):
             for lo in range(0, len(a), CHUNK):
                 use = seen[k][lo : lo + CHUNK]
                 if use.any():
                     change = ((b[lo : lo + CHUNK] - a[lo : lo + CHUNK]) * use[:, None]).astype(np.float32)
-                    out.append((k * (1 << 20) + lo, task % 32, zlib.compress(use.tobytes() + _half(change, use), 1)))
+                    out.append((k * (1 << 20) + lo, lane, zlib.compress(use.tobytes() + _half(change, use), 1)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["chunk", "lane", "sums"])
 
@@ -314,25 +313,34 @@ def _sum(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _mean(keys: tuple, table: pa.Table) -> pa.Table:
     use, change = _sum(table)
     body = use.astype(np.float32).tobytes() + (change / np.maximum(use, 1e-9)[:, None]).astype(np.float16).tobytes()
-    return pa.table({"chunk": pa.array([keys[0].as_py()], pa.int64()), "lane": pa.array([0], pa.int32()), "sums": pa.array([zlib.compress(body, 1)], pa.binary())})
+    return pa.table({"chunk": pa.array([keys[0].as_py()], pa.int64()), "lane": pa.array([keys[1].as_py()], pa.int32()), "sums": pa.array([zlib.compress(body, 1)], pa.binary())})
 
 
 #: Tokens of all rounds that a training task has on average, at least: every task sends the rows that it changed.
 TASK_TOKENS = 4_000_000
+#: Tasks whose changes are summed in one group at most.
+FAN = 32
 
 
-def train(texts: DataFrame, model: Model, rounds: int = 3, rate: float = 0.35, part: Column | None = None, tokens: int | None = None) -> Model:
-    """Uses every text of `texts` (one column, text) once: those of a round together, in as many tasks as `tokens` (all) ask for at most.
+def train(
+    texts: DataFrame, model: Model, rounds: int = 3, rate: float = 0.35, part: Column | None = None, tokens: int | None = None, task_tokens: int = TASK_TOKENS, fan: int = FAN
+) -> Model:
+    """Uses every text of `texts` (one column, text) once: those of a round together, in as many tasks as `tokens` (all; their letters if not given) ask for at most.
 
-    The changes of tasks are averaged, so weights vary a little with the way the rows are dealt over tasks.
+    The changes of tasks are averaged, so weights vary a little with the way the rows are dealt over tasks. They are
+    summed in levels, `fan` lanes at a time, so that no group grows with the number of tasks.
     """
-    texts = texts if tokens is None else texts.coalesce(max(1, -(-tokens // TASK_TOKENS)))
+    if tokens is None:
+        tokens = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    tasks = max(1, -(-tokens // task_tokens))
+    texts = texts.coalesce(tasks)
     part = F.pmod(F.xxhash64("text"), F.lit(rounds)) if part is None else part
     for k in range(rounds):
-        schema = "chunk long, lane int, sums binary"
         found = _updates(texts.where(part == k), model, rate / (1 + k) ** 0.5)
-        # summed in two steps, so that no group grows with the number of tasks alone
-        found = found.groupBy("chunk", "lane").applyInArrow(_mean, schema).groupBy("chunk").applyInArrow(_mean, schema)
+        left = tasks
+        while left > 1:
+            found = found.withColumn("lane", F.floor(F.col("lane") / fan).cast("int")).groupBy("chunk", "lane").applyInArrow(_mean, "chunk long, lane int, sums binary")
+            left = -(-left // fan)
         rows = [model.class_rows.copy(), model.member_rows.copy()]
         for r in found.collect():
             data = zlib.decompress(r["sums"])

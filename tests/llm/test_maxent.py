@@ -59,6 +59,19 @@ def test_probabilities_sum_to_one(docs):
         assert abs(total - 1) < 1e-4
 
 
+def test_several_tasks_are_averaged_in_levels(docs):
+    """Nine tasks, summed in one level or in four, give the same weights; and they tell more than no weights."""
+    df = docs(corpus(900)).select(F.coalesce("text", F.lit("")).alias("text")).repartition(9, "text")
+    first = maxent.start(maxent.counts(df))
+    n = df.agg(F.sum(F.length("text"))).first()[0]
+    flat, deep = (maxent.train(df, first, rounds=1, tokens=n, task_tokens=-(-n // 9), fan=k) for k in (32, 2))
+    assert np.abs(flat.class_rows).max() > 0.05
+    assert np.abs(flat.class_rows - deep.class_rows).max() < 0.01 and np.abs(flat.member_rows - deep.member_rows).max() < 0.01
+    t = maxent.Tokens(pa.array([x or "" for x in corpus(100, seed=7)]))
+    none = np.zeros(len(t.hash))
+    assert flat.log_probability(t, none).sum() > first.log_probability(t, none).sum()
+
+
 def test_edges(spark, docs):
     df = docs(["a b", "a b", None], [5, 5, None])
     got = maxent.score(df, F.lit(None).cast("boolean")).collect()
