@@ -133,6 +133,11 @@ def standardize(df: DataFrame, columns: Iterable[str], method: str = "zscore", k
     return df.select(DATE, INSTRUMENT, *keep, *[METHODS[method](c).alias(c) for c in columns])
 
 
+def fixed(df: DataFrame) -> DataFrame:
+    """The rows of a small table as they come out now, for results that another run may give differently: in the checkpoint folder, or without one on the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 #: Ranges that the values of a large group are cut into.
 RANGES = 64
 
@@ -142,13 +147,15 @@ def large_rank(df: DataFrame, column: str, by: Iterable[str] = (DATE,), ranges:
 
     Approximate quantiles of a group cut it into ranges of values, which are tasks of their own; a rank is the number of
     values in the ranges before plus the rank within the range. Equal values share a range, so ties are
-    exact, and the quantiles decide on balance alone. Groups are joined with their bounds, counts of `ranges` rows at most.
+    exact, and the quantiles decide on balance alone. They depend on the order in which partial results arrive, so they are
+    computed once, at the call: rows and counts are then cut alike. Groups are joined with their bounds, counts of `ranges` rows at most.
     """
     by = list(by)
     x = F.when(~F.isnan(column), F.col(column)).cast("double")
     cuts = F.percentile_approx(x, [i / ranges for i in range(1, ranges)], 20 * ranges)
     cuts = F.array_distinct(F.coalesce(cuts, F.array().cast("array<double>"))).alias("_cuts")
     groups = df.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(by)]).agg(F.count(F.lit(1)).alias("_size"), cuts)
+    groups = fixed(groups)
     rows = df.join(groups, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(by)])
     # NaN is greater than any number; nulls have no rank and no range
     at = F.when(F.isnan(column), F.lit(ranges)).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(column).cast("double"))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.numeric import NAN, fdiv, pair
+from barloom.operators.crosssection import fixed
 from barloom.operators.portfolio import PORTFOLIO
 from barloom.operators.timeseries import DATE
 
@@ -125,6 +126,8 @@ def _large_cut(returns: DataFrame, keys: list[str], conf: float, r: str) -> Data
     near = [max(0.0, 1.0 - conf - NEAR), min(1.0, 1.0 - conf + NEAR)]
     groups = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", near, int(4 / NEAR)).alias("_q"))
     groups = groups.select(*[F.col(k).alias(f"_g{k}") for k in own], F.ceil((F.col("_n") - 1).cast("double") * F.lit(1.0 - conf)).alias("_place"), F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
+    # bounds of another run may differ, and rows and counts have to be cut alike
+    groups = fixed(groups)
     same = [F.col(k).eqNullSafe(F.col(f"_g{k}")) for k in own]
     part = F.when(F.col("_x") < F.col("_lo"), 0).when(F.col("_x") <= F.col("_hi"), 1).otherwise(2)
     parted = rows.join(groups, same).select(*own, "_x", "_place", part.alias("_part"))
