@@ -243,7 +243,8 @@ def ts_ffill(x) -> Column:
 
 
 def ts_backfill(x) -> Column:
-    return F.first(col(x), ignorenulls=True).over(along().rowsBetween(0, Window.unboundedFollowing))
+    # from the latest row on: a frame that ends at the last row would be read again for every row
+    return F.last(col(x), ignorenulls=True).over(Window.partitionBy(INSTRUMENT).orderBy(F.desc(DATE)).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def ts_ewma(df: DataFrame, specs: Iterable[tuple[str, str, float]], then: Iterable[tuple[str, str, str, float]] = (), spread: Column | None = None) -> DataFrame:

@@ -2,14 +2,28 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import crosssection as cs
 from barloom.operators import metrics
+from barloom.operators import timeseries as ts
 
 DAY = dt.date(2020, 1, 1)
 
 
+@pytest.fixture
+def small(spark):
+    rows = [(k, DAY + dt.timedelta(days=i), *x) for k in "ab" for i, x in enumerate([(1.0, 2.0, 3.0), (2.0, 2.0, None), (4.0, None, 1.0), (4.0, 3.0, 1.0), (4.0, 5.0, 7.0), (9.0, 5.0, 2.0), (3.0, 1.0, 2.5), (8.0, 6.0, 2.0)])]
+    return spark.createDataFrame(rows, "instrument string, date date, close double, open double, volume double")
+
+
+def test_backfill_reads_each_row_once(small):
+    df = small.select("instrument", "date", ts.ts_backfill("open").alias("v"))
+    assert "unboundedfollowing" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r.v for r in df.where("instrument = 'a'").orderBy("date").collect()] == [2.0, 2.0, 3.0, 3.0, 5.0, 5.0, 1.0, 6.0]
+
+
 def test_approximate_bounds_are_computed_once(spark):
     """Another run may give other quantiles, so rows and counts must not each have their own."""
     df = spark.range(3000).select(F.lit(DAY).alias("date"), F.col("id").cast("string").alias("instrument"), F.lit("p").alias("portfolio_id"), F.sin("id").alias("ret"))
