@@ -6,6 +6,8 @@ infinity; these helpers keep null (missing) and NaN (undefined) apart.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,21 @@ def fdiv(a: str | Column, b: str | Column) -> Column:
     return F.coalesce(F.try_divide(a, b), a * F.when(b == 0, F.lit(INF)))
 
 
+def let(body: Callable[..., Column], *values: Column) -> Column:
+    """body(*values) with each value computed once, however often the body names it.
+
+    Spark computes a window function at every place that names it. The body is the function of a one-element
+    transform, which leaves code generation: worth it for values that hold window functions alone.
+    """
+    row = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.get(F.transform(F.array(row), lambda s: body(*[s.getField(f"v{i}") for i in range(len(values))])), 0)
+
+
+def fdiv_once(a: Column, b: Column) -> Column:
+    """fdiv of sides that hold window functions."""
+    return let(fdiv, a, b)
+
+
 def ieee_log(x: str | Column) -> Column:
     """Natural logarithm: -inf at 0, NaN below."""
     x = col(x).cast("double")

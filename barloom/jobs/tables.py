@@ -43,7 +43,8 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def value(df: DataFrame, expression: Column) -> DataFrame:
     """date, instrument, value (six significant digits; null if undefined) and undefined (NaN or infinite)."""
-    return df.select("date", "instrument", *digits("value", expression))
+    # a column first: digits names it several times, and Spark computes a window function at each place
+    return df.select("date", "instrument", expression.alias("_value")).select("date", "instrument", *digits("value", F.col("_value")))
 
 
 def digits(name: str, x: Column) -> list[Column]:

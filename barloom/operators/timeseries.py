@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.numeric import NAN, col, fdiv, nan_where_null, pair
+from barloom.functions.numeric import NAN, col, fdiv, fdiv_once, let
 from barloom.operators.scans import decayed_means
 
 DATE, INSTRUMENT = "date", "instrument"
@@ -46,7 +46,8 @@ def ts_delta(x, n: int) -> Column:
 
 
 def ts_returns(x, n: int) -> Column:
-    return fdiv(ts_delta(x, n), ts_delay(x, n))
+    x = col(x)
+    return let(lambda now, then: fdiv(now - then, then), x, ts_delay(x, n))
 
 
 def ts_sum(x, n: int) -> Column:
@@ -85,13 +86,13 @@ def ts_variance(x, n: int) -> Column:
 def ts_skew(x, n: int) -> Column:
     """Population skewness; NaN for a constant window."""
     x = col(x)
-    return _full(x, n, nan_where_null(F.skewness(x).over(last_rows(n)), F.count(x).over(last_rows(n)) == n))
+    return _full(x, n, F.coalesce(F.skewness(x).over(last_rows(n)), F.lit(NAN)))
 
 
 def ts_kurt(x, n: int) -> Column:
     """Population excess kurtosis; NaN for a constant window."""
     x = col(x)
-    return _full(x, n, nan_where_null(F.kurtosis(x).over(last_rows(n)), F.count(x).over(last_rows(n)) == n))
+    return _full(x, n, F.coalesce(F.kurtosis(x).over(last_rows(n)), F.lit(NAN)))
 
 
 def _sorted(x: Column, n: int) -> Column:
@@ -168,22 +169,21 @@ def ts_dstd(x, n: int) -> Column:
 
 
 def ts_zscore(x, n: int) -> Column:
-    return fdiv(col(x) - ts_mean(x, n), ts_std(x, n))
+    return fdiv_once(col(x) - ts_mean(x, n), ts_std(x, n))
 
 
 def ts_robust_zscore(x, n: int) -> Column:
     """Distance from the rolling median in rolling median deviations; each deviation is from its own row's median."""
     off = col(x) - ts_median(x, n)
-    return fdiv(off, F.lit(MAD_SCALE) * ts_median(F.abs(off), n))
+    return fdiv_once(off, F.lit(MAD_SCALE) * ts_median(F.abs(off), n))
 
 
 def ts_scale(x, n: int) -> Column:
-    low = ts_min(x, n)
-    return fdiv(col(x) - low, ts_max(x, n) - low)
+    return let(lambda v, low, high: fdiv(v - low, high - low), col(x), ts_min(x, n), ts_max(x, n))
 
 
 def ts_sharpe(x, n: int) -> Column:
-    return fdiv(ts_mean(x, n), ts_std(x, n))
+    return fdiv_once(ts_mean(x, n), ts_std(x, n))
 
 
 def ts_av_diff(x, n: int) -> Column:
@@ -199,14 +199,15 @@ def ts_min_diff(x, n: int) -> Column:
 
 
 def _pairs(x1, x2, n: int) -> tuple[Column, Column, Column]:
-    x, y = pair(col(x1), col(x2))
-    return x, y, F.count(x).over(last_rows(n)) == n
+    """Both columns, and whether the window is full of complete pairs: aggregates of one side then see no others."""
+    x, y = col(x1), col(x2)
+    return x, y, F.call_function("count", x, y).over(last_rows(n)) == n
 
 
 def ts_corr(x1, x2, n: int) -> Column:
     x, y, full = _pairs(x1, x2, n)
     w = last_rows(n)
-    return F.when(full, fdiv(F.covar_samp(x, y).over(w), F.stddev_samp(x).over(w) * F.stddev_samp(y).over(w)))
+    return F.when(full, fdiv_once(F.covar_samp(x, y).over(w), F.stddev_samp(x).over(w) * F.stddev_samp(y).over(w)))
 
 
 def ts_cov(x1, x2, n: int) -> Column:
@@ -216,7 +217,7 @@ def ts_cov(x1, x2, n: int) -> Column:
 
 def ts_beta(x1, x2, n: int) -> Column:
     """Slope of x2 on x1."""
-    return fdiv(ts_cov(x1, x2, n), ts_variance(x1, n))
+    return fdiv_once(ts_cov(x1, x2, n), ts_variance(x1, n))
 
 
 def ts_regression(x1, x2, n: int, rettype: int = 0) -> Column:
@@ -224,17 +225,15 @@ def ts_regression(x1, x2, n: int, rettype: int = 0) -> Column:
     beta = ts_beta(x1, x2, n)
     if rettype == 1:
         return beta
-    alpha = ts_mean(x2, n) - beta * ts_mean(x1, n)
     if rettype == 2:
-        return alpha
-    fitted = alpha + beta * col(x1)
+        return ts_mean(x2, n) - beta * ts_mean(x1, n)
+    fitted = let(lambda b, m1, m2, x: (m2 - b * m1) + b * x, beta, ts_mean(x1, n), ts_mean(x2, n), col(x1))
     if rettype == 3:
         return fitted
     if rettype == 0:
         return col(x2) - fitted
     if rettype == 4:
-        r = ts_corr(fitted, x2, n)
-        return r * r
+        return let(lambda r: r * r, ts_corr(fitted, x2, n))
     raise ValueError(f"no such rettype: {rettype}")
 
 

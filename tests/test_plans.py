@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.jobs import tables
 from barloom.operators import crosssection as cs
 from barloom.operators import metrics
 from barloom.operators import timeseries as ts
@@ -18,6 +19,33 @@ def small(spark):
     return spark.createDataFrame(rows, "instrument string, date date, close double, open double, volume double")
 
 
+def windows(df) -> int:
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString().count("windowspecdefinition(")
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+COUNTS = {
+    "beta": (lambda: ts.ts_beta("volume", "close", 3), 4),
+}
+
+
+@pytest.mark.parametrize("name", COUNTS)
+def test_each_window_function_is_computed_once(small, name):
+    expression, most = COUNTS[name]
+    assert 0 < windows(tables.value(small, expression())) <= most
+
+
+def test_pairs_with_nulls_and_constant_sides(small):
+    got = small.select("instrument", "date", ts.ts_corr("close", "open", 2).alias("c"), ts.ts_beta("close", "open", 2).alias("b"), ts.ts_regression("open", "close", 2, 4).alias("r")).where("instrument = 'a'").orderBy("date").collect()
+    assert [r.c is None for r in got] == [True, False, True, True, False, False, False, False]
+    assert got[1].c != got[1].c and got[4].c != got[4].c and got[7].c == pytest.approx(1.0)
+    assert got[1].b == 0.0 and got[4].b != got[4].b and got[7].b == pytest.approx(1.0)
+
+
 def test_backfill_reads_each_row_once(small):
     df = small.select("instrument", "date", ts.ts_backfill("open").alias("v"))
     assert "unboundedfollowing" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
