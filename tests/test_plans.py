@@ -30,6 +30,7 @@ def windows(df) -> int:
 
 COUNTS = {
     "beta": (lambda: ts.ts_beta("volume", "close", 3), 4),
+    "regression_4": (lambda: ts.ts_regression("open", "close", 3, 4), 32),
 }
 
 
