@@ -83,9 +83,13 @@ def universe(df: DataFrame, codes: str | Iterable[str] | DataFrame) -> DataFrame
 
 
 def build_bars(trades: DataFrame, instrument: Column, date: Column, price: Column, quantity: Column, order: Column, float_shares: float = 1000.0) -> DataFrame:
-    """Bars from single trades, with open and close by `order` within the day; sums are partial before the shuffle."""
+    """Bars from single trades, with open and close by `order` within the day.
+
+    First and last trades have structs as state, which only sorted aggregation holds. Trades are dealt by instrument
+    and sorted once, which also serves the windows along instruments that follow.
+    """
     rows = trades.select(instrument.alias(INSTRUMENT), date.alias(DATE), price.cast("double").alias("_p"), quantity.cast("double").alias("_q"), order.alias("_o"))
-    bars = rows.groupBy(INSTRUMENT, DATE).agg(
+    bars = rows.repartition(INSTRUMENT).groupBy(INSTRUMENT, DATE).agg(
         F.min_by("_p", "_o").alias("open"), F.max("_p").alias("high"), F.min("_p").alias("low"), F.max_by("_p", "_o").alias("close"),
         F.sum("_q").alias("volume"), F.sum(F.col("_p") * F.col("_q")).alias("amount"),
     )

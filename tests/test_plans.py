@@ -9,6 +9,7 @@ from barloom.jobs import tables
 from barloom.operators import crosssection as cs
 from barloom.operators import metrics
 from barloom.operators import timeseries as ts
+from barloom.sources import panel as panels
 
 DAY = dt.date(2020, 1, 1)
 
@@ -31,6 +32,7 @@ def windows(df) -> int:
 COUNTS = {
     "beta": (lambda: ts.ts_beta("volume", "close", 3), 4),
     "regression_4": (lambda: ts.ts_regression("open", "close", 3, 4), 32),
+    "regression_0": (lambda: ts.ts_regression("open", "close", 3, 0), 8),
 }
 
 
@@ -53,6 +55,13 @@ def test_backfill_reads_each_row_once(small):
     assert [r.v for r in df.where("instrument = 'a'").orderBy("date").collect()] == [2.0, 2.0, 3.0, 3.0, 5.0, 5.0, 1.0, 6.0]
 
 
+def test_bars_and_windows_share_one_exchange(spark):
+    trades = spark.createDataFrame([("a", DAY, 2.0, 1.0, 2), ("a", DAY, 3.0, 1.0, 1), ("a", DAY + dt.timedelta(days=1), 4.0, 2.0, 1)], "k string, d date, p double, q double, o int")
+    df = panels.build_bars(trades, F.col("k"), F.col("d"), F.col("p"), F.col("q"), F.struct("o")).select("date", "instrument", "open", "close", ts.ts_delay("close", 1).alias("before"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert [(r.open, r.close, r.before) for r in df.orderBy("date").collect()] == [(3.0, 2.0, None), (4.0, 4.0, 2.0)]
+
+
 def test_approximate_bounds_are_computed_once(spark):
     """Another run may give other quantiles, so rows and counts must not each have their own."""
     df = spark.range(3000).select(F.lit(DAY).alias("date"), F.col("id").cast("string").alias("instrument"), F.lit("p").alias("portfolio_id"), F.sin("id").alias("ret"))
