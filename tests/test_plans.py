@@ -33,6 +33,7 @@ COUNTS = {
     "beta": (lambda: ts.ts_beta("volume", "close", 3), 4),
     "regression_4": (lambda: ts.ts_regression("open", "close", 3, 4), 32),
     "regression_0": (lambda: ts.ts_regression("open", "close", 3, 0), 8),
+    "regression_3": (lambda: ts.ts_regression("open", "close", 3, 3), 8),
 }
 
 
