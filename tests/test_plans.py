@@ -35,6 +35,7 @@ COUNTS = {
     "regression_0": (lambda: ts.ts_regression("open", "close", 3, 0), 8),
     "regression_3": (lambda: ts.ts_regression("open", "close", 3, 3), 8),
     "kurt": (lambda: ts.ts_kurt("close", 3), 2),
+    "skew": (lambda: ts.ts_skew("close", 3), 2),
 }
 
 
