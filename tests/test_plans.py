@@ -36,6 +36,7 @@ COUNTS = {
     "regression_3": (lambda: ts.ts_regression("open", "close", 3, 3), 8),
     "kurt": (lambda: ts.ts_kurt("close", 3), 2),
     "skew": (lambda: ts.ts_skew("close", 3), 2),
+    "corr": (lambda: ts.ts_corr("close", "volume", 3), 4),
 }
 
 
