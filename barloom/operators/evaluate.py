@@ -119,10 +119,10 @@ def evaluate_factors(df: DataFrame, factors: Iterable[str], label: str = "label"
 
 def split_dates(df: DataFrame, train: float = 0.6, valid: float = 0.8) -> DataFrame:
     """One row train_end, valid_end: the dates at these shares of all distinct dates."""
-    dates = df.select(DATE).distinct()
-    n = dates.count()
-    ranked = dates.withColumn("_n", F.row_number().over(Window.orderBy(DATE)))
-    at = lambda q: F.max(F.when(F.col("_n") == int(n * q) + 1, F.col(DATE)))
+    # one row a date is left here
+    whole = Window.partitionBy()
+    ranked = df.select(DATE).distinct().select(DATE, F.row_number().over(whole.orderBy(DATE)).alias("_n"), F.count(F.lit(1)).over(whole).alias("_of"))
+    at = lambda q: F.max(F.when(F.col("_n") == F.floor(F.col("_of") * F.lit(q)) + 1, F.col(DATE)))
     return ranked.agg(at(train).alias("train_end"), at(valid).alias("valid_end"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.jobs import tables
 from barloom.operators import crosssection as cs
-from barloom.operators import metrics
+from barloom.operators import evaluate, metrics
 from barloom.operators import timeseries as ts
 from barloom.sources import panel as panels
 
@@ -30,13 +30,8 @@ def windows(df) -> int:
 
 
 COUNTS = {
-    "beta": (lambda: ts.ts_beta("volume", "close", 3), 4),
-    "regression_4": (lambda: ts.ts_regression("open", "close", 3, 4), 32),
-    "regression_0": (lambda: ts.ts_regression("open", "close", 3, 0), 8),
-    "regression_3": (lambda: ts.ts_regression("open", "close", 3, 3), 8),
-    "kurt": (lambda: ts.ts_kurt("close", 3), 2),
-    "skew": (lambda: ts.ts_skew("close", 3), 2),
-    "corr": (lambda: ts.ts_corr("close", "volume", 3), 4),
+    "regression_4": (lambda: ts.ts_regression("open", "close", 3, 4), 32), "regression_0": (lambda: ts.ts_regression("open", "close", 3, 0), 8), "regression_3": (lambda: ts.ts_regression("open", "close", 3, 3), 8),
+    "corr": (lambda: ts.ts_corr("close", "volume", 3), 4), "beta": (lambda: ts.ts_beta("volume", "close", 3), 4), "kurt": (lambda: ts.ts_kurt("close", 3), 2), "skew": (lambda: ts.ts_skew("close", 3), 2),
 }
 
 
@@ -71,3 +66,10 @@ def test_approximate_bounds_are_computed_once(spark):
     df = spark.range(3000).select(F.lit(DAY).alias("date"), F.col("id").cast("string").alias("instrument"), F.lit("p").alias("portfolio_id"), F.sin("id").alias("ret"))
     for made in (cs.large_rank(df, "ret"), metrics.value_at_risk(df, large=True)):
         assert "percentile_approx" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_split_dates_reads_the_dates_once(spark):
+    df = spark.range(10).select(F.date_add(F.lit(DAY), F.col("id").cast("int")).alias("date"))
+    split = evaluate.split_dates(df)
+    assert split._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert tuple(split.first()) == (DAY + dt.timedelta(days=6), DAY + dt.timedelta(days=8))
