@@ -145,11 +145,21 @@ def blotter(held: DataFrame, costs: Costs = Costs()) -> DataFrame:  # noqa: B008
 
 def daily_book(held: DataFrame, capital: float, costs: Costs = Costs()) -> DataFrame:  # noqa: B008
     """portfolio_id, date, pnl, cost, traded, turnover and nav; nav begins at 1. The fields of `costs` may be columns of `held`."""
+    pnl, value, cost = _booked(costs)
+    daily = _moves(held).groupBy(PORTFOLIO, DATE).agg(F.coalesce(F.sum(pnl), F.lit(0.0)).alias("pnl"), F.sum(cost).alias("cost"), F.sum(value).alias("traded"))
+    return _with_nav(daily, capital)
+
+
+def _booked(costs: Costs) -> tuple[Column, Column, Column]:
+    """pnl, traded value and cost of a position."""
     pnl, diff = F.col("was") * (F.col("close") - F.col("last")), F.col("shares") - F.col("was")
     value = F.abs(diff) * F.col("close")
     filled = value * F.when(diff > 0, F.lit(1.0 + costs.slippage)).otherwise(F.lit(1.0 - costs.slippage))
     fee = F.when(diff > 0, buy_fee(filled, costs)).when(diff < 0, sell_fee(filled, costs)).otherwise(F.lit(0.0))
-    daily = _moves(held).groupBy(PORTFOLIO, DATE).agg(F.coalesce(F.sum(pnl), F.lit(0.0)).alias("pnl"), F.sum(fee + value * F.lit(costs.slippage)).alias("cost"), F.sum(value).alias("traded"))
+    return pnl, value, fee + value * F.lit(costs.slippage)
+
+
+def _with_nav(daily: DataFrame, capital: float) -> DataFrame:
     run = Window.partitionBy(PORTFOLIO).orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
     daily = daily.withColumn("_nav", F.lit(1.0) + F.sum(F.col("pnl") - F.col("cost")).over(run) / F.lit(float(capital)))
     daily = daily.withColumn("turnover", fdiv("traded", F.lit(float(capital)) * (F.col("_nav") + F.col("cost") / F.lit(float(capital)))))
@@ -233,11 +243,11 @@ def parameter_grid(grid: DataFrame) -> DataFrame:
     return own.withColumn("_plan", F.concat_ws("|", *[F.col(c).cast("string") for c in PLAN]))
 
 
-def _beside(rows: DataFrame, grid: DataFrame, on: list[str], distinct: bool = False) -> DataFrame:
+def _beside(rows: DataFrame, grid: DataFrame, on: list[str], distinct: bool = False, how: str = "inner") -> DataFrame:
     """rows joined with a grid, or with its distinct rows; a small one is broadcast and needs no shuffle of its own."""
     if grid.count() > GRID_ROWS:
-        return rows.join(grid.distinct() if distinct else grid, on)
-    return rows.join(F.broadcast(grid.coalesce(1).distinct() if distinct else grid), on)
+        return rows.join(grid.distinct() if distinct else grid, on, how)
+    return rows.join(F.broadcast(grid.coalesce(1).distinct() if distinct else grid), on, how)
 
 
 def sweep_plans(panel: DataFrame, grid: DataFrame) -> DataFrame:
@@ -265,13 +275,21 @@ def sweep_plans(panel: DataFrame, grid: DataFrame) -> DataFrame:
     return rows.select("signal", "_plan", "lot", DATE, INSTRUMENT, "close", "last", "flag", "next", "weight")
 
 
-def _swept(panel: DataFrame, grid: DataFrame, capital: float) -> DataFrame:
-    """Positions of every portfolio with its cost columns; the fold runs once for each plan, and costs meet its result."""
+def _plans_held(panel: DataFrame, grid: DataFrame, capital: float) -> DataFrame:
+    """Positions of every plan: the fold runs once for portfolios that differ in costs alone."""
     rows = sweep_plans(panel, grid)
     lots = (F.floor(F.try_divide(F.coalesce("weight", F.lit(0.0)) * F.lit(float(capital)), F.col("close")) / F.col("lot")) * F.col("lot")).cast("long")
     rows = rows.withColumn("target", F.when(F.col("close") > 0, lots).otherwise(F.lit(0).cast("long"))).drop("weight", "next", "lot")
-    held = _held(rows, ["signal", INSTRUMENT, "_plan"])
-    return _beside(held, parameter_grid(grid).select(PORTFOLIO, "signal", "_plan", *COST), ["signal", "_plan"])
+    return _held(rows, ["signal", INSTRUMENT, "_plan"])
+
+
+def _grid_rates(grid: DataFrame) -> DataFrame:
+    return parameter_grid(grid).select(PORTFOLIO, "signal", "_plan", *COST)
+
+
+def _swept(panel: DataFrame, grid: DataFrame, capital: float) -> DataFrame:
+    """Positions of every portfolio with its cost columns."""
+    return _beside(_plans_held(panel, grid, capital), _grid_rates(grid), ["signal", "_plan"])
 
 
 def _grid_costs() -> Costs:
@@ -289,8 +307,23 @@ def sweep_blotter(panel: DataFrame, grid: DataFrame, capital: float) -> DataFram
 
 
 def sweep_book(panel: DataFrame, grid: DataFrame, capital: float) -> DataFrame:
-    """daily_book of every row of a grid, each with its own costs, from one scan of the panel."""
-    return daily_book(_swept(panel, grid, capital), capital, _grid_costs())
+    """daily_book of every row of a grid, each with its own costs, from one scan of the panel.
+
+    A row counts once for its plan, with pnl and traded value, and only the trades once more for each set of costs;
+    the sums of a plan meet its portfolios by date.
+    """
+    rates, on = _grid_rates(grid), ["signal", "_plan", "_trade"]
+    pnl, value, cost = _booked(_grid_costs())
+    trades = F.col("shares") != F.col("was")
+    rows = _plans_held(panel, grid, capital).withColumn("_trade", F.explode(F.when(trades, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    rows = _beside(rows, rates.withColumn("_trade", F.lit(True)), on, how="left")
+    of_plan = lambda c: F.sum(F.when(~F.col("_trade"), c))
+    sums = rows.groupBy(*on, PORTFOLIO, DATE).agg(of_plan(pnl).alias("pnl"), of_plan(value).alias("traded"), F.sum(F.when(F.col("_trade"), cost).when(~trades, value)).alias("cost"))
+    sums = _beside(sums.withColumnRenamed(PORTFOLIO, "_own"), rates.select(PORTFOLIO, "signal", "_plan", F.lit(False).alias("_trade")), on, how="left")
+    # dealt once for the sums by date and the run along dates
+    sums = sums.withColumn(PORTFOLIO, F.coalesce("_own", PORTFOLIO)).repartition(PORTFOLIO)
+    daily = sums.groupBy(PORTFOLIO, DATE).agg(F.coalesce(F.sum("pnl"), F.lit(0.0)).alias("pnl"), F.sum("cost").alias("cost"), F.sum("traded").alias("traded"))
+    return _with_nav(daily, capital)
 
 
 def sweep_returns(panel: DataFrame, grid: DataFrame) -> DataFrame:

@@ -179,3 +179,18 @@ def test_a_large_grid_is_not_broadcast_by_hand(spark, written, monkeypatch):
     small = {(r.portfolio_id, r.date): r.nav for r in portfolio.sweep_book(panel, grid, 1e6).collect()}
     monkeypatch.setattr(portfolio, "GRID_ROWS", 10_000)
     assert {(r.portfolio_id, r.date): r.nav for r in portfolio.sweep_book(panel, grid, 1e6).collect()} == pytest.approx(small)
+
+
+def test_only_trades_multiply_by_the_costs(spark, written):
+    """Positions meet the costs of their plan where they trade; also with closes that are missing or 0 on whole dates."""
+    close = F.when(F.dayofmonth("date") == 7, F.lit(None)).when(F.dayofmonth("date") == 9, F.lit(0.0)).otherwise(F.col("close"))
+    panel = written.select("date", "instrument", close.alias("close"), ts.ts_returns("close", 5).alias("m5"))
+    grid = spark.createDataFrame([(f"{k}{c}", "m5", k / 10, c / 1000) for k in (2, 4) for c in range(3)] + [("none", "m5", 0.6, 0.0)], "portfolio_id string, signal string, top_k double, commission double")
+    made = portfolio.sweep_book(panel, grid, 1e6)
+    assert plan_of(made).count("_trade") > 0
+    got = {(r.portfolio_id, r.date): tuple(r)[2:] for r in made.collect()}
+    want = {(r.portfolio_id, r.date): tuple(r)[2:] for r in portfolio.daily_book(portfolio._swept(panel, grid, 1e6), 1e6, portfolio._grid_costs()).collect()}
+    assert set(got) == set(want) and len(got) > 7 * 500
+    for key, row in want.items():
+        assert [x is None for x in got[key]] == [x is None for x in row]
+        assert [x for x in got[key] if x is not None] == pytest.approx([x for x in row if x is not None], nan_ok=True)
