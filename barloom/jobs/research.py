@@ -46,6 +46,7 @@ def factor_research(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bounds(df: DataFrame) -> tuple[str, str]:
+    """The ends of train and valid rows; bars have the dates of their factors, and need no windows to tell them."""
     row = evaluate.split_dates(df).first()
     return str(row["train_end"]), str(row["valid_end"])
 
@@ -54,18 +55,18 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of boosted trees on all factors of the library."""
     names = factors.factor_names()
     df = features(spark, sf_dir, names)
-    return models.fit_predict(df, names, *_bounds(df), models.boosted_trees(**TREES))
+    return models.fit_predict(df, names, *_bounds(bars(spark, sf_dir)), models.boosted_trees(**TREES))
 
 
 def linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = features(spark, sf_dir)
-    return models.fit_predict(df, FEATURES, *_bounds(df), models.linear())
+    return models.fit_predict(df, FEATURES, *_bounds(bars(spark, sf_dir)), models.linear())
 
 
 def tree_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = factors.factor_names()
     df = features(spark, sf_dir, names)
-    prepared = models.prepare(df, names, *_bounds(df)).persist()
+    prepared = models.prepare(df, names, *_bounds(bars(spark, sf_dir))).persist()
     try:
         model = models.fit(prepared, models.boosted_trees(**TREES))
     finally:
@@ -75,7 +76,7 @@ def tree_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def valid_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = features(spark, sf_dir)
-    prepared = models.prepare(df, FEATURES, *_bounds(df))
+    prepared = models.prepare(df, FEATURES, *_bounds(bars(spark, sf_dir)))
     return models.validation_ic(models.fit(prepared, models.linear()).transform(prepared))
 
 

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.jobs import tables
+from barloom.jobs import research, tables
 from barloom.operators import crosssection as cs
 from barloom.operators import evaluate, metrics
 from barloom.operators import timeseries as ts
@@ -73,3 +73,12 @@ def test_split_dates_reads_the_dates_once(spark):
     split = evaluate.split_dates(df)
     assert split._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
     assert tuple(split.first()) == (DAY + dt.timedelta(days=6), DAY + dt.timedelta(days=8))
+
+
+def test_dates_of_the_split_need_no_factors(spark, monkeypatch):
+    seen, split = [], evaluate.split_dates
+    monkeypatch.setattr(evaluate, "split_dates", lambda df: seen.append(df) or split(df))
+    monkeypatch.setattr(research.models, "fit_predict", lambda df, names, *rest: (df, rest[:2]))
+    df, ends = research.trees(spark, "/root/testdata/sf0.001")
+    assert "Window" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert ends == tuple(map(str, split(df).first()))
