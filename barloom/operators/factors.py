@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import fdiv, ieee_log
+from barloom.operators import doubling
 from barloom.operators import timeseries as ts
 from barloom.operators.elementwise import neg_part, pos_part
 from barloom.operators.timeseries import DATE, INSTRUMENT
@@ -79,6 +80,7 @@ def _returns(n: int, sign: float = 1.0) -> Factor:
 
 _RET1 = Step(ts.ts_returns, "close", n=1)
 _DELTA1 = Step(ts.ts_delta, "close", n=1)
+_MOVED = Step(lambda x: F.abs(ts.ts_delta(x, 1)), "close", back=1)
 _UP = Step(lambda x: pos_part(ts.ts_delta(x, 1)), "close", back=1)
 _DOWN = Step(lambda x: neg_part(ts.ts_delta(x, 1)), "close", back=1)
 _TURNED = Step(lambda x, v: F.abs(ts.ts_returns(x, 1)) * F.col(v), "close", "volume", back=1)
@@ -96,7 +98,7 @@ _REGISTRY: dict[str, Factor] = {
     "macd": Factor(lambda: F.lit(2.0) * ((F.col("_fast") - F.col("_slow")) - F.col("_dea")), ewm=(("close", "_fast", 2 / 13), ("close", "_slow", 2 / 27)), ewm_then=(("_fast", "_slow", "_dea", 2 / 10),)),
     "rsv_20": Factor(lambda: fdiv(F.col("close") - F.col("_low20"), F.col("_high20") - F.col("_low20")), {}, {"_low20": Step(ts.ts_min, "low", n=20), "_high20": Step(ts.ts_max, "high", n=20)}),
     "cntp_20": Factor(lambda: F.col("_ups") / F.lit(20.0), {"_d1": _DELTA1}, {"_ups": Step(ts.ts_pos_count, "_d1", n=20)}),
-    "sump_20": Factor(lambda: fdiv("_gains", "_moves"), {"_d1": _DELTA1, "_dpos": _UP}, {"_gains": Step(ts.ts_sum, "_dpos", n=20), "_moves": Step(lambda x, n: ts.ts_sum(F.abs(F.col(x)), n), "_d1", n=20)}),
+    "sump_20": Factor(lambda: fdiv("_gains", "_moves"), {"_dabs": _MOVED, "_dpos": _UP}, {"_gains": Step(ts.ts_sum, "_dpos", n=20), "_moves": Step(ts.ts_sum, "_dabs", n=20)}),
     "kbar_kmid": Factor(Step(lambda a, b: fdiv(a, b) - F.lit(1.0), "close", "open")),
     "kbar_klen": Factor(Step(lambda a, b, c: fdiv(F.col(a) - F.col(b), c), "high", "low", "open")),
     "wvma_20": Factor(lambda: fdiv("_wsd", "_wmean"), {"_w": _TURNED}, {"_wsd": Step(ts.ts_std, "_w", n=20), "_wmean": Step(ts.ts_mean, "_w", n=20)}),
@@ -117,6 +119,9 @@ def register_factor(name: str, factor: Factor | Callable[[], Column], lookback:
     _REGISTRY[name] = factor if isinstance(factor, Factor) else Factor(factor, lookback=lookback)
 
 
+#: Windows of so many rows or more are put together from shorter ones; below it a sliding frame is as cheap.
+LONG = 8
+
 #: What the rows of an exponential mean before the look-back may weigh together.
 TOLERANCE = 1e-12
 
@@ -140,8 +145,11 @@ def compute_factors(panel: DataFrame, names: Iterable[str] | None = None, keep:
     rolling: dict[str, Callable[[], Column]] = {}
     for f in found:
         rolling.update(f.rolling)
-    if rolling:
-        df = df.select("*", *[c().alias(n) for n, c in rolling.items()])
+    long = {n: (c.operator, c.inputs, c.n) for n, c in rolling.items() if isinstance(c, Step) and c.n >= LONG and c.operator in doubling.OPERATORS}
+    if long:
+        df = doubling.rolled(df, long)
+    if short := {n: c for n, c in rolling.items() if n not in long}:
+        df = df.select("*", *[c().alias(n) for n, c in short.items()])
     return df.select(DATE, INSTRUMENT, *keep, *[f.value().alias(n) for n, f in zip(names, found)])
 
 

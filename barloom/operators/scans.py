@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 DATE = "date"
 #: Rows of a block where blocks are counted: a row's state is appended to those of its block, so a row costs as its block is long.
-BLOCK = 128
+BLOCK = 32
 
 Fold = Callable[[Column, Column], Column]
 
