@@ -88,8 +88,10 @@ def build_bars(trades: DataFrame, instrument: Column, date: Column, price: Colum
     First and last trades have structs as state, which only sorted aggregation holds. Trades are dealt by instrument
     and sorted once, which also serves the windows along instruments that follow.
     """
-    rows = trades.select(instrument.alias(INSTRUMENT), date.alias(DATE), price.cast("double").alias("_p"), quantity.cast("double").alias("_q"), order.alias("_o"))
-    bars = rows.repartition(INSTRUMENT).groupBy(INSTRUMENT, DATE).agg(
+    # the trades' own columns travel, of which Spark keeps those that are named; price, quantity and order, made of them, are made behind the exchange
+    dealt = trades.withColumn("_dealt", instrument).repartition("_dealt")
+    rows = dealt.select(F.col("_dealt").alias(INSTRUMENT), date.alias(DATE), price.cast("double").alias("_p"), quantity.cast("double").alias("_q"), order.alias("_o"))
+    bars = rows.groupBy(INSTRUMENT, DATE).agg(
         F.min_by("_p", "_o").alias("open"), F.max("_p").alias("high"), F.min("_p").alias("low"), F.max_by("_p", "_o").alias("close"),
         F.sum("_q").alias("volume"), F.sum(F.col("_p") * F.col("_q")).alias("amount"),
     )

@@ -61,6 +61,21 @@ def test_bars_and_windows_share_one_exchange(spark):
     assert [(r.open, r.close, r.before) for r in df.orderBy("date").collect()] == [(3.0, 2.0, None), (4.0, 4.0, 2.0)]
 
 
+def test_trades_travel_once_and_prices_are_made_behind_the_exchange(spark):
+    """Price and order hold the trades' own columns again; made before the exchange, they went through it beside them."""
+    trades = spark.range(4).select(F.lit("a").alias("k"), F.lit(DAY).alias("d"), F.col("id").cast("double").alias("amount"), F.lit(2.0).alias("q"), F.col("id").alias("o"))
+    df = panels.build_bars(trades, F.col("k"), F.col("d"), F.col("amount") / F.col("q"), F.col("q"), F.struct("o", "amount", "q"))
+    below = df._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert "struct(" not in below and "/" not in below
+    assert [tuple(r) for r in df.select("open", "high", "low", "close", "volume", "amount").collect()] == [(0.0, 1.5, 0.0, 1.5, 8.0, 6.0)]
+
+
+def test_bars_of_a_column_that_has_a_name_of_the_panel(spark):
+    trades = spark.createDataFrame([("a", "b", DAY, 2.0, 1.0, 1)], "instrument string, code string, date date, p double, q double, o int")
+    df = panels.build_bars(trades, F.col("code"), F.col("date"), F.col("p"), F.col("q"), F.struct("o"))
+    assert [(r.date, r.instrument, r.close) for r in df.collect()] == [(DAY, "b", 2.0)]
+
+
 def test_approximate_bounds_are_computed_once(spark):
     """Another run may give other quantiles, so rows and counts must not each have their own."""
     df = spark.range(3000).select(F.lit(DAY).alias("date"), F.col("id").cast("string").alias("instrument"), F.lit("p").alias("portfolio_id"), F.sin("id").alias("ret"))
