@@ -109,7 +109,8 @@ RUN_TABLES = ("ic", "layers", "turnover", "trades", "nav", "metrics")
 def research_run(bars: DataFrame, base: str, run_id: str, factor: str, method: str = "zscore", horizon: int = 1, groups: int = 10, top_k: float = 0.2, capital: float = 1e8, costs: portfolio.Costs = portfolio.Costs()) -> None:  # noqa: B008
     """One signal from bars to results: factor, cross-section, IC, layers, turnover, book and metrics, written as one run.
 
-    signals (date, instrument, close, label, predict) are written first and everything else starts from them.
+    signals (date, instrument, close, label, predict) are written first and everything else starts from them. Positions are
+    written too until the run ends: orders and book both start from them, and their fold is the dearest step.
     Metrics are in long form (metric, value): performance, risk and the summary of the ICs.
     """
     spark = bars.sparkSession
@@ -124,7 +125,7 @@ def research_run(bars: DataFrame, base: str, run_id: str, factor: str, method: s
         run.put("layers", evaluate.group_return(signals, "predict", groups=groups))
         run.put("turnover", evaluate.factor_turnover(signals, "predict"))
         grid = spark.createDataFrame([(run_id, "predict", float(top_k), costs.lot, *map(float, (costs.commission, costs.min_commission, costs.stamp, costs.transfer, costs.slippage)))], "portfolio_id string, signal string, top_k double, lot int, commission double, min_commission double, stamp double, transfer double, slippage double")
-        held = portfolio.sweep_positions(signals, grid, capital)
+        held = run.aside("positions", portfolio.sweep_positions(signals, grid, capital))
         run.put("trades", portfolio.blotter(held, costs))
         book = portfolio.daily_book(held, capital, costs)
         nav = run.put("nav", portfolio.attach_benchmark(book, portfolio.equal_weight_benchmark(signals)))

@@ -50,6 +50,7 @@ class Run:
         self.spark, self.base, self.run_id = spark, base.rstrip("/"), _name(run_id)
         self.attempt = uuid.uuid4().hex
         self.tables: dict[str, DataFrame] = {}
+        self.passing: list[str] = []
         self.committed = False
 
     def put(self, table: str, df: DataFrame) -> DataFrame:
@@ -58,11 +59,22 @@ class Run:
             raise ValueError(f"{table}: the run is committed" if self.committed else f"{table} is written already")
         if clash := {RUN, ATTEMPT} & {c.lower() for c in df.columns}:
             raise ValueError(f"{table} has columns that the layout needs: {sorted(clash)}")
-        path = f"{self.base}/{table}/{RUN}={self.run_id}/{ATTEMPT}={self.attempt}"
-        df.write.parquet(path)
-        self.tables[table] = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[table] = self._written(table, df)
         return self.tables[table]
 
+    def aside(self, table: str, df: DataFrame) -> DataFrame:
+        """Writes rows that several tables of the run start from and returns them as written; no table of the run, they go as the block ends."""
+        out = self._written(f"_{_name(table)}", df)
+        self.passing.append(self._path(f"_{table}"))
+        return out
+
+    def _path(self, table: str) -> str:
+        return f"{self.base}/{table}/{RUN}={self.run_id}/{ATTEMPT}={self.attempt}"
+
+    def _written(self, table: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(self._path(table))
+        return self.spark.read.schema(df.schema).parquet(self._path(table))
+
     def commit(self) -> None:
         """Writes the manifest: from now on readers see this attempt in place of any earlier one of the run."""
         # counts come from the footers of what was written
@@ -78,6 +90,8 @@ class Run:
     def __exit__(self, kind, error, trace) -> None:
         if kind is None:
             self.commit()
+        for path in self.passing:
+            _delete(self.spark, path)
 
 
 def runs(spark: SparkSession, base: str) -> DataFrame:

@@ -92,3 +92,28 @@ def test_research_run(spark, tmp_path):
     assert "Group5" in results.read_results(spark, base, "layers", ["v"]).columns
     trades = results.read_results(spark, base, "trades", ["m"])
     assert trades.where("shares % 100 <> 0 OR fee < 5").count() == 0
+
+
+def test_positions_of_a_run_are_folded_once_and_go_with_it(spark, tmp_path, monkeypatch):
+    """Orders and book start from positions that are written: neither plan may hold their ranks and folds again."""
+    base, plans = tmp_path / "r", {}
+    put = results.Run.put
+
+    def watched(run, table, df):
+        plans[table] = df._jdf.queryExecution().optimizedPlan().toString()
+        return put(run, table, df)
+
+    monkeypatch.setattr(results.Run, "put", watched)
+    research.research_run(panels.synthetic_panel(spark, "2019-01-01", "2019-03-31", 5), str(base), "m", "reversal_5", capital=1e6)
+    for table in ("trades", "nav"):
+        assert "collect_list" not in plans[table] and "row_number" not in plans[table]
+    assert not list(base.rglob("*positions*/*/*/*.parquet"))
+
+
+def test_rows_aside_are_no_table_and_go_after_an_error_too(spark, tmp_path):
+    base = tmp_path / "r"
+    with pytest.raises(ZeroDivisionError), results.Run(spark, str(base), "one") as run:
+        assert run.aside("x", spark.range(3)).count() == 3
+        assert list(base.rglob("_x/*/*/*.parquet"))
+        1 / 0
+    assert not list(base.rglob("_x/*/*/*.parquet")) and results.runs(spark, str(base)).count() == 0
