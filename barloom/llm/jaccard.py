@@ -5,12 +5,14 @@ class. The sets are put in one global order, by hash, with the most frequent shi
 whose Jaccard similarity reaches the threshold share a shingle among the first few of each, their
 prefixes. Classes with the same prefix and size are collapsed into one group before the join. In each
 posting (the groups that share a prefix shingle) pairs are filtered by size, by place and by counts of
-shingles in bins, which bound the overlap from above. What remains connected are candidate
-clusters; their groups are expanded, and members are verified by their whole sets.
+shingles in bins, which bound the overlap from above; a group of several classes has the greatest count of
+each bin. What remains connected are candidate clusters; their groups are expanded, and members are
+verified by their whole sets.
 
 No pair is emitted: postings and clusters give spanning links only, which lose no component. Postings
 and clusters over a limit are worked on as pairs of blocks. Frequent shingles go last exactly by a
-count; their number is at most `hot_share` times the mean prefix length.
+count of more than 256 or, in large tables, of one in `hot_share` rows; their number is at most
+`hot_share` times the mean prefix length.
 
 Nulls: a document without words has no shingles and is linked with nothing; a row with a null doc_id
 has a null component. Rows of equal doc_id are one document. Empty tables give empty results.
@@ -38,6 +40,11 @@ from .workspace import written
 BINS, LARGE = 32, 4096
 #: Members of a posting, and shingles of a cluster, that one task compares with as many others.
 BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
+#: Shingles of over one in so many rows go last. A posting of rarer ones compares its pairs, whose number must not grow with
+#: the table: 256 rows bound it up to four million rows.
+HOT_SHARE = 16_000
+#: Members of a posting up to which all its pairs are compared at once, and pairs at once.
+SQUARE, PAIRS = 256, 1 << 20
 
 
 def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -77,26 +84,22 @@ def _map(docs: DataFrame, schema: str, work) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def classes(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id, n (size of the set) and key (the same for equal sets; null for an empty one) of every row of plain(docs)."""
+def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n (size of the set), key (the same for equal sets; null for an empty one) and first (the prefix by hash) of every row of plain(docs)."""
 
     def work(part: pa.RecordBatch) -> list:
         sets = _sets(part.column(1), size)
-        return [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.binary())]
+        first = [s[: _prefix(len(s), percent)].view(np.int64) for s in sets]
+        return [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.binary()), pa.array(first, pa.list_(pa.int64()))]
 
-    return _map(docs, "doc_id long, n long, key binary", work)
+    return _map(docs, "doc_id long, n long, key binary, first array<long>", work)
 
 
-def frequent(docs: DataFrame, rows: int, size: int, percent: int, hot_share: int) -> np.ndarray:
+def frequent(known: DataFrame, rows: int, hot_share: int) -> np.ndarray:
     """Shingles that more than rows / hot_share documents have in their prefixes by hash, sorted."""
-
-    def work(part: pa.RecordBatch) -> list:
-        tokens = [s[: _prefix(len(s), percent)] for s in _sets(part.column(1), size)]
-        return [pa.array(np.concatenate([*tokens, np.zeros(0, np.uint64)]).view(np.int64))]
-
     least = max(256, rows // hot_share)
-    hot = _map(docs, "token long", work).groupBy("token").count().where(F.col("count") > least).select("token")
-    return np.sort(np.array([r["token"] for r in hot.collect()], np.int64).view(np.uint64))
+    hot = known.select(F.explode("first").alias("token")).groupBy("token").count().where(F.col("count") > least).select("token")
+    return np.sort(hot.toArrow().column("token").to_numpy().view(np.uint64))
 
 
 def _order(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -212,9 +215,24 @@ class _Bounds:
         return out
 
 
+def _forest(x: np.ndarray, y: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links x < y of m things, few that connect the same: the least of each thing, and those between trees that these leave."""
+    least = np.full(m, m)
+    np.minimum.at(least, y, x)
+    root = np.minimum(least, np.arange(m))
+    while not np.array_equal(root, root[root]):
+        root = root[root]
+    keep = (least[y] == x) | (root[x] != root[y])
+    return x[keep], y[keep]
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Spanning links of the pairs of a posting that the filters leave."""
-    for batch, cut in whole_groups(batches, ["token", "i", "j"]):
+    """Spanning links of the pairs of a posting that the filters leave.
+
+    Postings of equal size are compared together: first members with all others, then, where nothing is linked
+    with the first, the others with each other. Where some are, and in large postings, links are followed.
+    """
+    for batch, cut in whole_groups(batches, ["token", "i", "j"], 16_000):
         ids = batch.column("grp").to_numpy()
         n, at = batch.column("n").to_numpy(), batch.column("at").to_numpy()
         bounds = _Bounds(n, batch.column("bins"))
@@ -229,17 +247,28 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
             ok[own] = (100 + percent) * bounds.of(x[own], y[own]) >= need[own]  # noqa: B023
             return ok
 
+        def put(x: np.ndarray, y: np.ndarray) -> None:
+            a.append(ids[x])  # noqa: B023
+            b.append(ids[y])  # noqa: B023
+
         sizes = np.diff(cut)
-        two = cut[:-1][sizes == 2]
-        if len(two):  # most postings: all at once
-            ok = close(two, two + 1)
-            a.append(ids[two[ok]])
-            b.append(ids[two[ok] + 1])
-        for lo, m in zip(cut[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            if links := _spanning(lambda i, js, lo=lo: close(np.full(len(js), i + lo), js + lo), m):  # noqa: B023
-                x, y = np.array(links).T + lo
-                a.append(ids[x])
-                b.append(ids[y])
+        for m in np.unique(sizes[sizes > 1]).tolist():
+            starts = cut[:-1][sizes == m]
+            step = max(1, PAIRS // (m * m))
+            for own in [starts[i : i + step] for i in range(0, len(starts), step)] if m <= SQUARE else []:
+                x, y = np.repeat(own, m - 1), (own[:, None] + np.arange(1, m)).ravel()
+                hit = close(x, y).reshape(-1, m - 1)
+                every, some = hit.all(axis=1), hit.any(axis=1)
+                whole = np.repeat(every, m - 1)
+                put(x[whole], y[whole])
+                i, j = np.triu_indices(m - 1, 1)
+                x, y = (own[~some, None] + 1 + i).ravel(), (own[~some, None] + 1 + j).ravel()
+                ok = close(x, y)
+                put(*_forest(x[ok], y[ok], len(ids)))
+                starts = np.concatenate([starts[len(own) :], own[some & ~every]])
+            for lo in starts.tolist():
+                if links := _spanning(lambda i, js, lo=lo: close(np.full(len(js), i + lo), js + lo), m):  # noqa: B023
+                    put(*(np.array(links).T + lo))
         none = np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["a", "b"])
 
@@ -276,6 +305,26 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _greatest(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The keys of each group and the greatest count of every bin; without bins if a member has none."""
+    for batch, cut in whole_groups(batches, keys):
+        rows = batch.column("bins").to_pylist()
+        out = []
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            own = [np.frombuffer(x, np.uint8) for x in rows[lo:hi]]
+            out.append(np.maximum.reduce(own).tobytes() if min(map(len, own)) else b"")
+        yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(cut[:-1])) for k in keys], pa.array(out, pa.binary())], names=[*keys, "bins"])
+
+
+def _group_bins(alike: DataFrame, block: int) -> DataFrame:
+    """grp and bins of every group of several classes; large ones are put together from parts."""
+    parts = alike.select("grp", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / block)).alias("part"), "bins")
+    for keys in (["grp", "part"], ["grp"]):
+        schema = ", ".join([*[f"{k} long" for k in keys], "bins binary"])
+        parts = parts.select(*keys, "bins").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda b, keys=keys: _greatest(b, keys), schema)
+    return parts
+
+
 def _blocks(df: DataFrame, key: str, count: str, member: str, block: int) -> DataFrame:
     """Adds i and j, the pair of blocks that a row takes part in; one pair for a key whose count is up to `block`."""
     shards = F.ceil(F.col(count) / block).cast("int")
@@ -284,25 +333,28 @@ def _blocks(df: DataFrame, key: str, count: str, member: str, block: int) -> Dat
     return df.withColumn("i", F.least("_mine", "_other")).withColumn("j", F.greatest("_mine", "_other")).drop("_mine", "_other")
 
 
-def link(docs: DataFrame, text: str = "text", size: int = 3, percent: int = 90, hot_share: int = 1000, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def link(docs: DataFrame, text: str = "text", size: int = 3, percent: int = 90, hot_share: int = HOT_SHARE, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable over similar pairs) of every row; similar: 100 * overlap >= percent * union."""
     own = plain(docs, text)
-    known = written(classes(own, size), "classes")
+    known = written(classes(own, size, percent), "classes")
     reps = written(known.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")), "reps")
-    hot = frequent(own, reps.count(), size, percent, hot_share)
+    hot = frequent(known, reps.count(), hot_share)
 
     # one profile for each class, from its first document
     full = profiles(own.where("doc_id IS NOT NULL"), hot, size, percent).join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "key"], "left_semi")
     full = written(full.drop("key"), "profiles")
-    # one group for equal prefixes and sizes; bins bound the overlap of a group's only member
+    # one group for equal prefixes and sizes; its bins bound the overlap of any of its members
     groups = full.groupBy("n", "prefix").agg(F.min("doc_id").alias("grp"), F.count(F.lit(1)).alias("members"), F.first("bins").alias("bins"))
     groups = written(groups.withColumn("bins", F.when(F.col("members") == 1, F.col("bins"))), "groups")
-    alike = full.select("doc_id", "n", "prefix").join(groups.where("members > 1").select("n", "prefix", "grp"), ["n", "prefix"])
+    alike = full.join(groups.where("members > 1").select("n", "prefix", "grp", "members"), ["n", "prefix"])
+    alike = written(alike.select("grp", "doc_id", "members", "bins"), "alike")
+    shapes = groups.select("grp", "n", F.col("bins").alias("_own")).join(_group_bins(alike, block), "grp", "left")
+    shapes = shapes.select("grp", "n", F.coalesce("_own", "bins").alias("bins"))
     alike = alike.select(F.col("grp").alias("a"), F.col("doc_id").alias("b"))
 
     tokens = groups.select("grp", F.posexplode("prefix").alias("at", "token"))
     recurring = written(tokens.groupBy("token").count().where("count > 1"), "postings")
-    posts = tokens.join(recurring, "token").join(groups.select("grp", "n", "bins"), "grp")
+    posts = tokens.join(recurring, "token").join(shapes, "grp")
     posts = _blocks(posts, "token", "count", "grp", block).select("token", "i", "j", "grp", F.col("at").cast("long").alias("at"), "n", "bins")
     posts = posts.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     found = posts.mapInArrow(lambda b: _candidates(b, percent), "a long, b long")
@@ -324,5 +376,5 @@ def link(docs: DataFrame, text: str = "text", size: int = 3, percent: int = 90,
     sets = sets.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     links = components(sets.mapInArrow(lambda b: _verified(b, percent), "a long, b long"))
 
-    out = known.join(reps, "key", "left").join(links.withColumnRenamed("node", "rep"), "rep", "left")
+    out = known.drop("first").join(reps, "key", "left").join(links.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))

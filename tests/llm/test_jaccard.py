@@ -94,3 +94,39 @@ def test_nulls_and_empty(docs, save):
     got = sorted(((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in queries.op8_jaccard(df.sparkSession, save(documents=df)).collect()), key=str)
     assert got == sorted([(False, 4, 3, 4), (False, 4, 3, 4), (False, 9, 3, 4), (False, 5, 0, 5), (False, 6, 0, 6), (True, None, 3, None)], key=str)
     assert queries.op8_jaccard(docs([]).sparkSession, save(documents=docs([]))).count() == 0
+
+
+def test_group_of_several_classes_has_bins(docs):
+    """Bins of a group bound the overlap of every member; without them it would be a candidate of all of its size."""
+    import numpy as np
+
+    rows = [(7, 1, 9000, bytes([1, 5, 0])), (7, 2, 9000, bytes([2, 0, 0])), (8, 3, 2, bytes([1, 1, 1])), (8, 4, 2, b"")]
+    rows += [(9, 100 + i, 9000, bytes([i % 7, 3, i % 2])) for i in range(50)]
+    alike = docs([]).sparkSession.createDataFrame(rows, "grp long, doc_id long, members long, bins binary")
+    got = {r.grp: bytes(r.bins) for r in jaccard._group_bins(alike, 100).collect()}
+    assert got == {7: bytes([2, 5, 0]), 8: b"", 9: bytes([6, 3, 1])}
+    bounds = jaccard._Bounds(np.array([9, 9]), __import__("pyarrow").array([got[7], bytes([0, 4, 5])], "binary"))
+    assert bounds.of(np.array([0]), np.array([1])).tolist() == [4]
+
+
+def test_all_pairs_of_a_posting_keep_their_components():
+    import numpy as np
+
+    random.seed(4)
+    for m in (2, 3, 6, 40):
+        pairs = sorted({tuple(sorted(random.sample(range(m), 2))) for _ in range(m)})
+        x, y = np.array(pairs).T
+        roots = []
+        for a, b in ((x, y), jaccard._forest(x, y, m)):
+            root = np.arange(m)
+            for _ in range(m):
+                np.minimum.at(root, a, root[b])
+                np.minimum.at(root, b, root[a])
+            roots.append(root.tolist())
+        assert roots[0] == roots[1]
+
+
+def test_frequent_does_not_wait_for_larger_tables(docs):
+    """A shingle of 300 rows goes last in a table of a million rows as well."""
+    known = docs([]).sparkSession.createDataFrame([([1, 2],)] * 300 + [([2, 3],)] * 100, "first array<long>")
+    assert jaccard.frequent(known, 1_000_000, jaccard.HOT_SHARE).tolist() == [1, 2]
