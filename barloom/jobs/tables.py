@@ -112,10 +112,10 @@ weights AS (SELECT portfolio_id, date, instrument, 1.0::DOUBLE / k AS weight FRO
 
 
 def nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """portfolio_id, date, nav, benchmark: each bar's own price path as a portfolio, against all names."""
-    p = bars(spark, sf_dir)
+    """portfolio_id, date, nav, benchmark: each bar's own price path as a portfolio, against all names; bars without a date have no place in it."""
+    p = bars(spark, sf_dir).where("date IS NOT NULL")
     own = p.select(F.col("instrument").alias("portfolio_id"), "date", F.col("close").alias("nav"))
-    return portfolio.attach_benchmark(own, portfolio.equal_weight_benchmark(p))
+    return portfolio.attach_benchmark(own, portfolio.equal_weight_benchmark(p), always=True)
 
 
 NAV_SQL = f"""{BARS_SQL},

@@ -204,13 +204,16 @@ def equal_weight_benchmark(panel: DataFrame) -> DataFrame:
     return daily.select(DATE, F.product(F.lit(1.0) + F.col("_m")).over(Window.orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)).alias("benchmark"))
 
 
-def attach_benchmark(nav: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """portfolio_id, date, nav and benchmark, each over its first value if both are above 0."""
+def attach_benchmark(nav: DataFrame, benchmark: DataFrame, always: bool = False) -> DataFrame:
+    """portfolio_id, date, nav and benchmark, each over its first value if both are above 0.
+
+    With `always` also over others, by IEEE rules: what starts from 0 is undefined, and from a null null.
+    """
     rows = nav.select(PORTFOLIO, DATE, "nav").join(benchmark, DATE, "left")
     w = Window.partitionBy(PORTFOLIO).orderBy(DATE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumns({"_n": F.first("nav").over(w), "_b": F.first("benchmark", ignorenulls=True).over(w)})
     ok = (F.col("_n") > 0) & (F.col("_b") > 0)
-    scaled = lambda c, first: F.when(ok, fdiv(c, first)).otherwise(F.col(c))
+    scaled = lambda c, first: fdiv(c, first) if always else F.when(ok, fdiv(c, first)).otherwise(F.col(c))
     return rows.select(PORTFOLIO, DATE, scaled("nav", "_n").alias("nav"), scaled("benchmark", "_b").alias("benchmark"))
 
 
