@@ -17,8 +17,6 @@ from barloom.operators import evaluate, factors, metrics, models, portfolio
 from barloom.sources import panel, results
 
 FEATURES = ["momentum_20", "reversal_5", "volatility_20", "kbar_kmid"]
-#: Of the registered queries; smaller than the defaults of boosted_trees.
-TREES = {"rounds": 10, "depth": 4}
 
 
 def features(spark: SparkSession, sf_dir: str, names: Sequence[str] = FEATURES) -> DataFrame:
@@ -55,7 +53,7 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of boosted trees on all factors of the library."""
     names = factors.factor_names()
     df = features(spark, sf_dir, names)
-    return models.fit_predict(df, names, *_bounds(bars(spark, sf_dir)), models.boosted_trees(**TREES))
+    return models.fit_predict(df, names, *_bounds(bars(spark, sf_dir)), models.boosted_trees())
 
 
 def linear(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +66,7 @@ def tree_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = features(spark, sf_dir, names)
     prepared = models.prepare(df, names, *_bounds(bars(spark, sf_dir))).persist()
     try:
-        model = models.fit(prepared, models.boosted_trees(**TREES))
+        model = models.fit(prepared, models.boosted_trees())
     finally:
         prepared.unpersist()
     return models.top_importances(models.importances(model, names, spark))

@@ -14,8 +14,8 @@ from barloom.operators.evaluate import fill_null, split_column
 from barloom.operators.timeseries import DATE, INSTRUMENT
 
 
-def boosted_trees(rounds: int = 60, depth: int = 5) -> GBTRegressor:
-    """Gradient-boosted trees on the train rows; fit() stops them by the valid ones."""
+def boosted_trees(rounds: int = 1000, depth: int = 6) -> GBTRegressor:
+    """Gradient-boosted trees of up to 64 leaves on the train rows, up to `rounds` of them; fit() stops them by the valid ones."""
     return GBTRegressor(featuresCol="features", labelCol="label", predictionCol="predict", stepSize=0.05, maxDepth=depth, maxIter=rounds, featureSubsetStrategy="0.8", subsamplingRate=0.8, seed=42)
 
 
@@ -59,17 +59,29 @@ def prepare(df: DataFrame, features: Iterable[str], train_end: str, valid_end: s
     return VectorAssembler(inputCols=features, outputCol="features").transform(rows).select(DATE, INSTRUMENT, "features", "label", "split")
 
 
-def fit(prepared: DataFrame, estimator=None, patience: int = 10):
+def fit(prepared: DataFrame, estimator=None, patience: int = 30):
     """Trains on the train rows. Boosted trees then end at the round of least squared loss on the valid rows, found with `patience`.
 
-    All rounds are trained before one pass over the valid rows gives the losses of each, so patience saves no
-    training, but the model is the one that stopping there would give. Without valid rows all rounds stay.
+    Trees are trained for twice as many rounds as patience lasts, and anew for twice as many again while it has not run
+    out: the first trees of a longer training are those of a shorter one, so the model is the one that watching every
+    round would give. Without valid rows all rounds are trained and stay.
     """
-    model = (estimator or boosted_trees()).fit(prepared.where(F.col("split") == "train"))
-    valid = prepared.where(F.col("split") == "valid")
-    if not isinstance(model, GBTRegressionModel) or valid.isEmpty():
-        return model
-    return first_trees(model, stop_round(model.evaluateEachIteration(valid, "squared"), patience))
+    estimator = estimator or boosted_trees()
+    # every level of a tree is a job over all rows: one task for each core is enough
+    cores, rows = prepared.sparkSession.sparkContext.defaultParallelism, prepared
+    if prepared.rdd.getNumPartitions() > cores:
+        rows = prepared.coalesce(cores)
+    train, valid = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "valid")
+    if not isinstance(estimator, GBTRegressor) or valid.isEmpty():
+        return estimator.fit(train)
+    most, rounds = estimator.getMaxIter(), 2 * patience
+    while True:
+        rounds = min(rounds, most)
+        model = estimator.copy({estimator.maxIter: rounds}).fit(train)
+        best = stop_round(model.evaluateEachIteration(valid, "squared"), patience)
+        if rounds == most or rounds - best >= patience:
+            return first_trees(model, best)
+        rounds *= 2
 
 
 def fit_predict(df: DataFrame, features: Iterable[str], train_end: str, valid_end: str, estimator=None) -> DataFrame:

@@ -51,3 +51,43 @@ def test_unused_features_have_no_importance(spark, panel):
     prepared = models.prepare(flat, ["a", "b", "c"], "2024-01-09", "2024-01-13")
     model = models.first_trees(models.fit(prepared, models.boosted_trees(rounds=3, depth=2), patience=3), 1)
     assert {r.feature: r.importance for r in models.importances(model, ["a", "b", "c"], spark).collect()} == {"a": 1.0, "b": 0.0, "c": 0.0}
+
+
+def test_training_goes_on_while_patience_lasts(panel, monkeypatch):
+    """Rounds are trained until patience runs out, not all of them, and the model is that of all rounds."""
+    prepared = models.prepare(panel, ["a", "b", "c"], "2024-01-09", "2024-01-13").persist()
+    whole = models.boosted_trees(rounds=40, depth=3).setStepSize(0.3)
+    valid = prepared.where("split = 'valid'")
+    losses = whole.fit(prepared.where("split = 'train'")).evaluateEachIteration(valid, "squared")
+    trained, fit = [], models.GBTRegressor.fit
+    monkeypatch.setattr(models.GBTRegressor, "fit", lambda self, df: trained.append(self.getMaxIter()) or fit(self, df))
+    for patience in (1, 4, 50):
+        trained.clear()
+        model = models.fit(prepared, whole, patience=patience)
+        best = models.stop_round(losses, patience)
+        assert model.getNumTrees == best
+        assert models.stop_round(model.evaluateEachIteration(valid, "squared"), patience) == best
+        assert trained[-1] == 40 or patience <= trained[-1] - best and trained[-1] <= 2 * (best + patience)
+        assert trained == sorted(set(trained)) and trained[0] == min(40, 2 * patience)
+    prepared.unpersist()
+
+
+def test_queries_train_to_the_defaults(monkeypatch):
+    """Neither rounds nor depth of the registered queries are cut, and patience is that of the model's own default."""
+    from types import SimpleNamespace
+
+    from barloom.jobs import research
+
+    seen = []
+    frame = SimpleNamespace(persist=lambda: frame, unpersist=lambda: None)
+    monkeypatch.setattr(research, "features", lambda *a: None)
+    monkeypatch.setattr(research, "bars", lambda *a: None)
+    monkeypatch.setattr(research, "_bounds", lambda *a: ("2024-01-09", "2024-01-13"))
+    monkeypatch.setattr(models, "prepare", lambda *a: frame)
+    monkeypatch.setattr(models, "fit", lambda df, estimator: seen.append(estimator))
+    monkeypatch.setattr(models, "fit_predict", lambda df, names, a, b, estimator: seen.append(estimator))
+    monkeypatch.setattr(models, "importances", lambda *a: None)
+    monkeypatch.setattr(models, "top_importances", lambda *a: None)
+    research.tree_importances(None, "")
+    research.trees(None, "")
+    assert [(e.getMaxIter(), e.getMaxDepth()) for e in seen] == [(1000, 6)] * 2
